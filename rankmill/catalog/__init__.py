@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-_MODULES = ("distributions",)
+_MODULES = ("distributions", "rollups", "panels")
 
 
 def _load() -> None:

@@ -26,6 +26,7 @@ SLICE_ROWS = 1_000_000
 MAX_SLICES = 1024
 PER_SLICE = 64
 BLOCK = 32
+SMALL_BYTES = 64 << 20
 
 Order = Sequence["str | Column"]
 
@@ -34,6 +35,17 @@ def _col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def fits_one_task(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate of the whole frame is small.
+
+    Scans are estimated by file size and filters, projections and aggregates
+    never raise it, so a frame that passes can be sorted in one task whatever
+    its keys look like. Frames of unknown size count as large.
+    """
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(estimate) <= SMALL_BYTES
+
+
 def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
     match = F.lit(True)
     for key in keys:
@@ -98,15 +110,16 @@ def running(
     before: bool = False,
     totals: Mapping[str, str | Column] | None = None,
     bounded: bool = False,
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Cumulative sums per key along ``order`` (ascending), plus key totals.
 
     ``before`` leaves the row itself out. ``bounded`` is for inputs whose rows
     per key are limited by their domain (say, years of one entity), where the
-    plain window is already safe.
+    plain window is already safe; it is also used when the whole frame is small.
     """
     keys = list(keys)
+    bounded = bounded or (slice_rows is None and fits_one_task(df))
     totals = dict(totals or {})
     stop = -1 if before else 0
     zero = F.lit(0)
@@ -119,7 +132,7 @@ def running(
             *[F.coalesce(F.sum(_col(v)).over(along), zero).alias(n) for n, v in sums.items()],
             *[F.sum(_col(v)).over(whole).alias(n) for n, v in totals.items()],
         )
-    cut = sliced(df, keys, order, slice_rows)
+    cut = sliced(df, keys, order, slice_rows or SLICE_ROWS)
     parts = cut.where("__hot").groupBy(*keys, "__slice").agg(
         *[F.sum(_col(v)).alias(n) for n, v in sums.items()]
     )
@@ -160,13 +173,14 @@ def carried(
     last: Mapping[str, str | Column] | None = None,
     following: Mapping[str, str | Column] | None = None,
     bounded: bool = False,
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Nearest non-null value at or before the row (``last``) and after it (``following``)."""
     keys, last, following = list(keys), dict(last or {}), dict(following or {})
+    bounded = bounded or (slice_rows is None and fits_one_task(df))
     order = [_col(c) for c in order]
     group = keys if bounded else [*keys, "__slice"]
-    base = df if bounded else sliced(df, keys, order, slice_rows)
+    base = df if bounded else sliced(df, keys, order, slice_rows or SLICE_ROWS)
     back = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*group).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
     near = [F.last(_col(v), True).over(back).alias(n) for n, v in last.items()]
