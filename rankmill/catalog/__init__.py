@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-_MODULES = ("distributions", "rollups", "panels")
+_MODULES = ("distributions", "rollups", "panels", "joins")
 
 
 def _load() -> None:

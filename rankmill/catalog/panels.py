@@ -212,12 +212,12 @@ def entity_ranking(spark, d):
 
 
 @query("a6_fallback_means", f"""WITH {FILLED}, live AS (SELECT * FROM c6 WHERE ability IS NOT NULL AND weight > 0)
-SELECT grp, sub, route, year, round(sum(ability * weight) / sum(weight), 5) AS mean,
+SELECT grp, sub, route, year, round(sum(ability * weight) / sum(weight), 4) AS mean,
 CAST(CASE grouping_id(grp, sub, route, year) WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 6 THEN 3 WHEN 5 THEN 4 WHEN 7 THEN 5
   WHEN 12 THEN 6 WHEN 14 THEN 7 ELSE 8 END AS INTEGER) AS level FROM live GROUP BY GROUPING SETS ((grp, sub, year), (grp, sub),
   (grp, route, year), (grp, year), (grp, route), (grp), (route, year), (year), ())""")
 def fallback_means(spark, d):
-    return panel.fallback_means(cut_lineage(built(spark, d, "filled"))).withColumn("mean", F.round("mean", 5))
+    return panel.fallback_means(cut_lineage(built(spark, d, "filled"))).withColumn("mean", F.round("mean", 4))
 
 
 @query("w10_series_gap_fill", "WITH " + DENSE + """,

@@ -172,18 +172,23 @@ def carried(
     *,
     last: Mapping[str, str | Column] | None = None,
     following: Mapping[str, str | Column] | None = None,
+    previous: Mapping[str, str | Column] | None = None,
     bounded: bool = False,
     slice_rows: int | None = None,
 ) -> DataFrame:
-    """Nearest non-null value at or before the row (``last``) and after it (``following``)."""
-    keys, last, following = list(keys), dict(last or {}), dict(following or {})
+    """Nearest non-null value at or before the row (``last``), strictly before it
+    (``previous``) and strictly after it (``following``)."""
+    keys, last, following, previous = list(keys), dict(last or {}), dict(following or {}), dict(previous or {})
     bounded = bounded or (slice_rows is None and fits_one_task(df))
     order = [_col(c) for c in order]
     group = keys if bounded else [*keys, "__slice"]
     base = df if bounded else sliced(df, keys, order, slice_rows or SLICE_ROWS)
     back = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*group).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    passed = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     near = [F.last(_col(v), True).over(back).alias(n) for n, v in last.items()]
+    near += [F.last(_col(v), True).over(passed).alias(n) for n, v in previous.items()]
+    last = last | previous
     near += [F.first(_col(v), True).over(ahead).alias(n) for n, v in following.items()]
     if bounded:
         return df.select("*", *near)
