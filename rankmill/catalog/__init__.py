@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-_MODULES = ("distributions", "rollups", "panels", "joins")
+_MODULES = ("distributions", "rollups", "panels", "joins", "curves")
 
 
 def _load() -> None:

@@ -149,9 +149,10 @@ def curve_value(knots: Column, x: Column, derivative: bool = False) -> Column:
     i = F.greatest(F.lit(1), F.least(n - 1, F.size(F.filter(knots, lambda k: k["x"] <= x))))
     read = hermite_slope if derivative else hermite
     flat = F.lit(0.0) if derivative else F.element_at(knots, 1)["y"]
-    return F.when(n == 0, F.lit(None).cast("double")).when(n == 1, flat).otherwise(
-        read(x, F.get(knots, i - 1), F.get(knots, i))
-    )
+    # A one-element transform binds the two knots, so the search runs once per row.
+    piece = F.array(F.struct(F.get(knots, i - 1).alias("a"), F.get(knots, i).alias("b")))
+    value = F.get(F.transform(piece, lambda p: read(x, p["a"], p["b"])), F.lit(0))
+    return F.when(n > 1, value).when(n == 1, flat)
 
 
 def read_curve(rows: DataFrame, slopes: DataFrame, keys: Sequence[str], x: Column, out: str,

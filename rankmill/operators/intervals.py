@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import carried, running
 
 
@@ -56,7 +57,7 @@ def overlay(steps: DataFrame, keys: Sequence[str], part: str, lo: str, hi: str,
         *keys, part, ((F.col("lo") + F.col("hi")) / 2).alias("_x"), F.lit(0).alias("_kind"), "lo", "hi"
     )
     ends = steps.select(*keys, part, F.col(hi).alias("_x"), F.lit(1).alias("_kind"), F.col(y).cast("double").alias("_y"))
-    mixed = probes.unionByName(ends, allowMissingColumns=True)
+    mixed = cut_lineage(probes.unionByName(ends, allowMissingColumns=True))
     read = carried(mixed, [*keys, part], ["_x", "_kind"], following={"_value": "_y"}, **options).where("_kind = 0")
     return read.groupBy(*keys, "lo", "hi").agg(F.sum("_value").alias("total"))
 
