@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import formula, hist, interp, intervals, tiling
 from ..operators.allocate import consume
+from ..session import cut_lineage
 from .registry import query, table
 
 
@@ -86,7 +87,7 @@ def totals_by_route(spark, d):
 
 
 def placed_rows(spark, d):
-    rows = margins(spark, d).withColumn("lev", 1.0 - F.col("top"))
+    rows = cut_lineage(margins(spark, d)).withColumn("lev", 1.0 - F.col("top"))
     return tiling.place(rows, totals_by_route(spark, d), year="year", group="grp", subgroup="sub", route="route", scale="scale",
                         level="lev", weight="weight")
 
@@ -282,12 +283,12 @@ def score_to_level(spark, d):
 CROSS = """q AS (SELECT l_returnflag AS f, l_quantity AS x, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1, 2),
 cv AS (SELECT f, x, sum(n) OVER (PARTITION BY f ORDER BY x) / sum(n) OVER (PARTITION BY f) AS y FROM q),
 s AS (SELECT x, y FROM cv WHERE f = 'A'), t AS (SELECT x, y FROM cv WHERE f = 'R'),
-p AS (SELECT s_suppkey, s_acctbal / 190 AS at FROM supplier)"""
+p AS (SELECT s_suppkey, s_acctbal / 190 AS tm FROM supplier)"""
 
 
-@query("m10_curve_crosswalk", f"""WITH {CROSS}, a AS (SELECT p.*, s.x AS x0, s.y AS y0 FROM p ASOF LEFT JOIN s ON p.at >= s.x),
-b AS (SELECT a.*, s.x AS x1, s.y AS y1 FROM a ASOF LEFT JOIN s ON a.at < s.x),
-l AS (SELECT s_suppkey, at, CASE WHEN x0 IS NULL THEN NULL WHEN x0 = at THEN y0 WHEN x1 IS NULL THEN NULL ELSE y0 + (y1 - y0) * (at - x0) / (x1 - x0) END AS lev FROM b),
+@query("m10_curve_crosswalk", f"""WITH {CROSS}, a AS (SELECT p.*, s.x AS x0, s.y AS y0 FROM p ASOF LEFT JOIN s ON p.tm >= s.x),
+b AS (SELECT a.*, s.x AS x1, s.y AS y1 FROM a ASOF LEFT JOIN s ON a.tm < s.x),
+l AS (SELECT s_suppkey, tm, CASE WHEN x0 IS NULL THEN NULL WHEN x0 = tm THEN y0 WHEN x1 IS NULL THEN NULL ELSE y0 + (y1 - y0) * (tm - x0) / (x1 - x0) END AS lev FROM b),
 c AS (SELECT l.*, t.x AS x0, t.y AS y0 FROM l ASOF LEFT JOIN t ON l.lev >= t.y), e AS (SELECT c.*, t.x AS x1, t.y AS y1 FROM c ASOF LEFT JOIN t ON c.lev < t.y)
 SELECT s_suppkey, round(CASE WHEN lev IS NULL OR y0 IS NULL THEN NULL WHEN y0 = lev THEN x0 WHEN y1 IS NULL THEN NULL ELSE x0 + (x1 - x0) * (lev - y0) / (y1 - y0) END, 7) AS value FROM e""")
 def curve_crosswalk(spark, d):
@@ -298,18 +299,18 @@ def curve_crosswalk(spark, d):
     return out.select("s_suppkey", F.round("value", 7).alias("value"))
 
 
-@query("w12_merge_equal_runs", """WITH r AS (SELECT user_id, event_type, epoch_us(ts) AS at, event_id, CASE WHEN lag(event_type) OVER o IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS fresh
-  FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)), i AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY at, event_id) AS BIGINT) AS run FROM r)
-SELECT user_id, run, max(event_type) AS event_type, min(at) AS lo, max(at) AS hi, count(*) AS n FROM i GROUP BY 1, 2""")
+@query("w12_merge_equal_runs", """WITH r AS (SELECT user_id, event_type, epoch_us(ts) AS tm, event_id, CASE WHEN lag(event_type) OVER o IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS fresh
+  FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)), i AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY tm, event_id) AS BIGINT) AS run FROM r)
+SELECT user_id, run, max(event_type) AS event_type, min(tm) AS lo, max(tm) AS hi, count(*) AS n FROM i GROUP BY 1, 2""")
 def merge_equal_runs(spark, d):
     events = table(spark, d, "events").select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
     out = intervals.runs(events, ["user_id"], ["at", "event_id"], "event_type")
     return out.groupBy("user_id", "run").agg(F.max("event_type").alias("event_type"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n"))
 
 
-@query("w13_gap_groups", """WITH r AS (SELECT user_id, event_id, epoch_us(ts) AS at, epoch_us(ts) - lag(epoch_us(ts)) OVER o AS gap FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
-i AS (SELECT *, CAST(sum(CASE WHEN gap IS NULL OR gap > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY at, event_id) AS BIGINT) AS sitting FROM r)
-SELECT user_id, sitting, min(at) AS lo, max(at) AS hi, count(*) AS n FROM i GROUP BY 1, 2""")
+@query("w13_gap_groups", """WITH r AS (SELECT user_id, event_id, epoch_us(ts) AS tm, epoch_us(ts) - lag(epoch_us(ts)) OVER o AS gap FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, CAST(sum(CASE WHEN gap IS NULL OR gap > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY tm, event_id) AS BIGINT) AS sitting FROM r)
+SELECT user_id, sitting, min(tm) AS lo, max(tm) AS hi, count(*) AS n FROM i GROUP BY 1, 2""")
 def gap_groups(spark, d):
     events = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     out = intervals.gap_groups(events, ["user_id"], ["at", "event_id"], F.col("at"), 21_600_000_000, "sitting")

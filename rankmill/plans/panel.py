@@ -237,17 +237,17 @@ def fill_fallbacks(cells: DataFrame) -> DataFrame:
     found = tried.join(near, match).groupBy(*CELL).agg(
         F.min(F.struct(tried["level"].alias("level"), F.col("mean"))).alias("_near")
     )
-    wide = F.broadcast(means.where("level >= 6").groupBy().agg(  # at most years x routes entries
+    wide = means.where("level >= 6").agg(F.struct(  # at most years x routes entries
         F.map_from_entries(F.collect_list(F.when(F.col("level") == 6, F.struct(
-            F.concat_ws("|", "route", F.col("year").cast("string")), "mean")))).alias("_route_year"),
-        F.map_from_entries(F.collect_list(F.when(F.col("level") == 7, F.struct("year", "mean")))).alias("_year"),
-        F.max(F.when(F.col("level") == 8, F.col("mean"))).alias("_national"),
+            F.concat_ws("|", "route", F.col("year").cast("string")), "mean")))).alias("route_year"),
+        F.map_from_entries(F.collect_list(F.when(F.col("level") == 7, F.struct("year", "mean")))).alias("year"),
+        F.max(F.when(F.col("level") == 8, F.col("mean"))).alias("national"),
     ))
     key = F.concat_ws("|", "route", F.col("year").cast("string"))
-    filled = missing.join(found, CELL, "left").join(wide, F.lit(True), "left")
-    by_route, by_year = F.col("_route_year")[key], F.col("_year")[F.col("year")]
+    filled = missing.join(found, CELL, "left").withColumn("_wide", wide.scalar())
+    by_route, by_year = F.col("_wide")["route_year"][key], F.col("_wide")["year"][F.col("year")]
     names = F.array(*[F.lit(name) for name, _ in FALLBACK_LEVELS])
-    value = F.coalesce(F.col("_near")["mean"], by_route, by_year, F.col("_national"))
+    value = F.coalesce(F.col("_near")["mean"], by_route, by_year, F.col("_wide")["national"])
     place = F.coalesce(
         F.col("_near")["level"], F.when(by_route.isNotNull(), 6), F.when(by_year.isNotNull(), 7), F.lit(8)
     )
