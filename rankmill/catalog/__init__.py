@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-_MODULES = ("distributions", "rollups", "panels", "joins", "curves", "modelling")
+_MODULES = ("distributions", "rollups", "panels", "joins", "curves", "modelling", "texts")
 
 
 def _load() -> None:

@@ -21,7 +21,7 @@ def read_rows(spark: SparkSession, path: str, schema: T.StructType | str, option
     return (
         spark.read.schema(schema)
         .option("sep", "\t").option("header", True).option("nullValue", "").option("encoding", "UTF-8")
-        .option("enforceSchema", False)
+        .option("enforceSchema", False).option("quote", '"').option("escape", '"')
         .csv(path)
     )
 
