@@ -215,10 +215,10 @@ gp AS (SELECT g.f, g.p, fp.subject, fp.weight FROM g JOIN fp ON fp.f = g.f),
 lo AS (SELECT gp.*, q.p AS p0, q.v AS v0 FROM gp ASOF LEFT JOIN q ON q.subject = gp.subject AND gp.p >= q.p),
 hi AS (SELECT lo.*, q.p AS p1, q.v AS v1 FROM lo ASOF LEFT JOIN q ON q.subject = lo.subject AND lo.p < q.p),
 t AS (SELECT f, p, round(sum(weight * CASE WHEN p0 IS NULL THEN v1 WHEN p1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (p - p0) / (p1 - p0) END), 12) AS total FROM hi GROUP BY 1, 2),
-u AS (SELECT f, total, max(p) AS p FROM t GROUP BY 1, 2),
+u AS (SELECT f, total, max(p) AS p, min(p) AS foot FROM t GROUP BY 1, 2),
 a AS (SELECT fr.*, u.total AS t0, u.p AS p0 FROM fr ASOF LEFT JOIN u ON u.f = fr.f AND fr.cutoff >= u.total),
-b AS (SELECT a.*, u.total AS t1, u.p AS p1 FROM a ASOF LEFT JOIN u ON u.f = a.f AND a.cutoff < u.total)
-SELECT s_suppkey, f, round(CASE WHEN p0 IS NULL AND p1 IS NULL THEN NULL WHEN p0 IS NULL THEN 0 WHEN p1 IS NULL THEN p0
+b AS (SELECT a.*, u.total AS t1, u.foot AS p1 FROM a ASOF LEFT JOIN u ON u.f = a.f AND a.cutoff < u.total)
+SELECT s_suppkey, f, round(CASE WHEN p0 IS NULL AND p1 IS NULL THEN NULL WHEN p0 IS NULL THEN p1 WHEN p1 IS NULL THEN p0
   ELSE p0 + (p1 - p0) * (cutoff - t0) / (t1 - t0) END, 8) AS percentile FROM b""")
 def formula_inversion(spark, d):
     out = formula.invert(formula_rows(spark, d), subject_hist(spark, d), ["yr"], "f", "cutoff")

@@ -91,7 +91,9 @@ def totals_curve(rows: DataFrame, hist: DataFrame, keys: Sequence[str], text: st
     grid = bends.union(ends).distinct()
     probes = cut_lineage(grid.join(listed, [*keys, "formula"]))
     read = interp.asof_interpolate(probes, mids, [*keys, "subject"], "p", knot_x="midrank", knot_y=value, out="q")
-    return read.groupBy(*keys, "formula", "p").agg(F.sum(F.col("weight") * F.col("q")).alias("total"))
+    # Rounded, so that a flat stretch stays one tie whatever order its parts were added in.
+    total = F.round(F.sum(F.col("weight") * F.col("q")), 10)
+    return read.groupBy(*keys, "formula", "p").agg(total.alias("total"))
 
 
 def invert(rows: DataFrame, hist: DataFrame, keys: Sequence[str], text: str, cutoff: str, value: str = "score",
@@ -103,11 +105,9 @@ def invert(rows: DataFrame, hist: DataFrame, keys: Sequence[str], text: str, cut
     """
     keys = list(keys)
     curve = cut_lineage(totals_curve(rows, hist, keys, text, value, resolve))
-    lowest = curve.groupBy(*keys, "formula").agg(F.min("total").alias("_low"))
     asked = rows.withColumn("formula", F.col(text))
     read = interp.asof_interpolate(asked, curve, [*keys, "formula"], cutoff, knot_x="total", knot_y="p", out=out)
-    read = read.join(lowest, [*keys, "formula"], "left")
-    return read.withColumn(out, F.when(F.col(cutoff) < F.col("_low"), 0.0).otherwise(F.col(out))).drop("_low", "formula")
+    return read.drop("formula")
 
 
 def composite_buckets(rows: DataFrame, hist: DataFrame, keys: Sequence[str], text: str, value: str = "score",

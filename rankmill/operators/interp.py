@@ -31,15 +31,17 @@ def asof_interpolate(
     """Read every probe off its key's knots in one pass over their union.
 
     Below is the last knot at or before the probe, above the first knot past it.
-    Among knots with the same x the largest (last) y stands. ``hold=False`` gives
-    null outside the knots instead of the end value.
+    Among knots with the same x (a step of a rising curve) the largest y stands
+    for what lies at or after it and the smallest for what lies before.
+    ``hold=False`` gives null outside the knots instead of the end value.
     """
     knots = knots.where(F.col(knot_x).isNotNull() & F.col(knot_y).isNotNull())
     line = knots.groupBy(*keys, F.col(knot_x).cast("double").alias("_x")).agg(
-        F.max(F.col(knot_y).cast("double")).alias("_y")
+        F.max(F.col(knot_y).cast("double")).alias("_top"), F.min(F.col(knot_y).cast("double")).alias("_foot")
     )
     line = line.select(
-        *keys, "_x", F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")).alias("_knot"),
+        *keys, "_x", F.struct(F.col("_x").alias("x"), F.col("_top").alias("y")).alias("_left"),
+        F.struct(F.col("_x").alias("x"), F.col("_foot").alias("y")).alias("_right"),
         F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_tie"),
     )
     asked = probes.select(
@@ -48,7 +50,7 @@ def asof_interpolate(
     )
     mixed = line.unionByName(asked, allowMissingColumns=True)
     near = carried(
-        mixed, keys, ["_x", "_kind", "_tie"], last={"_low": "_knot"}, following={"_high": "_knot"}, **options
+        mixed, keys, ["_x", "_kind", "_tie"], last={"_low": "_left"}, following={"_high": "_right"}, **options
     ).where("_kind = 1")
     value = between(F.col("_x"), F.col("_low"), F.col("_high"))
     if not hold:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import web
 from ..functions.names import folded, folded_space
+from ..session import spread_out
 
 # The patterns and terms of the default rules, and the labels kept.
 DEFAULT_BINS = {
@@ -116,7 +117,7 @@ def classify(df: DataFrame, content: str, metadata: str | None = None, error: st
     rules = rules or TriageRules()
     body = rules.clean(F.col(content))
     head = rules.clean(F.col(metadata)) if metadata else F.lit("")
-    base = df.withColumn("_body", body).withColumn("_all", F.concat_ws(" ", head, F.col("_body")))
+    base = spread_out(df).withColumn("_body", body).withColumn("_all", F.concat_ws(" ", head, F.col("_body")))
     base = with_signals(base, "_all", rules)
     failed = (F.coalesce(F.col(error), F.lit("")) != "") if error else F.lit(False)
     c = F.col

@@ -55,3 +55,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Use all cores on a frame read in fewer partitions than there are cores.
+
+    Meant for heavy per-row work on an input of one or two files. An input of
+    cluster size has more partitions than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
