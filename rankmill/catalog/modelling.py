@@ -80,6 +80,16 @@ def constant_density_levels(spark, d):
     return lines.select("l_orderkey", "l_linenumber", F.round(level, 8).alias("level"))
 
 
+@query("p13_unimodal_arrays", """WITH c AS (SELECT l_partkey, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n,
+  count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1)
+SELECT l_partkey, NOT (n < a AND n < r) AS unimodal, a > 0 AND n > 0 AND r > 0 AS positive FROM c""")
+def unimodal_arrays(spark, d):
+    flag = F.col("l_returnflag")
+    counts = table(spark, d, "lineitem").groupBy("l_partkey").agg(
+        F.array(*[F.count_if(flag == f).cast("double") for f in "ANR"]).alias("v"))
+    return counts.select("l_partkey", models.unimodal(F.col("v")).alias("unimodal"), F.forall("v", lambda x: x > 0).alias("positive"))
+
+
 @query("m12_candidate_scores", f"""WITH {READ}, ok AS (SELECT cand FROM dn GROUP BY 1 HAVING bool_and(abs((v0 + 2 * v1 + v2) / 4 - 1) < 1e-6
   AND least(v0, v1, v2) >= 0 AND greatest(v0, v1, v2) * CASE scale WHEN 'A' THEN 100 WHEN 'N' THEN 120 ELSE 60 END <= 220 / 1.4)
   AND least(sum(v0 * z), sum(v1 * z), sum(v2 * z)) >= 220 / 1.4 * (1 - 1e-9)),

@@ -54,7 +54,7 @@ def shortfalls(held: DataFrame, totals: DataFrame, route: str, weight: str, tota
 def coverage(held: DataFrame, published: DataFrame, keys: Sequence[str], have: str = "held",
              want: str = "published") -> DataFrame:
     both = held.join(published, list(keys), "full_outer")
-    return both.select(*keys, have, want, (F.col(have) / F.col(want)).alias("coverage"))
+    return both.select(*keys, have, want, F.try_divide(have, want).alias("coverage"))
 
 
 def headcounts(df: DataFrame, exam: str, subject: str, weight: str,
@@ -77,9 +77,9 @@ def composition(df: DataFrame, keys: Sequence[str], weight: str, kinds: Mapping[
         *[F.sum(F.when(test, F.col(weight)).otherwise(0)).alias("_" + name) for name, test in kinds.items()],
         total.alias("_total"),
     )
-    named = [(F.col("_" + n) / F.col("_total")).alias(n) for n in kinds]
+    named = [F.try_divide("_" + n, "_total").alias(n) for n in kinds]
     seen = sum((F.col("_" + n) for n in list(kinds)[1:]), F.col("_" + next(iter(kinds))))
-    return got.select(*keys, *named, (1 - seen / F.col("_total")).alias("unreported"))
+    return got.select(*keys, *named, (1 - F.try_divide(seen, F.col("_total"))).alias("unreported"))
 
 
 def rate_applied(rows: DataFrame, rates: DataFrame, keys: Sequence[str], weight: str, rate: str,

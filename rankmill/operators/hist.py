@@ -25,7 +25,7 @@ def buckets(hist: DataFrame, keys: Sequence[str], value: str, **options) -> Data
 def midranks(hist: DataFrame, keys: Sequence[str], value: str, **options) -> DataFrame:
     """Tied midrank percentile of every distinct value: (below + n/2) / total."""
     found = buckets(hist, keys, value, **options)
-    return found.withColumn("midrank", (F.col("below") + F.col("n") / 2) / F.col("total"))
+    return found.withColumn("midrank", F.try_divide(F.col("below") + F.col("n") / 2, F.col("total")))
 
 
 def intervals(hist: DataFrame, keys: Sequence[str], value: str, **options) -> DataFrame:
@@ -35,8 +35,8 @@ def intervals(hist: DataFrame, keys: Sequence[str], value: str, **options) -> Da
         *keys,
         value,
         "n",
-        (F.col("below") / F.col("total")).alias("lo"),
-        ((F.col("below") + F.col("n")) / F.col("total")).alias("hi"),
+        F.try_divide("below", "total").alias("lo"),
+        F.try_divide(F.col("below") + F.col("n"), F.col("total")).alias("hi"),
     )
 
 

@@ -69,12 +69,12 @@ def losses(pairs: DataFrame, keys: Sequence[str], left: str, right: str, weight:
         F.sum(w * (a + b)).alias("_m"),
         F.sum(w * (a * a + b * b)).alias("_q"),
     )
-    mean = F.col("_m") / (2 * F.col("_w"))
-    variance = F.col("_q") / (2 * F.col("_w")) - mean * mean
-    error = F.col("_sq") / F.col("_w")
+    mean = F.try_divide(F.col("_m"), 2 * F.col("_w"))
+    variance = F.try_divide(F.col("_q"), 2 * F.col("_w")) - mean * mean
+    error = F.try_divide("_sq", "_w")
     return sums.select(
         *keys, "n",
-        (100.0 * F.col("_abs") / F.col("_w")).alias("mae"),
+        (100.0 * F.try_divide("_abs", "_w")).alias("mae"),
         (10_000.0 * error).alias("mse"),
         (error / F.greatest(variance, F.lit(1e-9))).alias("normalised"),
     )

@@ -35,7 +35,7 @@ def conditional_shares(df: DataFrame, given: Sequence[str], of: Sequence[str], w
     cells = df.groupBy(*given, *of).agg(F.sum(weight).cast("double").alias("_n"))
     totals = cells.groupBy(*given).agg(F.sum("_n").alias("_t"))
     joined = cells.join(totals, list(given)) if given else cells.withColumn("_t", totals.scalar())
-    return joined.select(*given, *of, (F.col("_n") / F.col("_t")).alias(out))
+    return joined.select(*given, *of, F.try_divide("_n", "_t").alias(out))
 
 
 def smooth_bins(df: DataFrame, bin_col: str, bins: int, weight: Column) -> DataFrame:
@@ -174,8 +174,8 @@ def band_scatter(df: DataFrame, keys: Sequence[str], place: str, value: str, wei
     moments = rows.groupBy(*keys, band).agg(
         F.count("*").alias("_n"), F.sum(w).alias("_w"), F.sum(w * v).alias("_m"), F.sum(w * v * v).alias("_q")
     )
-    mean = F.col("_m") / F.col("_w")
-    variance = F.greatest(F.lit(0.0), F.col("_q") / F.col("_w") - mean * mean)
+    mean = F.try_divide("_m", "_w")
+    variance = F.greatest(F.lit(0.0), F.try_divide("_q", "_w") - mean * mean)
     return moments.select(*keys, "band", F.when(F.col("_n") >= 2, F.sqrt(variance)).alias("scatter"))
 
 
