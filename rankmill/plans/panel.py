@@ -218,7 +218,7 @@ def fill_fallbacks(cells: DataFrame) -> DataFrame:
     in one join on (level, keys); the widest three levels are a table no larger
     than years x routes and are joined apart, so no key gathers all rows.
     """
-    means = fallback_means(cells)
+    means = cut_lineage(fallback_means(cells))
     axes = ["grp", "sub", "route", "year"]
     missing = cells.where(F.col("ability").isNull())
 
