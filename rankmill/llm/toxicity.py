@@ -30,7 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankmill.session import cut_lineage
@@ -113,11 +113,12 @@ def vocabulary(rows: DataFrame, size: int = VOCABULARY, least_rows: int = LEAST_
     if not totals["n1"] or totals["n1"] == totals["n"]:
         return []
     tokens = F.array_distinct(F.split(F.lower("text"), TOKEN_SQL))
-    stems = [
-        F.transform(F.filter(tokens, lambda w, n=n: F.char_length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("-")))
-        for n in STEMS
-    ]
-    words = F.explode(F.concat(tokens, *map(F.array_distinct, stems))).alias("word")
+
+    def beginnings(n: int) -> Column:
+        longer = F.filter(tokens, lambda w: F.char_length(w) > n)
+        return F.array_distinct(F.transform(longer, lambda w: F.concat(F.substring(w, 1, n), F.lit("-"))))
+
+    words = F.explode(F.concat(tokens, *map(beginnings, STEMS))).alias("word")
     seen = rows.select(words, "label").where("word <> ''").groupBy("word")
     seen = seen.agg(F.count(F.lit(1)).alias("with"), F.sum("label").alias("with1")).where(F.col("with") >= least_rows)
     n, n1 = float(totals["n"]), float(totals["n1"])
