@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankmill.session import scratch_path
 
-from . import ann, chat, exact, main_text, mixing, packing, secrets, simhash, toxicity
+from . import ann, chat, exact, main_text, mixing, packing, secrets, simhash, suffixes, toxicity
 from .words import lowered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,11 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op7_repeated_passages")
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated(table(spark, sf_dir, "documents"))
+
+
 @query("op8_main_text")
 def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -159,7 +164,7 @@ with rows as (
   union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 measured as (
   select *, length(text) + length(text) - length(replace(text, '\', ''))
-         + len(list_filter(range(1, length(text) + 1), i -> substr(text, i, 3) = '###'))
+         + len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 3) = '###'))
          + (length(text) - length(replace(text, '</turn>', ''))) // 7 + length('### ' || role || ':' || chr(10)) + 9 as chars
   from rows)
 select conv_id, count(*)::bigint as n_turns,
