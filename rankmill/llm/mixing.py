@@ -115,13 +115,12 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     The copies meet the texts again on (id, source, size). Rows that repeat all three
     take their numbers of copies in the order of their texts.
     """
-    keys = ("_x_key", "_x_at")
     marks = emitted(docs, doc_id, text, source, **options)
-    key = F.xxhash64("id", "source", "size")
     at = F.row_number().over(Window.partitionBy("_y_key").orderBy("copies"))
-    marks = marks.select(key.alias("_y_key"), "copies").withColumn("_y_at", at)
+    marks = marks.withColumn("_y_key", F.xxhash64("id", "source", "size")).withColumn("_y_at", at)
+    marks = marks.select("_y_key", "_y_at", F.col("copies").alias("_y_copies"))
     rows = docs.withColumn("_x_key", F.xxhash64(F.col(doc_id), F.col(source), word_count(text)))
     rows = rows.withColumn("_x_at", F.row_number().over(Window.partitionBy("_x_key").orderBy(F.xxhash64(F.col(text)))))
     rows = rows.join(marks, (F.col("_x_key") == F.col("_y_key")) & (F.col("_x_at") == F.col("_y_at")))
-    rows = rows.where("copies > 0").withColumn("_x_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
-    return rows.drop(*keys).select(*docs.columns)
+    rows = rows.where("_y_copies > 0").withColumn("_x_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_y_copies")))
+    return rows.select(*docs.columns)
