@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -30,13 +33,18 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as named in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent, as in local tests, is a folder made here.
+    A local session without the setting, as in tests, gets a folder of its own. On a
+    cluster no folder can be guessed that all executors see, so its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = tempfile.mkdtemp(prefix="rankmill-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -55,13 +63,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread_out(df: DataFrame) -> DataFrame:
-    """Use all cores on a frame read in fewer partitions than there are cores.
-
-    Meant for heavy per-row work on an input of one or two files. An input of
-    cluster size has more partitions than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

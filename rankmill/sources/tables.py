@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,27 +13,21 @@ from pyspark.sql import types as T
 def read_rows(spark: SparkSession, path: str, schema: T.StructType | str, optional: bool = False) -> DataFrame:
     """Typed scan of a tab-separated file with a header; a blank cell is null.
 
-    An absent optional source reads as an empty table of the same schema.
+    An optional source whose path Spark does not find reads as an empty table of the
+    same schema; anything else that keeps it from being read is an error.
     """
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    if optional and not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return (
+    reader = (
         spark.read.schema(schema)
         .option("sep", "\t").option("header", True).option("nullValue", "").option("encoding", "UTF-8")
         .option("enforceSchema", False).option("quote", '"').option("escape", '"')
-        .csv(path)
     )
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path:
-        return os.path.exists(path)
     try:
-        spark.read.format("binaryFile").load(path).limit(1).schema
-        return True
-    except Exception:  # noqa: BLE001 - a missing path is the only case asked about
-        return False
+        return reader.csv(path)
+    except AnalysisException as error:
+        if not optional or error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def write_rows(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> int:
