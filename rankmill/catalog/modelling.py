@@ -183,8 +183,8 @@ READER = {"A": (0.5, 1.0, 1.5), "N": (1.0, 1.0, 1.0)}
 
 @query("m17_noisy_levels")
 def noisy_levels(spark, d):
-    level = latent.noisy_level(latent.NoisyReader(READER), F.col("scale"), F.col("top"), F.col("score"), F.col("gates"), F.lit(0.9), F.lit(0.8))
-    return noisy_bars(spark, d).select("grp", "bucket", F.round(level, 6).alias("level"))
+    out = latent.noisy_levels(noisy_bars(spark, d), READER, F.lit(0.9), F.lit(0.8))
+    return out.select("grp", "bucket", F.round("level", 6).alias("level"))
 
 
 @query("m18_loading_sweep")
@@ -194,7 +194,7 @@ def loading_sweep(spark, d):
                          ["grp"], ["top", "score", "gates"], "weight")
     both = both.withColumn("scale_a", F.substring_index("scale_a", "|", -1)).withColumn("scale_b", F.substring_index("scale_b", "|", -1))
     sweep = spark.createDataFrame([(f"{lo}-{hi}", lo, hi) for lo in (0.8, 0.95) for hi in (0.6, 0.9)], "candidate string, loading double, rank_loading double")
-    out = latent.sweep_loadings(both, latent.NoisyReader(READER, 32, 256), sweep)
+    out = latent.sweep_loadings(both, READER, sweep, nodes=32, cells=256)
     return out.select("candidate", F.round("mae", 6).alias("mae"), F.round("normalised", 6).alias("normalised"))
 
 
@@ -203,15 +203,14 @@ def noise_diagnosis(spark, d):
     bars = noisy_bars(spark, d).where("top is not null")
     side = models.with_above(spark.createDataFrame([(s, list(v)) for s, v in READER.items()], "scale string, values array<double>"), True)
     rows = bars.join(F.broadcast(side), "scale").withColumn("exact", models.level_linear(F.col("top"), F.col("values"), F.col("above")))
-    none = F.array().cast("array<double>")
-    rows = rows.withColumn("noisy", latent.noisy_level(latent.NoisyReader(READER), F.col("scale"), F.col("top"), F.col("score"), none, F.lit(0.9), F.lit(0.9)))
+    rows = latent.noisy_levels(rows, READER, F.lit(0.9), F.lit(0.9), "noisy", gates=None)
     out = latent.diagnose(rows, ["grp"], "exact", "noisy", "weight")
     return out.select(*[F.round(c, 4).alias(c) for c in out.columns])
 
 
 @query("m19_gate_lift")
 def gate_lift(spark, d):
-    out = latent.gate_lift(noisy_bars(spark, d), latent.NoisyReader(READER), 0.9, 0.8, 20, "grp")
+    out = latent.gate_lift(noisy_bars(spark, d), READER, 0.9, 0.8, 20, "grp")
     return out.select("grp", F.round("gated", 6).alias("gated"), F.round("plain", 6).alias("plain"), F.round("lift", 4).alias("lift"))
 
 

@@ -63,20 +63,48 @@ def test_unimodal(spark):
     assert {tuple(r.v): r.u for r in df.select("v", models.unimodal(F.col("v")).alias("u")).collect()} == cases
 
 
+BAR = "id int, scale string, top double, score double, gates array<double>"
+
+
 def test_sharp_reader_agrees_with_the_density(spark):
-    reader = latent.NoisyReader({"a": [1.0, 1.0, 1.0]})
-    tops = np.array([.05, .2, .5, .8])
-    assert reader.level("a", reader.threshold("a", tops, .999), .999) == pytest.approx(1 - tops, abs=5e-3)
-    noisy = reader.level("a", reader.threshold("a", tops, .8), .8)
-    assert (np.abs(noisy - .5) <= np.abs(1 - tops - .5) + 1e-9).all()
+    tops = [.05, .2, .5, .8]
+    df = spark.createDataFrame([(i, "a", t, None, None) for i, t in enumerate(tops)], BAR)
+    read = lambda load: [r.level for r in latent.noisy_levels(df, {"a": [1.0] * 3}, F.lit(load), F.lit(.8)).orderBy("id").collect()]
+    sharp, noisy = read(.999), read(.8)
+    assert sharp == pytest.approx([1 - t for t in tops], abs=5e-3)
+    assert all(abs(n - .5) <= abs(.5 - t) + 1e-9 for n, t in zip(noisy, tops))
 
 
 def test_gates_lift_a_rank_bar(spark):
-    rows = [(1, "a", None, 0.5, [], 1.0), (2, "a", None, 0.5, [0.1, 0.1], 1.0), (3, "a", .3, None, None, 1.0)]
-    df = spark.createDataFrame(rows, "id int, scale string, top double, score double, gates array<double>, w double")
-    level = latent.noisy_level(latent.NoisyReader({"a": [1.0, 1.0]}), F.col("scale"), F.col("top"), F.col("score"), F.col("gates"), F.lit(.9), F.lit(.8))
-    got = {r.id: r.l for r in df.select("id", level.alias("l")).collect()}
-    assert got[2] > got[1] and got[3] == pytest.approx(.7, abs=.06)
+    rows = [(1, "a", None, 0.5, []), (2, "a", None, 0.5, [0.1, 0.1]), (3, "a", .3, None, None), (4, "z", .3, None, None), (5, "a", None, None, None)]
+    df = spark.createDataFrame(rows, BAR)
+    got = {r.id: r.level for r in latent.noisy_levels(df, {"a": [1.0, 1.0]}, F.lit(.9), F.lit(.8)).collect()}
+    assert got[2] > got[1] and got[3] == pytest.approx(.7, abs=.06) and got[4] is None and got[5] is None
+
+
+def test_noisy_levels_equal_numerical_integration(spark):
+    """A fine sum over abilities, for a bar by share and a bar by rank behind a gate."""
+    import numpy as np
+    density, load, rank = [0.5, 1.0, 1.5], .9, .8
+    x = np.linspace(-8, 8, 16001)
+    cdf = np.array([ND.cdf(v) for v in x])
+    base = np.interp(cdf, [0, .5, 1], density) * np.exp(-x * x / 2)
+    above = lambda bar: np.array([1 - ND.cdf(v) for v in (bar - load * x) / (1 - load**2) ** .5])
+
+    def bar_of(top):
+        low, high = -6.0, 6.0
+        for _ in range(50):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (base * above(mid)).sum() / base.sum() > top else (low, mid)
+        return low
+
+    at = lambda bar, l: base * np.exp(-((bar - l * x) / (1 - l * l) ** .5) ** 2 / 2)
+    one = at(bar_of(.2), load)
+    two = at(.4, rank) * above(bar_of(.3))
+    want = [ND.cdf((w * x).sum() / w.sum()) for w in (one, two)]
+    df = spark.createDataFrame([(1, "a", .2, None, None), (2, "a", None, .4, [.3])], BAR)
+    got = [r.level for r in latent.noisy_levels(df, {"a": density}, F.lit(load), F.lit(rank)).orderBy("id").collect()]
+    assert got == pytest.approx(want, abs=2e-3)
 
 
 def test_planted_trait_correlation(spark):
