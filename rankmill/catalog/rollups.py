@@ -343,7 +343,7 @@ FROM s QUALIFY position <= 5""")
 def top_k_per_group(spark, d):
     sold = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.round(F.sum("l_quantity"), 2).alias("sold"))
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    return rollup.top_k_per_group(sold.join(part, "l_partkey"), ["p_brand"], [F.desc("sold"), F.col("l_partkey")], 5, ["l_partkey"])
+    return rollup.top_k_per_group(sold.join(part, "l_partkey"), ["p_brand"], [F.desc("sold"), F.col("l_partkey")], 5)
 
 
 @query("t4_common_pairs", """SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY n DESC, 1, 2 LIMIT 20""")

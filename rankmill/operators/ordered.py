@@ -1,18 +1,15 @@
 """Running sums, ranks and carried values that survive one huge key.
 
-A window over ``partitionBy(key)`` sorts a whole key in one task. Here a key that
-outgrows a task is first cut into consecutive *slices* of its order, the window
-runs inside ``(key, slice)``, and what earlier slices contribute is added from a
-small table of slice totals. Cold keys stay in slice 0 and pay nothing more than
-the usual shuffle.
-
-Size argument for the broadcasts: the cut points are every ``PER_SLICE``-th row
-of a hash sample with one row in ``slice rows / PER_SLICE``, and a slice is never
-smaller than ``1 / MAX_SLICES`` of the frame. So at most about ``MAX_SLICES``
-slices exist however large the input is, the sample holds about
-``MAX_SLICES * PER_SLICE`` rows, and both side tables are that small. The sample
-is a hash of the row itself: a recomputed task picks the same rows, and it only
-decides where to cut, never which rows are kept.
+A window over ``partitionBy(key)`` sorts a whole key in one task. Here the frame is range
+partitioned along (key, order) and written once to the shared folder together with the
+number of its partition, the *slice*. The window runs inside (key, slice), and what the
+earlier slices of the key contribute comes from a table of slice totals. There is one
+algorithm for all sizes: a slice is a partition, so slices stay as small as partitions
+are, however large a key is, and adaptive execution makes one slice of a small frame.
+
+The input is read once. The slice totals number at most keys plus slices and are joined,
+not broadcast by force; a key's totals, at most one for each slice, meet in one window.
+Rows that are equal in key and order share a slice, so end the order in a unique column.
 """
 
 from __future__ import annotations
@@ -22,11 +19,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_ROWS = 1_000_000
-MAX_SLICES = 1024
-PER_SLICE = 64
-BLOCK = 32
-SMALL_BYTES = 64 << 20
+from ..session import cut_lineage
 
 Order = Sequence["str | Column"]
 
@@ -35,70 +28,34 @@ def _col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether the optimizer's size estimate of the whole frame is small.
+def _places(order: Order) -> list[str]:
+    return [f"__o{i}" for i in range(len(order))]
 
-    Scans are estimated by file size and filters, projections and aggregates
-    never raise it, so a frame that passes can be sorted in one task whatever
-    its keys look like. Frames of unknown size count as large.
-    """
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(estimate) <= SMALL_BYTES
-
-
-def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
-    match = F.lit(True)
-    for key in keys:
-        match = match & left[key].eqNullSafe(right[prefix + key])
-    return match
-
-
-def _cut_points(df: DataFrame, keys: Sequence[str], order: Order, slice_rows: int) -> DataFrame:
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows = F.greatest(F.lit(float(slice_rows)), total / F.lit(float(MAX_SLICES)))
-    step = F.greatest(F.lit(1).cast("bigint"), F.floor(rows / PER_SLICE))
-    place = F.struct(*[_col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    picked = df.where(F.pmod(F.xxhash64(*keys, place), step) == 0)
-    found = (
-        picked.select(*keys, place.alias("__place"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("__place")).alias("__seen"))
-        .where(F.size("__seen") >= PER_SLICE)
-    )
-    cuts = F.transform(
-        F.sequence(F.lit(PER_SLICE), F.size("__seen"), F.lit(PER_SLICE)),
-        lambda i: F.element_at(F.col("__seen"), i),
-    )
-    found = found.select(*[F.col(k).alias("__k_" + k) for k in keys], cuts.alias("__cuts"))
-    heads = F.when(
-        F.size("__cuts") >= BLOCK,
-        F.transform(
-            F.sequence(F.lit(BLOCK), F.size("__cuts"), F.lit(BLOCK)),
-            lambda i: F.element_at(F.col("__cuts"), i),
-        ),
-    )
-    return found.withColumn("__heads", heads)
-
-
-def sliced(df: DataFrame, keys: Sequence[str], order: Order, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Add ``__slice`` (0 for cold keys, rising with the order) and ``__hot``."""
-    cuts = F.broadcast(_cut_points(df, keys, order, slice_rows))
-    place = F.struct(*[_col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    wide = df.withColumn("__place", place)
-    wide = wide.join(cuts, _same_keys(wide, cuts, keys, "__k_"), "left")
-    at_or_below = lambda array: F.size(F.filter(array, lambda c: c <= F.col("__place")))
-    block = F.when(F.col("__heads").isNull(), 0).otherwise(at_or_below(F.col("__heads")))
-    wide = wide.withColumn("__block", block)
-    inside = at_or_below(F.slice("__cuts", F.col("__block") * BLOCK + 1, F.lit(BLOCK)))
-    number = F.when(F.col("__cuts").isNull(), 0).otherwise(F.col("__block") * BLOCK + inside)
-    return wide.select(*df.columns, number.alias("__slice"), F.col("__cuts").isNotNull().alias("__hot"))
 
+def sliced(df: DataFrame, keys: Sequence[str], order: Order, slice_rows: int | None = None) -> DataFrame:
+    """The rows with ``__slice``, which rises along (keys, order), and the order as ``__o0``, ``__o1``, ...
 
-def _offsets(parts: DataFrame, keys: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
+    ``slice_rows`` asks for slices of about so many rows; by default they are as large
+    as the session's partitions.
+    """
+    wide = df.withColumns(dict(zip(_places(order), map(_col, order))))
+    along = [*keys, *_places(order)]
+    if slice_rows is None:
+        spread = wide.repartitionByRange(*along)
+    else:
+        wide = cut_lineage(wide)
+        spread = wide.repartitionByRange(max(1, -(-wide.count() // slice_rows)), *along)
+    return cut_lineage(spread.withColumn("__slice", F.spark_partition_id()))
+
+
+def _with_offsets(local: DataFrame, parts: DataFrame, keys: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
+    """Join what the key's other slices contribute, as ``__off_`` columns."""
     named = [column.alias("__off_" + name) for name, column in columns.items()]
-    return F.broadcast(
-        parts.select(*[F.col(k).alias("__k_" + k) for k in keys], F.col("__slice").alias("__at"), *named)
-    )
+    offsets = parts.select(*[F.col(k).alias("__k_" + k) for k in keys], F.col("__slice").alias("__at"), *named)
+    match = local["__slice"] == offsets["__at"]
+    for key in keys:
+        match = match & local[key].eqNullSafe(offsets["__k_" + key])
+    return local.join(offsets, match, "left")
 
 
 def running(
@@ -114,50 +71,35 @@ def running(
 ) -> DataFrame:
     """Cumulative sums per key along ``order`` (ascending), plus key totals.
 
-    ``before`` leaves the row itself out. ``bounded`` is for inputs whose rows
-    per key are limited by their domain (say, years of one entity), where the
-    plain window is already safe; it is also used when the whole frame is small.
+    ``before`` leaves the row itself out. ``bounded`` is for inputs whose rows per key
+    are limited by their domain (say, years of one entity): a plain window.
     """
-    keys = list(keys)
-    bounded = bounded or (slice_rows is None and fits_one_task(df))
-    totals = dict(totals or {})
+    keys, totals = list(keys), dict(totals or {})
     stop = -1 if before else 0
     zero = F.lit(0)
-    order = [_col(c) for c in order]
     if bounded:
-        along = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, stop)
+        along = Window.partitionBy(*keys).orderBy(*map(_col, order)).rowsBetween(Window.unboundedPreceding, stop)
         whole = Window.partitionBy(*keys)
         return df.select(
             "*",
             *[F.coalesce(F.sum(_col(v)).over(along), zero).alias(n) for n, v in sums.items()],
             *[F.sum(_col(v)).over(whole).alias(n) for n, v in totals.items()],
         )
-    cut = sliced(df, keys, order, slice_rows or SLICE_ROWS)
-    parts = cut.where("__hot").groupBy(*keys, "__slice").agg(
-        *[F.sum(_col(v)).alias(n) for n, v in sums.items()]
+    cut = sliced(df, keys, order, slice_rows)
+    parts = cut.groupBy(*keys, "__slice").agg(
+        *[F.sum(_col(v)).alias("__s_" + n) for n, v in sums.items()],
+        *[F.sum(_col(v)).alias("__t_" + n) for n, v in totals.items()],
     )
     earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = _offsets(parts, keys, {n: F.sum(n).over(earlier) for n in sums})
-    inside = (
-        Window.partitionBy(*keys, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, stop)
-    )
+    every = Window.partitionBy(*keys)
+    inside = Window.partitionBy(*keys, "__slice").orderBy(*_places(order)).rowsBetween(Window.unboundedPreceding, stop)
     local = cut.select("*", *[F.sum(_col(v)).over(inside).alias("__loc_" + n) for n, v in sums.items()])
-    joined = local.join(
-        offsets, _same_keys(local, offsets, keys, "__k_") & (local["__slice"] == offsets["__at"]), "left"
-    )
-    out = joined.select(
+    offsets = {n: F.sum("__s_" + n).over(earlier) for n in sums} | {"t_" + n: F.sum("__t_" + n).over(every) for n in totals}
+    return _with_offsets(local, parts, keys, offsets).select(
         *df.columns,
         *[(F.coalesce("__loc_" + n, zero) + F.coalesce("__off_" + n, zero)).alias(n) for n in sums],
+        *[F.col("__off_t_" + n).alias(n) for n in totals],
     )
-    if not totals:
-        return out
-    sums_all = df.groupBy(*keys).agg(*[F.sum(_col(v)).alias(n) for n, v in totals.items()])
-    if not keys:
-        for name in totals:
-            out = out.withColumn(name, sums_all.select(name).scalar())
-        return out
-    sums_all = sums_all.select(*[F.col(k).alias("__k_" + k) for k in keys], *totals)
-    return out.join(sums_all, _same_keys(out, sums_all, keys, "__k_"), "left").select(*out.columns, *totals)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Order, name: str, **options) -> DataFrame:
@@ -179,37 +121,28 @@ def carried(
     """Nearest non-null value at or before the row (``last``), strictly before it
     (``previous``) and strictly after it (``following``)."""
     keys, last, following, previous = list(keys), dict(last or {}), dict(following or {}), dict(previous or {})
-    bounded = bounded or (slice_rows is None and fits_one_task(df))
-    order = [_col(c) for c in order]
+    base = df if bounded else sliced(df, keys, order, slice_rows)
     group = keys if bounded else [*keys, "__slice"]
-    base = df if bounded else sliced(df, keys, order, slice_rows or SLICE_ROWS)
-    back = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*group).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    passed = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    place = [_col(c) for c in order] if bounded else [F.col(p) for p in _places(order)]
+    whole = Window.partitionBy(*group).orderBy(*place)
+    back = whole.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = whole.rowsBetween(1, Window.unboundedFollowing)
+    passed = whole.rowsBetween(Window.unboundedPreceding, -1)
     near = [F.last(_col(v), True).over(back).alias(n) for n, v in last.items()]
     near += [F.last(_col(v), True).over(passed).alias(n) for n, v in previous.items()]
-    last = last | previous
     near += [F.first(_col(v), True).over(ahead).alias(n) for n, v in following.items()]
     if bounded:
         return df.select("*", *near)
-    place = F.struct(*order)
-    edge = base.where("__hot").groupBy(*keys, "__slice").agg(
-        *[F.max_by(_col(v), F.when(_col(v).isNotNull(), place)).alias(n) for n, v in last.items()],
-        *[F.min_by(_col(v), F.when(_col(v).isNotNull(), place)).alias(n) for n, v in following.items()],
+    last = last | previous
+    at = F.struct(*place)
+    edges = base.groupBy(*keys, "__slice").agg(
+        *[F.max_by(_col(v), F.when(_col(v).isNotNull(), at)).alias(n) for n, v in last.items()],
+        *[F.min_by(_col(v), F.when(_col(v).isNotNull(), at)).alias(n) for n, v in following.items()],
     )
     slices = Window.partitionBy(*keys).orderBy("__slice")
     behind = slices.rowsBetween(Window.unboundedPreceding, -1)
     onward = slices.rowsBetween(1, Window.unboundedFollowing)
-    offsets = _offsets(
-        edge,
-        keys,
-        {n: F.last(n, True).over(behind) for n in last}
-        | {n: F.first(n, True).over(onward) for n in following},
-    )
-    local = base.select("*", *near)
-    joined = local.join(
-        offsets, _same_keys(local, offsets, keys, "__k_") & (local["__slice"] == offsets["__at"]), "left"
-    )
-    return joined.select(
+    offsets = {n: F.last(n, True).over(behind) for n in last} | {n: F.first(n, True).over(onward) for n in following}
+    return _with_offsets(base.select("*", *near), edges, keys, offsets).select(
         *df.columns, *[F.coalesce(n, "__off_" + n).alias(n) for n in (*last, *following)]
     )

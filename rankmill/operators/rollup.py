@@ -103,17 +103,14 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
-                    spread_by: Sequence[str], out: str = "position", salts: int = 64) -> DataFrame:
-    """First k rows of every group in two rounds.
+                    out: str = "position") -> DataFrame:
+    """First k rows of every group.
 
-    Each group is first cut at k inside salts of a hash, which leaves at most
-    ``k * salts`` rows per group for the exact second round.
+    Spark pushes the limit on the row number below the shuffle, so a group of any size
+    moves at most k rows from each partition.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    first = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    kept = salted.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k)
-    second = Window.partitionBy(*keys).orderBy(*order)
-    return kept.withColumn(out, F.row_number().over(second)).where(F.col(out) <= k).drop("_salt", "_n")
+    first = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(out, F.row_number().over(first)).where(F.col(out) <= k)
 
 
 def heaviest_spelling(df: DataFrame, keys: Sequence[str], spelling: str, weight: str) -> DataFrame:

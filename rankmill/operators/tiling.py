@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 from . import interp
 from .allocate import route_factors
-from .ordered import SLICE_ROWS, carried, fits_one_task, running, sliced
+from .ordered import carried, running, sliced
 from .rollup import weighted_mean
 
 # Knots of a smoothed curve, rounds and tolerance of the fixed point.
@@ -83,9 +83,8 @@ def antitonic(points: DataFrame, keys: Sequence[str], slice_rows: int | None = N
             out.insert(place, k, pdf[k].iloc[0])
         return out
 
-    if slice_rows is not None or not fits_one_task(rows):
-        cut = sliced(rows, keys, ["lo"], slice_rows or SLICE_ROWS)
-        rows = cut.groupBy(*keys, "__slice").applyInPandas(pool, schema)
+    cut = sliced(rows, keys, ["lo"], slice_rows).select(*rows.columns, "__slice")
+    rows = cut.groupBy(*keys, "__slice").applyInPandas(pool, schema)
     blocks = rows.groupBy(*keys).applyInPandas(pool, schema)
     # Every bar inside a block carries the block's level.
     marks = blocks.select(*keys, F.col("lo").alias("x"), F.lit(0).alias("_kind"), F.col("y").alias("_y"))
