@@ -244,7 +244,7 @@ def _gate(top: float, level: str) -> str:
 @query("m20_eligible_mean", f"""WITH {ATOMS}, g AS (SELECT -4.5 + range * (9.0 / 599) AS level FROM range(600)),
 gp AS (SELECT level, {_gate(0.25, 'level')} * {_gate(0.4, 'level')} AS pa, {_gate(0.12, 'level')} AS pn FROM g),
 rk AS (SELECT DISTINCT rank FROM rr),
-ct AS (SELECT rank, mean, copies, floor(rank * size + 1e-12) / size AS share FROM rk, atm),
+ct AS (SELECT rank, mean, copies, floor(rank * size) / size AS share FROM rk, atm),
 cu AS (SELECT *, CASE WHEN share >= 1 THEN '-inf'::DOUBLE WHEN share > 0 THEN mean - 0.75 * {normal.ppf_sql('share')} ELSE 'inf'::DOUBLE END AS cut FROM ct),
 pf AS (SELECT rank, level, pa, pn, sum(copies * exp(-pow((level - mean) / 0.75, 2) / 2)) AS m FROM cu JOIN gp ON level >= cut GROUP BY 1, 2, 3, 4),
 rd AS (SELECT rank, sum(m * pa * level) / nullif(sum(m * pa), 0) AS a, sum(m * pn * level) / nullif(sum(m * pn), 0) AS n, sum(m * level) / nullif(sum(m), 0) AS r FROM pf GROUP BY 1)

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from .ordered import numbered
 
-BATCH = 50_000
 
 
 def _bind(value: Column, body) -> Column:
@@ -143,30 +142,22 @@ def feasible(densities: DataFrame, sizes: Mapping[str, float], cover: Sequence[s
     return densities.join(one.where(test).select("candidate"), "candidate", "left_semi")
 
 
-def _batches(densities: DataFrame) -> list[DataFrame]:
-    """The candidate table in pieces of a size that may be broadcast."""
-    parts = max(1, math.ceil(densities.count() / BATCH))
-    if parts == 1:
-        return [densities]
-    return [densities.where(F.pmod(F.xxhash64("candidate"), F.lit(parts)) == i) for i in range(parts)]
-
-
 def read_pairs(pairs: DataFrame, densities: DataFrame, linear: bool = True) -> DataFrame:
-    """Both levels of every pair under every candidate."""
+    """Both levels of every pair under every candidate.
+
+    One row for each pair and candidate by definition; the joins are left to the
+    optimizer, which sends a small table of candidates to every task.
+    """
     read = level_linear if linear else level_constant
-    out = None
-    for batch in _batches(with_above(densities, linear)):
-        side = {x: F.broadcast(batch.select(  # at most BATCH rows, checked above
-            F.col("candidate") if x == "a" else F.col("candidate").alias("_cand"), F.col("scale").alias("scale_" + x),
-            F.col("values").alias("_v" + x), F.col("above").alias("_above" + x))) for x in "ab"}
-        both = pairs.join(side["a"], "scale_a")
-        match = (both["candidate"] == side["b"]["_cand"]) & (both["scale_b"] == side["b"]["scale_b"])
-        both = both.join(side["b"], match).drop(side["b"]["scale_b"]).drop("_cand")
-        got = both.withColumn("level_a", read(F.col("top_a"), F.col("_va"), F.col("_abovea"))).withColumn(
-            "level_b", read(F.col("top_b"), F.col("_vb"), F.col("_aboveb")))
-        got = got.drop("_va", "_vb", "_abovea", "_aboveb")
-        out = got if out is None else out.unionByName(got)
-    return out
+    known = with_above(densities, linear)
+    side = {x: known.select(
+        F.col("candidate").alias("candidate" if x == "a" else "_cand"), F.col("scale").alias("_scale" + x),
+        F.col("values").alias("_v" + x), F.col("above").alias("_above" + x)) for x in "ab"}
+    both = pairs.join(side["a"], F.col("scale_a") == F.col("_scalea"))
+    both = both.join(side["b"], (F.col("candidate") == F.col("_cand")) & (F.col("scale_b") == F.col("_scaleb")))
+    both = both.withColumn("level_a", read(F.col("top_a"), F.col("_va"), F.col("_abovea")))
+    both = both.withColumn("level_b", read(F.col("top_b"), F.col("_vb"), F.col("_aboveb")))
+    return both.drop("_va", "_vb", "_abovea", "_aboveb", "_cand", "_scalea", "_scaleb")
 
 
 def score(pairs: DataFrame, densities: DataFrame, linear: bool = True, curvature: float = 0.0,
