@@ -6,18 +6,19 @@ minus the product of what is left of each sentence. Only documents carry labels;
 loss of the noisy-or is what trains the sentence weights, so that the weights end up on
 the sentences that explain the labels, and a trained model locates those sentences.
 
-Vocabulary: document frequencies by label over *all* labelled rows are summed in Spark;
-the ``vocabulary`` words and beginnings (at most) that part the labels most by the G
-statistic become features. All other words are background. So a bag is a list of a few sentences with
-features and a number of plain ones. The weights are fitted on at most ``fit_rows``
-labelled rows (those with the smallest hash of the text), which bounds the driver.
+The model is fitted on at most ``fit_rows`` labels, those whose document has the smallest
+hash of its id; that table is small enough to be sent to every task, so that no text but
+theirs is moved. Document frequencies by label are summed in Spark; the words and
+beginnings, ``vocabulary`` at most, that part the labels most by the G statistic become
+features, all others are background. A bag is then a few sentences with features and a
+number of plain ones, and the weights are fitted to the bags on the driver.
 
 Scoring takes every sentence of every whole text, in one pass without a shuffle; the
 model, at most ``vocabulary`` numbers, travels with the tasks.
 
 Defined results: null and empty texts have no sentence and get the score of one plain
-sentence; without labels of both kinds every score is the share of toxic labels (0 if
-there are none); labels that are null or belong to no document are ignored, and a
+sentence; where the labels name no feature every score is the share of toxic labels (0
+if there are none); labels that are null or belong to no document are ignored, and a
 document labelled several times is trained once for each. Long texts are scored whole.
 """
 
@@ -53,10 +54,14 @@ CACHED_WORDS = 500_000
 
 @dataclass
 class Model:
-    """Weights of words; ``bias`` is the log-odds of a sentence without any of them."""
+    """Weights of words; ``bias`` is the log-odds of a sentence without any of them.
+
+    ``constant`` is the score of every document where nothing could be learned.
+    """
 
     bias: float = -20.0
     weights: dict[str, float] = field(default_factory=dict)
+    constant: float | None = None
 
     def sentence(self, words: Iterable[str]) -> float:
         logit = self.bias + sum(self.weights.get(w, 0.0) for w in words)
@@ -99,16 +104,17 @@ class Finder:
         return marked, plain
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
-    """(text, label): each labelled row with its document's text."""
+def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, fit_rows: int) -> DataFrame:
+    """(text, label) of at most ``fit_rows`` labels, written once: the only texts that are moved."""
     named = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     named = named.select(F.col(doc_id).alias("_x_id"), (F.col(label) > 0).cast("int").alias("label"))
+    picked = F.broadcast(named.orderBy(F.xxhash64("_x_id"), "_x_id", "label").limit(fit_rows))
     rows = docs.select(F.col(doc_id).alias("_x_doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.join(named, F.col("_x_doc") == F.col("_x_id")).select("text", "label")
+    return cut_lineage(rows.join(picked, F.col("_x_doc") == F.col("_x_id")).select("text", "label"))
 
 
 def vocabulary(rows: DataFrame, size: int = VOCABULARY, least_rows: int = LEAST_ROWS) -> list[str]:
-    """The words whose presence in a text parts the labels most (G statistic), over all rows."""
+    """The words whose presence in a text parts the labels most (G statistic)."""
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1")).first()
     if not totals["n1"] or totals["n1"] == totals["n"]:
         return []
@@ -146,9 +152,10 @@ def _bags(rows: DataFrame, words: list[str]) -> DataFrame:
         for batch in batches:
             made = [finder.of_text(t) for t in batch["text"]]
             bags = [[sorted(number[w] for w in found) for _, _, found in marked] for marked, _ in made]
-            yield pd.DataFrame({"label": batch["label"], "bag": bags, "plain": [p for _, p in made]})
+            yield pd.DataFrame({"key": batch["key"], "label": batch["label"], "bag": bags, "plain": [p for _, p in made]})
 
-    return rows.mapInPandas(each, "label int, bag array<array<int>>, plain int")
+    keyed = rows.withColumn("key", F.xxhash64("text"))
+    return keyed.mapInPandas(each, "key bigint, label int, bag array<array<int>>, plain int")
 
 
 def fitted(bags: list[tuple[int, list[list[int]], int]], words: list[str], rounds: int = ROUNDS) -> Model:
@@ -193,18 +200,19 @@ def trained(
     fit_rows: int = FIT_ROWS,
 ) -> Model:
     """Learn from the labelled rows given; which rows these are is the caller's choice."""
-    rows = _labelled(docs, labels, doc_id, text, label)
+    rows = _labelled(docs, labels, doc_id, text, label, fit_rows)
     words = vocabulary(rows, size)
     if not words:
-        share = rows.agg(F.avg("label")).first()[0] or 0.0
-        return Model(math.log(share / (1 - share)) if 0 < share < 1 else (30.0 if share else -30.0))
-    picked = rows.orderBy(F.xxhash64("text"), "label").limit(fit_rows)
-    bags = [(r["label"], r["bag"], r["plain"]) for r in _bags(picked, words).collect()]
+        return Model(constant=rows.agg(F.avg("label")).first()[0] or 0.0)
+    # Documents that repeat an id may be more than the labels; the bound holds for them too.
+    bags = [(r["label"], r["bag"], r["plain"]) for r in _bags(rows, words).orderBy("key", "label").limit(fit_rows).collect()]
     return fitted(bags, words)
 
 
 def score(model: Model, text: str | None, finder: Finder | None = None) -> tuple[float, list[tuple[int, int, float]]]:
     """The document's probability and its sentences with features: (start, end, probability)."""
+    if model.constant is not None:
+        return model.constant, []
     marked, plain = (finder or Finder(model.weights)).of_text(text or "")
     base = model.sentence(())
     scored = [(start, end, model.sentence(found)) for start, end, found in marked]
