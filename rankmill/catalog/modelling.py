@@ -181,7 +181,34 @@ def noisy_bars(spark, d):
 READER = {"A": (0.5, 1.0, 1.5), "N": (1.0, 1.0, 1.0)}
 
 
-@query("m17_noisy_levels")
+# Density of scale A is 0.5 + p at a share p of the cohort, of N it is 1; bars are -5 + 0.025 k.
+_DENSE = lambda x: f"(CASE scale WHEN 'A' THEN 0.5e0 + 1e0 - {normal.sf_sql(x)} ELSE 1e0 END)"
+_CLAMP = lambda x: f"greatest(1e-12, least(1e0 - 1e-12, {x}))"
+_QUAD = ", ".join(f"({float(x)!r}::DOUBLE, {float(w)!r}::DOUBLE)" for x, w in zip(*latent.nodes_of(latent.NODES)))
+
+
+def _noisy_sql(rank_load: float) -> str:
+    """Common tables up to ``lv`` (grp, bucket, gated) and, for rank bars, ``pl`` (grp, plain)."""
+    bar_at = f"sum(m * {normal.sf_sql('((-5 + 0.025e0 * k - 0.9e0 * x) / sqrt(0.19e0))')}) / sum(m)"
+    post = lambda cleared: f"1e0 - {normal.sf_sql(f'(sum(w * d * {cleared} * ab) / sum(w * d * {cleared}))')}"
+    gate = normal.sf_sql("((gb - 0.9e0 * ab) / sqrt(0.19e0))")
+    return f"""nb AS (SELECT *, CASE bucket WHEN 'R' THEN 'A' ELSE bucket END AS scale FROM (SELECT l_partkey AS grp, l_returnflag AS bucket,
+  sum(l_discount * l_quantity) / sum(l_quantity) * 9 + 0.04 AS t, sum(l_quantity) AS weight FROM lineitem GROUP BY 1, 2)),
+ta AS (SELECT scale, x, {_DENSE('x')} AS m FROM (SELECT scale, {normal.ppf_sql('((i + 0.5e0) / 1024)')} AS x FROM range(1024) r(i), (VALUES ('A'), ('N')) v(scale))),
+tl AS (SELECT scale, k, {normal.ppf_sql('tail')} AS z FROM (SELECT scale, k, {_CLAMP(bar_at)} AS tail FROM ta, range(401) r(k) GROUP BY 1, 2)),
+tp AS (SELECT scale, t, {normal.ppf_sql(_CLAMP('t'))} AS want FROM (SELECT DISTINCT scale, t FROM nb UNION SELECT 'A', 0.5)),
+th AS (SELECT tp.scale, t, CASE count(*) FILTER (z > want) WHEN 0 THEN -5e0 WHEN 401 THEN 5e0 ELSE -5 + 0.025e0 * (count(*) FILTER (z > want) - 1)
+  + 0.025e0 * (min(z) FILTER (z > want) - want) / (min(z) FILTER (z > want) - max(z) FILTER (z <= want)) END AS bar
+  FROM tp JOIN tl USING (scale) GROUP BY tp.scale, t, want),
+nd AS (SELECT *, {_DENSE('ab')} AS d FROM (SELECT grp, bucket, scale, gb, w, ld * b + sqrt(1 - ld * ld) * a AS ab FROM (
+  SELECT grp, bucket, nb.scale, CASE bucket WHEN 'R' THEN {normal.ppf_sql('(1e0 - t * 100 / 100e0)')} ELSE th.bar END AS b,
+    CASE bucket WHEN 'R' THEN {rank_load}e0 ELSE 0.9e0 END AS ld, th.bar AS gb FROM nb JOIN th USING (scale, t)), (VALUES {_QUAD}) q(a, w))),
+half AS (SELECT bar AS hb FROM th WHERE scale = 'A' AND t = 0.5),
+lv AS (SELECT grp, bucket, CASE bucket WHEN 'R' THEN {post(f"({gate} * {gate.replace('gb', 'hb')})")} ELSE {post('1e0')} END AS gated,
+  {post('1e0')} AS plain FROM nd, half GROUP BY grp, bucket)"""
+
+
+@query("m17_noisy_levels", f"WITH {_noisy_sql(0.8)} SELECT grp, bucket, round(gated, 6) AS level FROM lv")
 def noisy_levels(spark, d):
     out = latent.noisy_levels(noisy_bars(spark, d), READER, F.lit(0.9), F.lit(0.8))
     return out.select("grp", "bucket", F.round("level", 6).alias("level"))
@@ -208,7 +235,8 @@ def noise_diagnosis(spark, d):
     return out.select(*[F.round(c, 4).alias(c) for c in out.columns])
 
 
-@query("m19_gate_lift")
+@query("m19_gate_lift", f"""WITH {_noisy_sql(0.8)} SELECT grp, round(gated, 6) AS gated, round(plain, 6) AS plain, round(100 * (gated - plain), 4) AS lift
+FROM lv WHERE bucket = 'R' ORDER BY 100 * (gated - plain) DESC, grp LIMIT 20""")
 def gate_lift(spark, d):
     out = latent.gate_lift(noisy_bars(spark, d), READER, 0.9, 0.8, 20, "grp")
     return out.select("grp", F.round("gated", 6).alias("gated"), F.round("plain", 6).alias("plain"), F.round("lift", 4).alias("lift"))
@@ -262,7 +290,21 @@ def truncated_mean(spark, d):
     return out.select("id", F.round("reading", 6).alias("reading"))
 
 
-@query("m22_marginal_level")
+_GATE_OF = f"(CASE f WHEN 'A' THEN -({normal.ppf_sql('0.25e0')}) WHEN 'N' THEN -({normal.ppf_sql('0.12e0')}) END)"
+
+
+@query("m22_marginal_level", f"""WITH {ATOMS}, fl AS (SELECT rank, f, mean, copies,
+  greatest(-({normal.ppf_sql('rank')}), coalesce(({_GATE_OF} - mean) / 0.75, -40)) AS fl FROM (SELECT DISTINCT rank, f FROM rr), atm),
+en AS (SELECT rank, f, min(mean + 0.75 * greatest(fl, -9)) AS low, max(mean) + 6e0 AS high, sum(copies * {normal.sf_sql('fl')}) / sum(copies) AS admits,
+  sum(mean * copies * {normal.sf_sql('fl')} + copies * 0.75 * exp(-fl * fl / 2) / 2.5066282746310002) / sum(copies * {normal.sf_sql('fl')}) AS alone FROM fl GROUP BY 1, 2),
+gr AS (SELECT *, low + (high - low) / 2399 * i AS level FROM en, range(2400) r(i)),
+cu AS (SELECT rank, f, i, level, admits, alone, sum(copies * greatest(0, {normal.sf_sql('fl')} - {normal.sf_sql('((level - mean) / 0.75)')})) / sum(copies) AS share
+  FROM gr JOIN fl USING (rank, f) GROUP BY ALL),
+st AS (SELECT *, lead(share) OVER p AS share2, lead(level) OVER p AS level2 FROM cu WINDOW p AS (PARTITION BY rank, f ORDER BY i)),
+hit AS (SELECT id, any_value(alone) AS alone, any_value(admits) AS admits, any_value(wanted / 200000) AS want,
+  arg_max(CASE WHEN share2 IS NULL THEN level ELSE level + (wanted / 200000 - share) / (share2 - share) * (level2 - level) END, i) FILTER (share <= wanted / 200000) AS level
+  FROM rr JOIN st USING (rank, f) GROUP BY id)
+SELECT id, round(CASE WHEN want <= 0 OR admits <= want THEN alone ELSE level END, 5) AS reading FROM hit""")
 def marginal_level(spark, d):
     out = atoms.marginal_level(rank_rows(spark, d), nation_atoms(spark, d), "id", "rank", "gate", "wanted", 200_000.0)
     return out.select("id", F.round("reading", 5).alias("reading"))
