@@ -148,23 +148,51 @@ def mark_shares(spark, d):
     return n.join(total, "subject").select("subject", "mark", (F.col("n") / F.col("t")).alias("share"))
 
 
-@query("m15_score_distribution")
+def _marks_sql(nodes: int, rhos: str) -> str:
+    """``ch``: chance of each place of a mark (0 is the best) by rho, node, weight and subject."""
+    quad = ", ".join(f"({n}, {float(x)!r}::DOUBLE, {float(w)!r}::DOUBLE)" for n, (x, w) in enumerate(zip(*latent.nodes_of(nodes))))
+    reach = normal.sf_sql("((e - rho * x) / sqrt(1 - rho * rho))")
+    return f"""sh AS (SELECT subject, place, count(*) / sum(count(*)) OVER (PARTITION BY subject) AS share FROM
+  (SELECT l_returnflag AS subject, least(6, floor(l_discount * 70 + 0.001)::INT) AS place FROM lineitem) GROUP BY 1, 2),
+fu AS (SELECT s.subject, p.place, coalesce(sh.share, 0) AS share FROM (SELECT DISTINCT subject FROM sh) s CROSS JOIN range(7) p(place) LEFT JOIN sh USING (subject, place)),
+ed AS (SELECT subject, place, -({normal.ppf_sql('u')}) AS e FROM (SELECT subject, place, greatest(1e-12, least(1e0 - 1e-12,
+  sum(share) OVER (PARTITION BY subject ORDER BY place))) AS u FROM fu)),
+ab AS (SELECT rho, node, w, subject, place, CASE place WHEN 6 THEN 1e0 ELSE {reach} END AS above FROM ed, (VALUES {quad}) q(node, x, w), (SELECT unnest({rhos}) AS rho)),
+ch AS (SELECT *, above - coalesce(lag(above) OVER (PARTITION BY rho, node, subject ORDER BY place), 0) AS c FROM ab)"""
+
+
+@query("m15_score_distribution", f"""WITH {_marks_sql(latent.SCORE_NODES, '[0.6e0, 0.9e0]')}
+SELECT a.rho, (21 - a.place - n.place - r.place)::INT AS points, round(sum(a.w * a.c * n.c * r.c), 8) AS share
+FROM ch a JOIN ch n ON n.subject = 'N' AND n.rho = a.rho AND n.node = a.node JOIN ch r ON r.subject = 'R' AND r.rho = a.rho AND r.node = a.node
+WHERE a.subject = 'A' GROUP BY 1, 2""")
 def score_distribution(spark, d):
     chances = latent.mark_chances(cut_lineage(mark_shares(spark, d)), MARKS, [0.6, 0.9])
     out = latent.score_table(chances, ["A", "N", "R"], POINTS, GRADES)
     return out.groupBy("rho", "points").agg(F.round(F.sum("share"), 8).alias("share"))
 
 
-@query("m16_trait_correlation")
+RHO_GRID = (0.05, 0.2, 0.35, 0.5, 0.65, 0.8, 0.95)
+
+
+@query("m16_trait_correlation", f"""WITH {_marks_sql(30, '[' + ', '.join(f'{r}e0' for r in RHO_GRID) + ']')},
+gr AS (SELECT rho, node, w, subject, least(2, place // 3) AS g, sum(c) AS c FROM ch GROUP BY ALL),
+ct AS (SELECT a.rho, (a.g = 0)::INT + (n.g = 0)::INT + (r.g = 0)::INT AS na, (a.g = 1)::INT + (n.g = 1)::INT + (r.g = 1)::INT AS nb, sum(a.w * a.c * n.c * r.c) AS p
+  FROM gr a JOIN gr n ON n.subject = 'N' AND n.rho = a.rho AND n.node = a.node JOIN gr r ON r.subject = 'R' AND r.rho = a.rho AND r.node = a.node
+  WHERE a.subject = 'A' GROUP BY 1, 2, 3),
+be AS (SELECT l_orderkey, l_returnflag, arg_max(CASE WHEN l_discount < 0.043 THEN 'A' WHEN l_discount < 0.086 THEN 'B' ELSE 'C' END, (l_extendedprice, l_linenumber)) AS g FROM lineitem GROUP BY 1, 2),
+ob AS (SELECT na, nb, count(*) AS n FROM (SELECT l_orderkey, count(*) FILTER (g = 'A') AS na, count(*) FILTER (g = 'B') AS nb FROM be GROUP BY 1 HAVING count(*) = 3) GROUP BY 1, 2)
+SELECT g.rho, round(sum(2 * ob.n * ln(ob.n / ((SELECT sum(n) FROM ob) * greatest(1e-12, coalesce(ct.p, 0))))), 4) AS deviance
+FROM (SELECT DISTINCT rho FROM ct) g CROSS JOIN ob LEFT JOIN ct ON ct.rho = g.rho AND ct.na = ob.na AND ct.nb = ob.nb GROUP BY 1""")
 def trait_correlation(spark, d):
-    """Orders holding one line of each flag at their dearest give the observed categories."""
+    """How far each correlation's categories are from those of orders holding one line of each flag at their dearest."""
     grade = F.when(F.col("l_discount") < 0.043, "A").when(F.col("l_discount") < 0.086, "B").otherwise("C")
     best = table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.max_by(grade, F.struct("l_extendedprice", "l_linenumber")).alias("g"))
     seen = best.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("g") == "A").alias("a"), F.count_if(F.col("g") == "B").alias("b")).where("n = 3")
-    category = latent.category_text([F.col("a"), F.col("b")], "ABC", 3)
-    observed = cut_lineage(seen.groupBy(category.alias("category")).agg(F.count("*").alias("count")))
-    rho, error = latent.fit_correlation(cut_lineage(mark_shares(spark, d)), observed, MARKS, POINTS, GRADES, "ABC", ["A", "N", "R"], 2, 7, 30)
-    return table(spark, d, "lineitem").agg(F.count("*").alias("lines"), F.lit(round(rho, 6)).alias("rho"), F.lit(round(error, 4)).alias("deviance"))
+    observed = cut_lineage(seen.groupBy(latent.category_text([F.col("a"), F.col("b")], "ABC", 3).alias("category")).agg(F.count("*").alias("count")))
+    chances = latent.mark_chances(cut_lineage(mark_shares(spark, d)), MARKS, RHO_GRID, 30)
+    scored = latent.score_table(chances, ["A", "N", "R"], POINTS, GRADES)
+    out = latent.category_deviance(scored, latent.category_text([F.col("n_A"), F.col("n_B")], "ABC", 3), observed)
+    return out.select("rho", F.round("deviance", 4).alias("deviance"))
 
 
 def noisy_bars(spark, d):
