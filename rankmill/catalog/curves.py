@@ -165,12 +165,15 @@ def fixed_point(spark, d):
     return levels.select("id", "year", "scale", "top", F.round("level", 6).alias("level"), F.lit(rounds).alias("rounds"))
 
 
-@query("w11_carried_weight", """WITH p AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, o_orderstatus AS st, CAST(length(o_orderpriority) AS DOUBLE) AS w,
+CARRIED = """p AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, o_orderstatus AS st, CAST(length(o_orderpriority) AS DOUBLE) AS w,
   o_totalprice, o_orderkey FROM orders), r AS (SELECT *, sum(w) OVER o AS hi, sum(w) OVER (PARTITION BY yr) AS total,
   sum(CASE WHEN st = 'F' THEN w ELSE 0 END) OVER o AS cf, sum(CASE WHEN st = 'O' THEN w ELSE 0 END) OVER o AS co, sum(CASE WHEN st = 'P' THEN w ELSE 0 END) OVER o AS cp
   FROM p WINDOW o AS (PARTITION BY yr ORDER BY o_totalprice, o_orderkey)),
 k AS (SELECT yr, st, w, hi, total, cf, co, cp, j / 9.0 AS x FROM r, range(10) t(j) WHERE (j / 9.0 * total > hi - w OR j = 0 AND hi - w <= 0) AND (j / 9.0 * total <= hi OR j = 9 AND hi >= total)),
-u AS (SELECT yr, unnest(['F', 'O', 'P']) AS scale, x, unnest([cf, co, cp]) AS c, st, greatest(0, hi - x * total) AS left_over FROM k)
+u AS (SELECT yr, unnest(['F', 'O', 'P']) AS scale, x, unnest([cf, co, cp]) AS c, st, greatest(0, hi - x * total) AS left_over FROM k)"""
+
+
+@query("w11_carried_weight", f"""WITH {CARRIED}
 SELECT yr, scale, round(x, 9) AS x, round(c - CASE WHEN st = scale THEN left_over ELSE 0 END, 6) AS y FROM u""")
 def carried_weight(spark, d):
     return orders_mix(spark, d).select("yr", "scale", F.round("x", 9).alias("x"), F.round("y", 6).alias("y"))
@@ -182,7 +185,14 @@ def orders_mix(spark, d):
     return tiling.carried_curve(placed, ["yr"], "o_totalprice", ["o_orderkey"], "o_orderstatus", ["F", "O", "P"], "w")
 
 
-@query("w11_scale_mix")
+def slope_sql(at: str) -> str:
+    t, h = f"(({at} - x0) / (x1 - x0))", "(x1 - x0)"
+    return f"(6 * {t} * ({t} - 1) * (y0 - y1) / {h} + (3 * {t} - 1) * ({t} - 1) * s0 + {t} * (3 * {t} - 2) * s1)"
+
+
+@query("w11_scale_mix", f"""WITH {CARRIED}, c AS (SELECT yr, scale, x, c - CASE WHEN st = scale THEN left_over ELSE 0 END AS y FROM u), {pchip_sql("c", "yr, scale")},
+rt AS (SELECT yr, scale, step, {slope_sql("(step / 399e0)")} AS rate FROM c_s JOIN range(400) t(step) ON {on_segment("(step / 399e0)")})
+SELECT yr, scale, step::INT AS step, round(rate / sum(rate) OVER (PARTITION BY yr, step), 6) AS share FROM rt""")
 def scale_mix(spark, d):
     out = tiling.seat_mix(orders_mix(spark, d), ["yr"])
     return out.select("yr", "scale", "step", F.round("share", 6).alias("share"))
