@@ -128,11 +128,12 @@ def anti_membership(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(keys, "c_custkey", "left_anti")
 
 
-@query("j12_median_default", """WITH w AS (SELECT l_suppkey, sum(l_quantity) AS w FROM lineitem WHERE l_tax = 0.08 AND l_linenumber = 1 AND l_returnflag = 'A' GROUP BY 1)
+@query("j12_median_default", """WITH w AS (SELECT l_suppkey, sum(l_quantity) FILTER (l_tax = 0.08 AND l_linenumber = 1 AND l_returnflag = 'A') AS w FROM lineitem GROUP BY 1)
 SELECT s_suppkey, round(coalesce(w, (SELECT median(w) FROM w)), 4) AS weight FROM supplier LEFT JOIN w ON l_suppkey = s_suppkey""")
 def median_default(spark, d):
-    w = table(spark, d, "lineitem").where("l_tax = 0.08 AND l_linenumber = 1 AND l_returnflag = 'A'").groupBy(
-        F.col("l_suppkey").alias("s_suppkey")).agg(F.sum("l_quantity").alias("w"))
+    counted = F.expr("l_tax = 0.08 AND l_linenumber = 1 AND l_returnflag = 'A'")
+    w = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
+        F.sum(F.when(counted, F.col("l_quantity"))).alias("w")).where("w is not null")
     out = intervals.with_median(table(spark, d, "supplier").select("s_suppkey"), w, ["s_suppkey"], "w")
     return out.select("s_suppkey", F.round("w", 4).alias("weight"))
 

@@ -68,13 +68,13 @@ def linear_density_levels(spark, d):
     return out.select("grp", "scale_a", "scale_b", "candidate", F.round("level_a", 8).alias("level_a"), F.round("level_b", 8).alias("level_b"))
 
 
-@query("m11_constant_density_levels", """WITH t AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS t FROM lineitem WHERE l_discount <= 0.1),
+@query("m11_constant_density_levels", """WITH t AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS t FROM lineitem),
 k AS (SELECT *, CASE WHEN 0.55 >= t THEN 2 WHEN 0.85 >= t THEN 1 ELSE 0 END AS k FROM t)
 SELECT l_orderkey, l_linenumber, round((k + 1) / 3.0 - (t - CASE k WHEN 2 THEN 0 WHEN 1 THEN 0.55 ELSE 0.85 END) /
   (CASE k WHEN 2 THEN 0.55 WHEN 1 THEN 0.3 ELSE 0.15 END * 3), 8) AS level FROM k""")
 def constant_density_levels(spark, d):
     shares = F.array(F.lit(0.15), F.lit(0.30), F.lit(0.55))
-    lines = table(spark, d, "lineitem").where("l_discount <= 0.1").withColumn("s", shares).withColumn("above", F.array(
+    lines = table(spark, d, "lineitem").withColumn("s", shares).withColumn("above", F.array(
         F.lit(1.0), F.lit(0.85), F.lit(0.55), F.lit(0.0)))
     level = models.level_constant(F.col("l_discount") * 10, F.col("s"), F.col("above"))
     return lines.select("l_orderkey", "l_linenumber", F.round(level, 8).alias("level"))

@@ -121,12 +121,13 @@ def scale_pivot(spark, d):
     return out.select("l_suppkey", *[F.round(c, 6).alias(c) for c in ("A", "N", "R")])
 
 
-@query("a8_scale_spread", """WITH p AS (SELECT l_partkey, l_returnflag AS f, sum(l_discount * l_quantity) / sum(l_quantity) AS v
-  FROM lineitem WHERE l_tax > 0.05 GROUP BY 1, 2)
-SELECT l_partkey, CASE WHEN count(*) > 1 THEN round(max(v) - min(v), 6) END AS spread FROM p GROUP BY 1""")
+@query("a8_scale_spread", """WITH p AS (SELECT l_partkey, CASE WHEN l_tax > 0.05 THEN l_returnflag END AS f, sum(l_discount * l_quantity) / sum(l_quantity) AS v
+  FROM lineitem GROUP BY 1, 2)
+SELECT l_partkey, CASE WHEN count(f) > 1 THEN round(max(v) FILTER (f IS NOT NULL) - min(v) FILTER (f IS NOT NULL), 6) END AS spread FROM p GROUP BY 1""")
 def scale_spread(spark, d):
-    lines = table(spark, d, "lineitem").where("l_tax > 0.05")
-    out = rollup.readings(lines, ["l_partkey"], "l_returnflag", ["A", "N", "R"], "l_discount", "l_quantity")
+    """Lines of low tax belong to no scale, so some parts have one scale or none."""
+    lines = table(spark, d, "lineitem").withColumn("f", F.when(F.col("l_tax") > 0.05, F.col("l_returnflag")))
+    out = rollup.readings(lines, ["l_partkey"], "f", ["A", "N", "R"], "l_discount", "l_quantity")
     return out.select("l_partkey", F.round("spread", 6).alias("spread"))
 
 
@@ -309,12 +310,12 @@ def rate_applied_query(spark, d):
     return rate_applied(weights, rates, ["yr"], "w", "rate", default=0.5).select("o_custkey", "yr", "estimate")
 
 
-@query("a36_candidate_names", """SELECT DISTINCT * FROM (SELECT p_brand AS grp, p_name AS name FROM part WHERE p_size > 25
+@query("a36_candidate_names", """SELECT DISTINCT * FROM (SELECT p_brand AS grp, p_name AS name FROM part
 UNION ALL SELECT p_brand, p_type FROM part)""")
 def candidate_names(spark, d):
     """Name sets kept as rows: a group's set may be long."""
     part = table(spark, d, "part")
-    names = part.where("p_size > 25").select(F.col("p_brand").alias("grp"), F.col("p_name").alias("name"))
+    names = part.select(F.col("p_brand").alias("grp"), F.col("p_name").alias("name"))
     return names.unionByName(part.select(F.col("p_brand").alias("grp"), F.col("p_type").alias("name"))).distinct()
 
 

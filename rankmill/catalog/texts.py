@@ -351,9 +351,10 @@ def json_flatten(spark, d):
     return table(spark, d, "events").select("event_id", F.explode(cells.listed(json, "$.data.name")).alias("name"))
 
 
-@query("f17_era_year", """SELECT o_orderkey, CAST(year(o_orderdate) - 1911 + 1911 AS INTEGER) AS western FROM orders""")
+@query("f17_era_year", """SELECT p_partkey, p_size + 1911 AS western FROM part""")
 def era_year(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", cells.western_year(F.year("o_orderdate") - 1911).alias("western"))
+    """Part sizes stand for years of the era that begins after 1911."""
+    return table(spark, d, "part").select("p_partkey", cells.western_year(F.col("p_size")).alias("western"))
 
 
 @query("f18_split_at_head", """SELECT p_partkey, CASE WHEN p_size > 10 THEN p_brand || 'UNIV' ELSE 'carried' END AS head, CASE WHEN p_size > 10 THEN p_name ELSE p_brand || ' ' || p_name END AS tail FROM part""")
