@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Sequence
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Suffixes that mark a document.
 DOCUMENT_SUFFIXES = (".pdf", ".doc", ".docx", ".odt", ".xls", ".xlsx", ".ods")
@@ -29,7 +33,7 @@ def origin(url: Column) -> Column:
 
 def variants(url: Column) -> Column:
     """The secure form first where the URL is plain http, then the URL."""
-    secure = F.regexp_replace(url, "^http://", "https://")
+    secure = F.regexp_replace(url, "(?i)^http://", "https://")
     return F.when(F.coalesce(url, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array(secure, url)))
 
 
@@ -47,22 +51,24 @@ def without_fragment(url: Column) -> Column:
     return F.substring_index(url, "#", 1)
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def _joined(base: pd.Series, link: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(b) or pd.isna(k) else urljoin(b, k) for b, k in zip(base, link)], dtype=object)
+
+
 def unescaped(text: Column) -> Column:
-    """Common character references back to their characters."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """All character references back to their characters."""
+    return F.when(F.contains(text, F.lit("&")), _decoded(text)).otherwise(text)
 
 
 def absolute(link: Column, site: Column) -> Column:
-    """A link joined to its site's origin."""
-    link = unescaped(F.trim(link))
-    return (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
-        .when(link.startswith("//"), F.concat(F.substring_index(site, ":", 1), F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(site, link))
-        .otherwise(F.concat(site, F.lit("/"), link))
-    )
+    """A link resolved against its site or page, dot segments, queries and fragments included."""
+    return _joined(site, unescaped(F.trim(link)))
 
 
 def file_name(url: Column) -> Column:

@@ -219,7 +219,7 @@ def links(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
                         F.regexp_extract_all(html, F.lit(LINK), F.lit(2)).alias("t"))
     rows = pages.select(key, url, F.posexplode(pair).alias("place", "_p"))
     label = folded_space(web.unescaped(F.regexp_replace(F.col("_p.t"), "<[^>]*>", "")))
-    return rows.select(key, "place", label.alias("link_label"), web.absolute(F.col("_p.h"), web.origin(F.col(url))).alias("link_url"))
+    return rows.select(key, "place", label.alias("link_label"), web.absolute(F.col("_p.h"), F.col(url)).alias("link_url"))
 
 
 def candidates(found: DataFrame, url: str, order: Column, attributes: Sequence[str], keyword: str) -> DataFrame:
