@@ -253,7 +253,12 @@ def loading_sweep(spark, d):
     return out.select("candidate", F.round("mae", 6).alias("mae"), F.round("normalised", 6).alias("normalised"))
 
 
-@query("m19_noise_diagnosis")
+@query("m19_noise_diagnosis", f"""WITH {_noisy_sql(0.8)}, rd AS (SELECT nb.grp, gated AS noisy, weight,
+  CASE bucket WHEN 'A' THEN (sqrt(9 - 8 * t) - 1) / 2 ELSE 1 - t END AS exact FROM lv JOIN nb USING (grp, bucket) WHERE bucket <> 'R'),
+gp AS (SELECT grp, sum(abs(noisy - exact)) AS s, max(abs(noisy - exact)) AS m, count(*) AS n, sum(weight) AS w, max(exact) - min(exact) AS e,
+  max(noisy) - min(noisy) AS o FROM rd GROUP BY 1)
+SELECT round(100 * sum(s) / sum(n), 4) AS mean_shift, round(100 * max(m), 4) AS max_shift,
+  round(100 * sum(e * w) FILTER (n > 1) / sum(w) FILTER (n > 1), 4) AS before, round(100 * sum(o * w) FILTER (n > 1) / sum(w) FILTER (n > 1), 4) AS after FROM gp""")
 def noise_diagnosis(spark, d):
     bars = noisy_bars(spark, d).where("top is not null")
     side = models.with_above(spark.createDataFrame([(s, list(v)) for s, v in READER.items()], "scale string, values array<double>"), True)
