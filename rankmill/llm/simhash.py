@@ -172,8 +172,18 @@ def links(different: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
                 row, key, nearest = keys_of(part)
                 yield pd.DataFrame({"key": key, "fp": part[row], "nearest": nearest})
 
-    keyed = cut_lineage(different.select("fp").mapInPandas(each, "key bigint, fp bigint, nearest boolean"))
-    hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    prints = different.select("fp")
+    keyed = prints.mapInPandas(each, "key bigint, fp bigint, nearest boolean")
+    # A key cannot gather more than its plain segment does. Keys are counted only where that
+    # is many; there are at most 4 x 65536 segment values, so these may go to every task.
+    segment = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", BITS * i).bitwiseAND(0xFFFF).alias("value")) for i in range(SEGMENTS)]
+    full = prints.select("fp", F.inline(F.array(*segment))).groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
+    full = F.broadcast(cut_lineage(full.where(F.col("n") > block).select("i", "value")))
+    crowded = prints.select("fp", F.inline(F.array(*segment))).join(full, ["i", "value"], "left_semi").select("fp").distinct()
+    counted = crowded.mapInPandas(each, "key bigint, fp bigint, nearest boolean")
+    here = (F.shiftright("key", 29) == F.col("i")) & (F.shiftright("key", 12).bitwiseAND(0xFFFF) == F.col("value"))
+    counted = counted.join(full, here, "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = cut_lineage(counted.where(F.col("n") > block))
     parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
     rows = keyed.join(hot.select("key", parts.alias("parts")), "key", "left")
     whole = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.col("nearest").alias("probe"), F.lit(True).alias("member")))
@@ -201,7 +211,7 @@ def linked(
     roots = components(links(different, distance), "x", "y").withColumnRenamed("node", "fp")
     classes = different.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = classes.groupBy("root").agg(F.min("low").alias("least"), F.sum("n").alias("component_size"))
-    named = classes.select("fp", "root").join(lows, "root").select("fp", "least", "component_size")
+    named = cut_lineage(classes.select("fp", "root").join(lows, "root").select("fp", "least", "component_size"))
     first = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("text_hash") == F.col("least.text_hash"))
     return made.join(named, "fp").select(
         F.col("id").alias(doc_id), "text_hash", "fp", F.col("least.id").alias("component_id"), "component_size", first.alias("first")
