@@ -45,10 +45,12 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, prefix_chars: int) -> DataFr
 
 def survivors(keys: DataFrame) -> DataFrame:
     """Of rows with ``_x_bytes`` and ``_x_head``, those that share both with another row."""
-    lengths = keys.groupBy("_x_bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_x_bytes")
-    rest = keys.join(lengths, "_x_bytes", "left_semi")
-    heads = rest.groupBy("_x_bytes", "_x_head").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rest.join(heads.select("_x_bytes", "_x_head"), ["_x_bytes", "_x_head"], "left_semi").distinct()
+    rest = keys
+    for by in (["_x_bytes"], ["_x_bytes", "_x_head"]):
+        groups = rest.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*by)
+        # Written, the groups are a plain side of the join: Spark splits hot keys of the other.
+        rest = rest.join(cut_lineage(groups), by, "left_semi")
+    return rest.distinct()
 
 
 def _meet(rows: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
@@ -90,6 +92,7 @@ def decisions(
         .groupBy(F.col("_x_bytes").alias("g_bytes"), F.col("full_hash").alias("g_hash"))
         .agg(F.max("_x_id").alias("g_keep"), F.sum("copies").alias("g_size"))
     )
+    groups = cut_lineage(groups)
     same = (F.col("_x_bytes") == F.col("g_bytes")) & (F.col("full_hash") == F.col("g_hash"))
     alone = F.col("g_size").isNull()
     return read.join(groups, same, "left").select(
