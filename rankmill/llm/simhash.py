@@ -35,6 +35,7 @@ from rankmill.session import cut_lineage
 
 from .components import components
 from .golay import BITS, near
+from .similar import near_links
 from .words import lower_words
 
 SHINGLE = 3
@@ -42,10 +43,8 @@ DISTANCE = 3
 SEED = 42
 SEGMENTS = 4
 BLOCK = 4096
-#: For the rows that stay: shingles, similarity, and the number of fingerprints of words.
-SIMILAR_SHINGLE = 5
+#: For the rows that stay.
 SIMILARITY = 0.8
-WIDE = 3
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -223,71 +222,6 @@ def linked(
     )
 
 
-def _named(links: DataFrame, by_print: DataFrame) -> DataFrame:
-    """Links of fingerprints (x, y) as links of the nodes that stand for them (u, v)."""
-    left, right = by_print.select(F.col("fp").alias("x"), F.col("low").alias("u")), by_print.select(F.col("fp").alias("y"), F.col("low").alias("v"))
-    return links.join(left, "x").join(right, "y").select("u", "v")
-
-
-def _word_prints(text: str | None) -> np.ndarray:
-    """``WIDE`` fingerprints of the different words, from 192 bits of hash for each word."""
-    words = set(lower_words(text))
-    if not words:
-        return np.zeros(WIDE, dtype=np.int64)
-    joined = b"".join(xxhash.xxh3_128_digest(w) + xxhash.xxh3_64_digest(w) for w in words)
-    bits = np.unpackbits(np.frombuffer(joined, np.uint8).reshape(-1, 8 * WIDE), axis=1)
-    return np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(words)).view(np.int64)
-
-
-def _shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """Add ``_x_set``, the different shingle hashes of each text."""
-
-    @F.pandas_udf("array<bigint>")
-    def sets(texts: pd.Series) -> pd.Series:
-        out = []
-        for content in texts:
-            words = lower_words(content)
-            joined = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) > shingle else [words]
-            out.append(np.array(list({xxhash.xxh64_intdigest(b" ".join(x)) for x in joined}), dtype=np.uint64).view(np.int64))
-        return pd.Series(out)
-
-    return docs.withColumn("_x_set", sets(F.col(text)))
-
-
-def near_links(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """(u, v): pairs of rows whose sets of ``shingle``-word shingles agree to ``similarity`` or more.
-
-    A row is named by a hash of id and text. Changing a word changes five shingles but one
-    word, so candidates come from ``WIDE`` independent fingerprints of the different words,
-    each searched by the same keys; what differs in at most 3 bits of any of them, or shares
-    one, is compared exactly. Candidates are the links of forests, not all pairs of a group.
-    """
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = np.stack([_word_prints(t) for t in batch["text"]]) if len(batch) else np.zeros((0, WIDE), dtype=np.int64)
-            yield pd.DataFrame({"node": batch["node"]} | {f"w{k}": made[:, k] for k in range(WIDE)})
-
-    node = F.xxhash64(F.col(doc_id), _text_hash(text))
-    rows = docs.select(node.alias("node"), F.col(text).alias("text"))
-    made = cut_lineage(rows.mapInPandas(each, "node bigint" + "".join(f", w{k} bigint" for k in range(WIDE))).distinct())
-    pairs = None
-    for k in range(WIDE):
-        prints = made.select("node", F.col(f"w{k}").alias("fp"))
-        lows = cut_lineage(prints.groupBy("fp").agg(F.min("node").alias("low")))
-        same = prints.join(lows, "fp").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
-        found = _named(links(lows), lows).union(same)
-        pairs = found if pairs is None else pairs.union(found)
-    pairs = cut_lineage(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = docs.select(node.alias("node"), F.col(text).alias("text")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    sets = cut_lineage(_shingle_sets(texts, "text", shingle).select("node", "_x_set"))
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("_x_set").alias("a")), "u")
-    both = both.join(sets.select(F.col("node").alias("v"), F.col("_x_set").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
-
-
 def deduplicated(
     docs: DataFrame,
     doc_id: str = "doc_id",

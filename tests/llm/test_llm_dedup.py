@@ -195,6 +195,68 @@ def test_near_copies_leave_one(spark):
         assert jaccard(texts[node[r.u]], texts[node[r.v]]) >= 0.8
 
 
+def similar_pairs(texts, least=0.8):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (lower(t).split() for t in texts)]
+    number = {x: k for k, x in enumerate(set().union(*sets))}
+    marks = np.zeros((len(sets), len(number)), dtype=np.float32)
+    for i, one in enumerate(sets):
+        marks[i, [number[x] for x in one]] = 1
+    both, size = marks @ marks.T, marks.sum(axis=1)
+    return both >= least * (size[:, None] + size[None, :] - both) - 1e-3
+
+
+def groups(linked, count):
+    root = list(range(count))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in linked:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(a) for a in range(count)]
+
+
+def near_pairs(spark, texts, **options):
+    docs = frame(spark, list(enumerate(texts)))
+    node = {r.n: r.doc_id for r in docs.selectExpr("xxhash64(doc_id, xxhash64(text)) n", "doc_id").collect()}
+    return [(node[r.u], node[r.v]) for r in simhash.near_links(docs, "doc_id", "text", 0.8, **options).collect()]
+
+
+EDITS = ("appended", "cut", "block", "words")
+
+
+def edited():
+    """Thirty texts that end in one common line, each followed by a copy of every kind of edit."""
+    rng = np.random.default_rng(21)
+
+    def fresh(n):
+        return [f"w{x}" for x in rng.integers(0, 5000, n)]
+
+    texts = []
+    for _ in range(30):
+        base = fresh(rng.integers(30, 500)) + [f"common{x}" for x in range(40)]
+        n = len(base)
+        appended = base + fresh(round(n * rng.uniform(0.02, 0.3)))
+        cut = base[: round(n * rng.uniform(0.7, 0.98))]
+        block = base[:20] + fresh(round(n * rng.uniform(0.02, 0.15))) + base[20 + round(n * 0.08) :]
+        words = [x if rng.random() > 0.025 else fresh(1)[0] for x in base]
+        texts += [" ".join(x) for x in (base, appended, cut, block, words)]
+    return texts
+
+
+def test_near_links_reach_every_kind_of_edit(spark):
+    texts = edited()
+    close = similar_pairs(texts)
+    found = near_pairs(spark, texts)
+    assert all(close[a, b] for a, b in found)
+    root = groups(found, len(texts))
+    for k, kind in enumerate(EDITS, 1):
+        ends = [(i, i + k) for i in range(0, len(texts), 5) if close[i, i + k]]
+        assert len(ends) > 8 and sum(root[a] == root[b] for a, b in ends) > 0.9 * len(ends), kind
+
+
 def covered(rows, least):
     where = defaultdict(set)
     words = {}
