@@ -9,7 +9,8 @@ which order it is changes the work and not the result.
 Equal sets are one node. Sets that meet under a key are held against their sizes and
 against the parities of their shingles in ``PARITIES`` cells: sets of n and m shingles and
 similarity t differ in at most (n + m) (1 - t) / (1 + t) shingles, and so in at most as many
-parities. What passes is compared on the whole sets. Keys are counted before they are dealt,
+parities. What passes is compared on the whole sets, first along forests of what passes and
+then, where a link did not hold, by a walk over all that the forest joined. Keys are counted before they are dealt,
 and one that gathers more than ``BLOCK`` sets is cut into pairs of blocks.
 """
 
@@ -27,11 +28,14 @@ from pyspark.sql import functions as F
 
 from rankmill.session import cut_lineage
 
+from .components import components
 from .words import lower_words
 
 SHINGLE = 5
 PARITIES = 512
 BLOCK = 2048
+#: Shingles of a block of whole sets.
+SHINGLES = 1_000_000
 #: Texts and shingles that the order is learned from, at most.
 SAMPLE = 20_000
 COMMON = 1_000_000
@@ -197,12 +201,51 @@ def _sets(rows: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     return cut_lineage(texts.select("node", sets("text").alias("set")))
 
 
+def _rest(pairs: DataFrame, checked: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(u, v): links beside ``checked`` that join what agrees, where a candidate link did not.
+
+    A forest of candidates reaches each node once, perhaps through one with which it does not
+    agree. So all nodes that candidates join, save where each link of theirs holds, are walked
+    again, here on their whole sets; what checked links join is reached together, not compared.
+    """
+
+    def work(group: pd.DataFrame) -> list[tuple[int, int]]:
+        node, label, sets = (group[c].to_numpy() for c in ("node", "label", "set"))
+        may = _may_agree(group, similarity)
+
+        def hits(at: int, rest: np.ndarray) -> np.ndarray:
+            own = label[rest] == label[at]
+            found = own.copy()
+            for k in np.flatnonzero(~own & may(at, rest)).tolist():
+                both = np.intersect1d(sets[at], sets[rest[k]], assume_unique=True).size
+                found[k] = both + SLACK >= similarity * (len(sets[at]) + len(sets[rest[k]]) - both)
+            return found
+
+        return [(node[i], node[j]) for i, j in _forest(len(group), hits) if label[i] != label[j]]
+
+    failed = cut_lineage(pairs.join(checked, ["u", "v"], "left_anti"))
+    if failed.isEmpty():
+        return failed
+    groups = components(pairs, "u", "v")
+    groups = cut_lineage(groups.union(groups.select("root", "root")).distinct())
+    open_ = failed.select(F.col("u").alias("node")).join(groups, "node").select("root").distinct()
+    rows = groups.join(open_, "root", "left_semi").join(nodes.select("node", "n", "bits"), "node")
+    labels = components(checked, "u", "v").withColumnRenamed("root", "label")
+    rows = cut_lineage(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    size = rows.groupBy("root").agg(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / SHINGLES).alias("size"))
+    rows = _cells(rows.join(size, "root"), F.ceil("size")).join(sets, "node")
+    rows = rows.select("root", "a", "b", "node", "label", "n", "bits", "set")
+    rows = rows.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "node")
+    return rows.mapInPandas(_in_groups(("root", "a", "b"), work), "u bigint, v bigint").distinct()
+
+
 def near_links(
     docs: DataFrame, doc_id: str, text: str, similarity: float, shingle: int = SHINGLE, *, block: int = BLOCK
 ) -> DataFrame:
     """(u, v): pairs of rows whose sets of ``shingle``-word shingles agree to ``similarity`` or more.
 
-    A row is named by a hash of id and text. The links are a spanning forest's, not all pairs.
+    A row is named by a hash of id and text. The links join all that such pairs join,
+    transitively; they are not all pairs.
     """
     if not 0 < similarity <= 1:
         raise ValueError("a similarity is above 0 and at most 1")
@@ -228,5 +271,5 @@ def near_links(
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u")
     both = both.join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
     agree = F.size(F.array_intersect("x", "y"))
-    checked = both.where(agree + SLACK >= similarity * (F.size("x") + F.size("y") - agree)).select("u", "v")
-    return checked.union(same).distinct()
+    checked = cut_lineage(both.where(agree + SLACK >= similarity * (F.size("x") + F.size("y") - agree)).select("u", "v"))
+    return checked.union(same).union(_rest(pairs, checked, nodes, sets, similarity, block)).distinct()

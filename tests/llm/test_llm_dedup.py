@@ -210,6 +210,7 @@ def groups(linked, count):
 
     def find(a):
         while root[a] != a:
+            root[a] = root[root[a]]
             a = root[a]
         return a
 
@@ -257,6 +258,33 @@ def test_near_links_reach_every_kind_of_edit(spark):
         assert len(ends) > 8 and sum(root[a] == root[b] for a, b in ends) > 0.9 * len(ends), kind
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_near_links_join_all_that_agrees(spark, block):
+    texts = edited()
+    found = near_pairs(spark, texts, block=block)
+    close = similar_pairs(texts)
+    assert all(close[a, b] for a, b in found)
+    assert groups(found, len(texts)) == groups(np.argwhere(close), len(texts))
+
+
+def test_near_links_join_a_dense_family(spark):
+    """Variants that agree with their base and not with each other, and chains of them, thousands in all."""
+    rng = np.random.default_rng(22)
+    texts = []
+    for words, edit, count in ((1200, 95, 150), (60, 1, 1500), (200, 6, 600)):
+        base = [f"b{words}x{x}" for x in range(words)]
+        family = [list(base) for _ in range(count)]
+        for k, copy in enumerate(family):
+            at = int(rng.integers(0, words - edit))
+            copy[at : at + edit] = [f"e{words}y{k}y{x}" for x in range(edit)] if k else copy[at : at + edit]
+        texts += [" ".join(x) for x in family]
+    close = similar_pairs(texts)
+    assert close.mean() < 0.5
+    found = near_pairs(spark, texts, block=400)
+    assert all(close[a, b] for a, b in found) and len(found) < 20 * len(texts)
+    assert groups(found, len(texts)) == groups(np.argwhere(close), len(texts))
+
+
 def covered(rows, least):
     where = defaultdict(set)
     words = {}
