@@ -28,14 +28,15 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankmill.session import cut_lineage
 
 from .components import components
 from .golay import BITS, near
-from .similar import near_links
+from .similar import near_links, node_of
+from .similar import text_hash as _text_hash
 from .words import lower_words
 
 SHINGLE = 3
@@ -78,10 +79,6 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return rows.mapInPandas(each, f"id {dict(docs.dtypes)[doc_id]}, text_hash bigint, fp bigint")
 
 
-def _text_hash(text: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-
-
 def keys_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, key, nearest) of each key of each fingerprint."""
     starts, indices, nearest = near()
@@ -222,33 +219,23 @@ def linked(
     )
 
 
-def deduplicated(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    *,
-    shingle: int = SHINGLE,
-    distance: int = DISTANCE,
-    similarity: float = SIMILARITY,
-) -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, similarity: float = SIMILARITY) -> DataFrame:
     """The rows that stay, with their own columns: one of each group.
 
-    Groups join what ``distance`` bits of the fingerprint join and, beside these, the pairs
-    of ``near_links``. The row with the least id stays. Only ids and text hashes of the rows
-    that stay meet the texts again, on a key made of both, which no group of copies shares.
+    Groups join the pairs of ``near_links``, each held against ``similarity`` on its whole sets
+    of shingles. These miss no such pair, so links of the SimHash contract would add none, and
+    what they link at a lower similarity stays. The row with the least id stays. Only ids and
+    text hashes of the rows that stay meet the texts again, on a key made of both, which no
+    group of copies shares.
     """
-    made = linked(docs, doc_id, text, shingle=shingle, distance=distance)
-    place = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), "text_hash")
-    rows = made.select(F.xxhash64(doc_id, "text_hash").alias("node"), "root", place.alias("place")).distinct()
-    rows = cut_lineage(rows)
-    tops = cut_lineage(rows.groupBy("root").agg(F.min("node").alias("top")))
-    inside = rows.join(tops, "root").select(F.col("node").alias("x"), F.col("top").alias("y"))
-    near = near_links(docs, doc_id, text, similarity).select(F.col("u").alias("x"), F.col("v").alias("y"))
-    roots = components(inside.union(near), "x", "y").withColumnRenamed("root", "group")
+    place = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), _text_hash(text).alias("text_hash"))
+    rows = cut_lineage(docs.select(node_of(doc_id, text).alias("node"), place.alias("place")).distinct())
+    near = near_links(docs, doc_id, text, similarity)
+    roots = components(near, "u", "v").withColumnRenamed("root", "group")
     groups = rows.join(roots, "node", "left").select("place", "node", F.coalesce("group", "node").alias("group"))
     kept = groups.groupBy("group").agg(F.min_by("node", "place").alias("_y_key"), F.min("place")["id"].alias("_y_id"))
     kept = cut_lineage(kept.select("_y_key", "_y_id"))
-    wide = docs.withColumn("_x_key", F.xxhash64(F.col(doc_id), _text_hash(text)))
+    wide = docs.withColumn("_x_key", node_of(doc_id, text))
     same = (wide["_x_key"] == kept["_y_key"]) & wide[doc_id].eqNullSafe(kept["_y_id"])
     wide = wide.join(kept, same, "left_semi")
     again = F.row_number().over(Window.partitionBy("_x_key").orderBy("_x_key"))

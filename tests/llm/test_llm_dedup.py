@@ -285,6 +285,15 @@ def test_near_links_join_a_dense_family(spark):
     assert groups(found, len(texts)) == groups(np.argwhere(close), len(texts))
 
 
+def test_simhash_links_of_low_similarity_stay(spark):
+    loop = " ".join(f"r{x}" for x in range(31))
+    rows = [(k, " ".join([loop] * 50 + [f"t{k}y{x}" for x in range(60)])) for k in range(4)]
+    docs = frame(spark, [*rows, (9, rows[0][1] + " more")])
+    assert jaccard(rows[0][1], rows[1][1]) < 0.5
+    assert {r.component_id for r in simhash.linked(docs).collect()} == {0}
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == [0, 1, 2, 3]
+
+
 def covered(rows, least):
     where = defaultdict(set)
     words = {}
