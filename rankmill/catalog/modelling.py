@@ -268,6 +268,17 @@ def noise_diagnosis(spark, d):
     return out.select(*[F.round(c, 4).alias(c) for c in out.columns])
 
 
+@query("m19_noise_summary")
+def noise_summary(spark, d):
+    """The noise diagnosis over all bars: rank bars too, and both readings behind their gates."""
+    bars = noisy_bars(spark, d)
+    ceiling = F.lit(latent.CEILING)
+    rows = latent.noisy_levels(bars, READER, ceiling, ceiling, "exact")
+    rows = latent.noisy_levels(rows, READER, F.lit(0.9), F.lit(0.8), "noisy")
+    out = latent.diagnose(rows, ["grp"], "exact", "noisy", "weight")
+    return out.select(*[F.round(c, 4).alias(c) for c in out.columns])
+
+
 @query("m19_gate_lift", f"""WITH {_noisy_sql(0.8)} SELECT grp, round(gated, 6) AS gated, round(plain, 6) AS plain, round(100 * (gated - plain), 4) AS lift
 FROM lv WHERE bucket = 'R' ORDER BY 100 * (gated - plain) DESC, grp LIMIT 20""")
 def gate_lift(spark, d):

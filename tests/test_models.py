@@ -169,3 +169,18 @@ def test_margin_laws(spark):
     edge = {r.id: r.reading for r in atoms.marginal_level(df, frame, "id", "rank", "gate", "wanted", 200_000.0).collect()}
     assert all(edge[i] <= mean[i] + 1e-6 for i in range(60))
     assert all(edge[200 + i] >= edge[100 + i] - 1e-6 for i in range(60))
+
+
+def test_noise_summary_reads_rank_bars_and_gates(spark, sf_dir):
+    from rankmill.catalog import modelling
+
+    got = modelling.noise_summary(spark, sf_dir).first()
+    bars = modelling.noisy_bars(spark, sf_dir)
+    bars = latent.noisy_levels(bars, modelling.READER, F.lit(0.999), F.lit(0.999), "exact")
+    rows = latent.noisy_levels(bars, modelling.READER, F.lit(0.9), F.lit(0.8), "noisy").toPandas()
+    rows["shift"] = 100 * (rows["noisy"] - rows["exact"]).abs()
+    assert rows["shift"].notna().all() and (rows["bucket"] == "R").any()
+    spans = rows.groupby("grp").agg(n=("shift", "size"), w=("weight", "sum"), e=("exact", np.ptp), o=("noisy", np.ptp))
+    spans = spans[spans["n"] > 1]
+    want = [rows["shift"].mean(), rows["shift"].max(), *(100 * (spans[c] * spans["w"]).sum() / spans["w"].sum() for c in "eo")]
+    assert list(got) == pytest.approx(want, abs=1e-3)
