@@ -62,4 +62,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._step_path = path
+    return made
+
+
+def release(*steps: DataFrame) -> None:
+    """Delete the folders of steps made by ``cut_lineage`` that nothing will read again.
+
+    For the rounds of an operator, once what follows from a step is itself written. Frames
+    from elsewhere are left alone.
+    """
+    for step in steps:
+        path = getattr(step, "_step_path", None) if "_step_path" in step.__dict__ else None
+        if path is not None:
+            place = step.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(step.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
