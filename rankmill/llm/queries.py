@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from rankmill.session import scratch_path
 
-from . import ann, chat, exact, main_text, mixing, packing, secrets, simhash, suffixes, toxicity
-from .words import lowered
+from . import ann, chat, exact, main_text, mixing, packing, periodic, quantised, secrets, simhash, spelling, suffixes, toxicity
+from .words import WORD, lowered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -184,3 +184,41 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text"),
     )
     return chat.digests(chat.formatted(rows.unionByName(hostile)))
+
+
+@query("op11_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return spelling.variants(spelling.vocabulary(docs, damage=31))
+
+
+def looped(doc_id: str, text: str) -> Column:
+    """The text, made periodic from some word on where 10 divides the CRC-32 of the id."""
+    h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(text, F.lit(WORD), 0)
+    n = F.size(words)
+    start = g % n
+    period = 1 + F.floor((n - start) / (3 + g % 8))
+    tail = F.flatten(F.array_repeat(F.slice(words, start.cast("int") + 1, period.cast("int")), F.ceil((n - start) / period).cast("int")))
+    made = F.slice(F.concat(F.slice(words, 1, start.cast("int")), tail), 1, n)
+    return F.when((h % 10 == 0) & F.col(text).rlike(WORD), F.array_join(made, " ")).otherwise(F.col(text))
+
+
+@query("op12_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", looped("doc_id", "text").alias("text"))
+    made = periodic.periodic(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    every = F.concat(F.array_join(lines, "\n"), F.when(F.size(lines) > 0, "\n").otherwise(""))
+    return made.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-best["start"]).alias("start"), best["length"].alias("length"),
+        (-best["period"]).alias("period"), F.floor(best["length"] * 1000 / -best["period"]).cast("bigint").alias("exponent_milli"),
+        F.sha2(every, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+@query("op13_embedding_groups")
+def embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised.linked(table(spark, sf_dir, "embeddings"))
