@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.session import cut_lineage
+from rankmill.session import cut_lineage, release
 
 MOST_ROUNDS = 60
 
@@ -31,7 +31,8 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
 
     ``links`` holds integers. Links of a node to itself and repeated links are allowed;
     nodes without a link to another are not returned. Rounds end when the set of links
-    is a star around each root; each round is written to the shared folder.
+    is a star around each root; each round is written to the shared folder, and the one
+    before it deleted.
     """
     big, small = F.greatest(left, right), F.least(left, right)
     links = links.select(big.alias("u"), small.alias("v")).where("u <> v").distinct()
@@ -40,7 +41,8 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         both = _pairs(links, ("u", "v"), ("v", "u"))
         large = _pairs(_hooked(both).where("v > u"), ("v", "m"))
-        links = cut_lineage(_pairs(_hooked(large), ("u", "m"), ("v", "m")))
+        done, links = links, cut_lineage(_pairs(_hooked(large), ("u", "m"), ("v", "m")))
+        release(done)
         now = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v"))).first()
         if now == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))

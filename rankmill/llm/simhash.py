@@ -35,7 +35,7 @@ from rankmill.session import cut_lineage
 
 from .components import components
 from .golay import BITS, near
-from .similar import near_links, node_of
+from .similar import Sketch, near_links, node_of
 from .similar import text_hash as _text_hash
 from .words import lower_words
 
@@ -222,15 +222,17 @@ def linked(
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, similarity: float = SIMILARITY) -> DataFrame:
     """The rows that stay, with their own columns: one of each group.
 
-    Groups join the pairs of ``near_links``, each held against ``similarity`` on its whole sets
-    of shingles. These miss no such pair, so links of the SimHash contract would add none, and
-    what they link at a lower similarity stays. The row with the least id stays. Only ids and
+    Candidates are first what Golay keys link at three bits, with the fingerprints of
+    ``linked``, then what prefix filtering of shingle sets adds (``near_links``): at
+    ``similarity`` most pairs differ in more bits than the keys reach, and by the sets none is
+    missed. Every pair of both is held against ``similarity`` on its whole sets of shingles, so
+    that what only the fingerprints link stays. The row with the least id stays. Only ids and
     text hashes of the rows that stay meet the texts again, on a key made of both, which no
     group of copies shares.
     """
     place = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), _text_hash(text).alias("text_hash"))
     rows = cut_lineage(docs.select(node_of(doc_id, text).alias("node"), place.alias("place")).distinct())
-    near = near_links(docs, doc_id, text, similarity)
+    near = near_links(docs, doc_id, text, similarity, sketch=Sketch(fingerprint, links))
     roots = components(near, "u", "v").withColumnRenamed("root", "group")
     groups = rows.join(roots, "node", "left").select("place", "node", F.coalesce("group", "node").alias("group"))
     kept = groups.groupBy("group").agg(F.min_by("node", "place").alias("_y_key"), F.min("place")["id"].alias("_y_id"))

@@ -7,18 +7,26 @@ texts repeats last, most repeated at the very end, so that common passages seldo
 which order it is changes the work and not the result.
 
 Equal sets are one node. Sets that meet under a key are held against their sizes and
-against the parities of their shingles in ``PARITIES`` cells: sets of n and m shingles and
-similarity t differ in at most (n + m) (1 - t) / (1 + t) shingles, and so in at most as many
-parities. What passes is compared on the whole sets, first along forests of what passes and
-then, where a link did not hold, by a walk over all that the forest joined. Keys are counted before they are dealt,
-and one that gathers more than ``BLOCK`` sets is cut into pairs of blocks.
+against the parities of their shingles in ``PARITIES`` cells, more for sets of more shingles:
+sets of n and m shingles and similarity t differ in at most (n + m) (1 - t) / (1 + t)
+shingles, and so in at most as many parities. What passes is a candidate. Under each key only
+a forest of candidates is taken, and each pair is verified once on the whole sets. A link
+that holds joins two labels, and nodes of one label are never compared again. A link that
+fails reaches nothing: the keys that gave it are walked again without it, ``ROUNDS`` times by
+forests and at last by all candidates between different labels that are left there, so that
+no pair is missed. Sets move only for pairs that are verified.
+
+Candidates may come from another sketch first (``Sketch``); what it links and the sets
+confirm is joined before the keys are walked. Keys are counted before they are dealt, and
+one that gathers more than ``BLOCK`` sets is cut into pairs of blocks. Work grows with the
+square of a group only where many texts meet under a key, pass the parities and yet fail.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,16 +34,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.session import cut_lineage
+from rankmill.session import cut_lineage, release
 
 from .components import components
 from .words import lower_words
 
 SHINGLE = 5
 PARITIES = 512
+MOST_PARITIES = 4096
 BLOCK = 2048
-#: Shingles of a block of whole sets.
-SHINGLES = 1_000_000
+#: Rounds of forests before all candidates left are taken.
+ROUNDS = 3
+#: Names of texts, of 8 bytes each, that are sent to all tasks, at most; more are joined.
+SENT = 200_000
 #: Texts and shingles that the order is learned from, at most.
 SAMPLE = 20_000
 COMMON = 1_000_000
@@ -58,9 +69,20 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined), dtype=np.uint64).view(np.int64))
 
 
-def parities(values: np.ndarray) -> bytes:
-    cells = (values.view(np.uint64) >> np.uint64(40)).astype(np.int64) % PARITIES
-    return np.packbits(np.bincount(cells, minlength=PARITIES) & 1).tobytes()
+def _cells_for(count: int) -> int:
+    """A power of two, ``PARITIES`` or more, at least the count of shingles up to ``MOST_PARITIES``."""
+    return min(MOST_PARITIES, max(PARITIES, 1 << (count - 1).bit_length()))
+
+
+def parities(values: np.ndarray, count: int = PARITIES) -> bytes:
+    """Whether a set has an odd number of shingles in each of ``count`` cells."""
+    cells = (values.view(np.uint64) >> np.uint64(40)).astype(np.int64) % count
+    return np.packbits(np.bincount(cells, minlength=count) & 1).tobytes()
+
+
+def _folded(bits: bytes, count: int) -> np.ndarray:
+    """Parities in ``count`` cells, from those in a multiple of it."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, dtype=np.uint64).reshape(-1, count // 64), axis=0)
 
 
 def keys_of(values: np.ndarray, similarity: float, common: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -101,39 +123,6 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, places
 
 
-def _in_groups(by: Sequence[str], work: Callable[[pd.DataFrame], list[tuple[int, int]]]):
-    """Rows sorted by ``by`` in; the links that ``work`` finds in each group of two or more out."""
-
-    def links_of(rows: pd.DataFrame) -> pd.DataFrame:
-        key = rows[list(by)].to_numpy()
-        edges = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        bounds = np.concatenate(([0], edges, [len(rows)]))
-        found: list[tuple[int, int]] = []
-        for at in np.flatnonzero(np.diff(bounds) > 1):
-            found += work(rows.iloc[bounds[at] : bounds[at + 1]])
-        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"u": pairs.min(axis=1), "v": pairs.max(axis=1)}) if len(pairs) else pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            last = tuple(batch[list(by)].iloc[-1])
-            open_ = (batch[list(by)] == last).all(axis=1)
-            if not open_.all():
-                yield links_of(pd.concat([*kept, batch[~open_]]))
-                kept = []
-            elif kept and tuple(kept[-1][list(by)].iloc[-1]) != last:
-                yield links_of(pd.concat(kept))
-                kept = []
-            kept.append(batch[open_])
-        if kept:
-            yield links_of(pd.concat(kept))
-
-    return each
-
-
 def _forest(count: int, hits: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
     """Links of a spanning forest, walked outwards from each place not yet reached."""
     links: list[tuple[int, int]] = []
@@ -153,20 +142,115 @@ def _forest(count: int, hits: Callable[[int, np.ndarray], np.ndarray]) -> list[t
     return links
 
 
-def _may_agree(group: pd.DataFrame, similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+def _apart(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Most shingles that sets of n and of m can differ in."""
+    return (n + m) * ((1 - similarity) / (1 + similarity)) + SLACK
+
+
+def _may_agree(n: np.ndarray, bits: np.ndarray, wide: list[bytes], similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
     """Test of one place against others by sizes and parities, true for all that do agree."""
-    n = group["n"].to_numpy()
-    bits = np.frombuffer(b"".join(group["bits"]), dtype=np.uint64).reshape(len(group), -1)
-    share = (1 - similarity) / (1 + similarity)
+    cells = np.array([len(w) * 8 for w in wide])
 
     def hits(at: int, rest: np.ndarray) -> np.ndarray:
-        sized = np.minimum(n[rest], n[at]) >= similarity * np.maximum(n[rest], n[at]) - SLACK
-        apart = np.bitwise_count(bits[rest] ^ bits[at]).sum(axis=1, dtype=np.int64)
-        return sized & (apart <= (n[rest] + n[at]) * share + SLACK)
+        most = _apart(n[rest], n[at], similarity)
+        held = np.minimum(n[rest], n[at]) >= similarity * np.maximum(n[rest], n[at]) - SLACK
+        held &= np.bitwise_count(bits[rest] ^ bits[at]).sum(axis=1, dtype=np.int64) <= most
+        for k in np.flatnonzero(held & (np.minimum(cells[rest], cells[at]) > 0)).tolist():
+            count = int(min(cells[rest[k]], cells[at]))
+            held[k] = np.bitwise_count(_folded(wide[rest[k]], count) ^ _folded(wide[at], count)).sum(dtype=np.int64) <= most[k]
+        return held
 
     return hits
 
 
+def _walked(similarity: float, exhaustive: bool):
+    """Rows sorted by (key, a, b) in, links of each such cell out: forests, or all candidates left.
+
+    Rows have node, label, n, bits and wide; those of role 1 are pairs (node, other) that
+    this cell has given before and that failed.
+    """
+
+    def cell(rows: pd.DataFrame, failed: pd.DataFrame) -> list[tuple[int, int]]:
+        label = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
+        counts = np.bincount(label)[label]
+        order = np.lexsort((label, -counts))  # what is joined most goes first
+        rows, label = rows.iloc[order], label[order]
+        node = rows["node"].to_numpy()
+        bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(len(rows), -1)
+        may = _may_agree(rows["n"].to_numpy(), bits, rows["wide"].tolist(), similarity)
+        place = {name: i for i, name in enumerate(node.tolist())}
+        not_again: dict[int, list[int]] = {}
+        for u, v in zip(failed["node"].tolist(), failed["other"].tolist(), strict=True):
+            not_again.setdefault(place[u], []).append(place[v])
+            not_again.setdefault(place[v], []).append(place[u])
+
+        def hits(at: int, rest: np.ndarray) -> np.ndarray:
+            own = label[rest] == label[at]
+            found = own.copy()
+            other = np.flatnonzero(~own)
+            found[other] = may(at, rest[other])
+            if at in not_again:
+                found[np.isin(rest, not_again[at])] = False
+            return found
+
+        if not exhaustive:
+            made = _forest(len(node), hits)
+        else:
+            every = np.arange(len(node))
+            made = [(i, j) for i in range(len(node)) for j in every[i + 1 :][hits(i, every[i + 1 :])].tolist()]
+        return [(node[i], node[j]) for i, j in made if label[i] != label[j]]
+
+    def links_of(rows: pd.DataFrame) -> pd.DataFrame:
+        by = rows[["key", "a", "b"]].to_numpy()
+        edges = np.flatnonzero((by[1:] != by[:-1]).any(axis=1)) + 1
+        bounds = np.concatenate(([0], edges, [len(rows)]))
+        size = np.diff(bounds)
+        node, label, n, role = (rows[c].to_numpy() for c in ("node", "label", "n", "role"))
+        # Cells of two nodes, by far the most, are tested all at once.
+        two = bounds[:-1][size == 2]
+        two = two[(role[two + 1] == 0) & (label[two] != label[two + 1])]
+        bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(-1, PARITIES // 64)
+        most = _apart(n[two], n[two + 1], similarity)
+        held = np.minimum(n[two], n[two + 1]) >= similarity * np.maximum(n[two], n[two + 1]) - SLACK
+        held &= np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1, dtype=np.int64) <= most
+        wide = rows["wide"].to_numpy()
+        for k in np.flatnonzero(held).tolist():
+            left, right = wide[two[k]], wide[two[k] + 1]
+            if count := min(len(left), len(right)) * 8:
+                held[k] = np.bitwise_count(_folded(left, count) ^ _folded(right, count)).sum(dtype=np.int64) <= most[k]
+        place = two[held]
+        made = [np.stack([place, node[place], node[place + 1]], axis=1)]
+        for at in np.flatnonzero(size > 2):
+            low, high = bounds[at], bounds[at + 1]
+            nodes = low + int((role[low:high] == 0).sum())
+            if (label[low:nodes] == label[low]).all():
+                continue
+            if found := cell(rows.iloc[low:nodes], rows.iloc[nodes:high]):
+                made.append(np.array([(low, u, v) for u, v in found], dtype=np.int64))
+        found = np.concatenate(made)
+        return pd.DataFrame({"key": by[found[:, 0], 0], "a": by[found[:, 0], 1], "b": by[found[:, 0], 2],
+                             "u": found[:, 1:].min(axis=1), "v": found[:, 1:].max(axis=1)})
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            if kept and tuple(kept[-1][["key", "a", "b"]].iloc[-1]) != tuple(batch[["key", "a", "b"]].iloc[0]):
+                yield links_of(pd.concat(kept))
+                kept = []
+            last = batch[["key", "a", "b"]].iloc[-1]
+            open_ = ((batch["key"] == last["key"]) & (batch["a"] == last["a"]) & (batch["b"] == last["b"])).to_numpy()
+            if not open_.all():
+                yield links_of(pd.concat([*kept, batch[~open_]]))
+                kept = []
+            kept.append(batch[open_])
+        if kept:
+            yield links_of(pd.concat(kept))
+
+    return each
+
+
 def _cells(rows: DataFrame, parts: Column) -> DataFrame:
     """Deal a group's rows to cells (a, b): in every pair of blocks all rows of both."""
     own = F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int")
@@ -175,72 +259,53 @@ def _cells(rows: DataFrame, parts: Column) -> DataFrame:
     return rows.withColumn("_cell", F.explode(cells)).select(*rows.columns, "_cell.a", "_cell.b")
 
 
-def _candidates(nodes: DataFrame, similarity: float, block: int) -> DataFrame:
-    """(u, v): links of forests of what meets under a key and may agree; ``nodes`` has node, n, bits, keys."""
+def _sent(names: DataFrame) -> DataFrame:
+    """Names to all tasks, where their written count is within ``SENT``."""
+    return F.broadcast(names) if names.count() <= SENT else names
 
-    def work(group: pd.DataFrame) -> list[tuple[int, int]]:
-        node = group["node"].to_numpy()
-        return [(node[i], node[j]) for i, j in _forest(len(group), _may_agree(group, similarity))]
-
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    met = cut_lineage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1"))
-    rows = keyed.join(met, "key").join(nodes.select("node", "n", "bits"), "node")
-    rows = _cells(rows, F.ceil(F.col("met") / F.lit(block))).select("key", "a", "b", "node", "n", "bits")
-    rows = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
-    return rows.mapInPandas(_in_groups(("key", "a", "b"), work), "u bigint, v bigint").distinct()
 
-
-def _sets(rows: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, set) of the nodes asked for; ``rows`` has node and text."""
+def _verified(rows: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v, agree) of each pair, on the whole sets; ``rows`` has node and text, and the result is written."""
 
     @F.pandas_udf("array<bigint>")
     def sets(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, shingle) for t in texts])
 
-    texts = rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    return cut_lineage(texts.select("node", sets("text").alias("set")))
+    names = cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    texts = rows.join(_sent(names), "node", "left_semi").dropDuplicates(["node"])
+    made = cut_lineage(texts.select("node", sets("text").alias("set")))
+    both = pairs.join(made.select(F.col("node").alias("u"), F.col("set").alias("x")), "u")
+    both = both.join(made.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
+    same = F.size(F.array_intersect("x", "y"))
+    found = cut_lineage(both.select("u", "v", (same + SLACK >= similarity * (F.size("x") + F.size("y") - same)).alias("agree")))
+    release(names, made)
+    return found
 
 
-def _rest(pairs: DataFrame, checked: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
-    """(u, v): links beside ``checked`` that join what agrees, where a candidate link did not.
+def _labels(links: DataFrame) -> DataFrame:
+    return components(links, "u", "v").withColumnRenamed("root", "label")
 
-    A forest of candidates reaches each node once, perhaps through one with which it does not
-    agree. So all nodes that candidates join, save where each link of theirs holds, are walked
-    again, here on their whole sets; what checked links join is reached together, not compared.
-    """
 
-    def work(group: pd.DataFrame) -> list[tuple[int, int]]:
-        node, label, sets = (group[c].to_numpy() for c in ("node", "label", "set"))
-        may = _may_agree(group, similarity)
+@dataclass(frozen=True)
+class Sketch:
+    """A fingerprint of a text, and a function that links near fingerprints: (fp) to (x, y)."""
 
-        def hits(at: int, rest: np.ndarray) -> np.ndarray:
-            own = label[rest] == label[at]
-            found = own.copy()
-            for k in np.flatnonzero(~own & may(at, rest)).tolist():
-                both = np.intersect1d(sets[at], sets[rest[k]], assume_unique=True).size
-                found[k] = both + SLACK >= similarity * (len(sets[at]) + len(sets[rest[k]]) - both)
-            return found
+    fingerprint: Callable[[str | None], int]
+    links: Callable[[DataFrame], DataFrame]
 
-        return [(node[i], node[j]) for i, j in _forest(len(group), hits) if label[i] != label[j]]
 
-    failed = cut_lineage(pairs.join(checked, ["u", "v"], "left_anti"))
-    if failed.isEmpty():
-        return failed
-    groups = components(pairs, "u", "v")
-    groups = cut_lineage(groups.union(groups.select("root", "root")).distinct())
-    open_ = failed.select(F.col("u").alias("node")).join(groups, "node").select("root").distinct()
-    rows = groups.join(open_, "root", "left_semi").join(nodes.select("node", "n", "bits"), "node")
-    labels = components(checked, "u", "v").withColumnRenamed("root", "label")
-    rows = cut_lineage(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    size = rows.groupBy("root").agg(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / SHINGLES).alias("size"))
-    rows = _cells(rows.join(size, "root"), F.ceil("size")).join(sets, "node")
-    rows = rows.select("root", "a", "b", "node", "label", "n", "bits", "set")
-    rows = rows.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "node")
-    return rows.mapInPandas(_in_groups(("root", "a", "b"), work), "u bigint, v bigint").distinct()
+def _sketched(nodes: DataFrame, sketch: Sketch) -> DataFrame:
+    """(u, v): each node with the least of its fingerprint, and these where fingerprints link."""
+    least = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    alike = nodes.select("node", "fp").join(least, "fp").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    near = sketch.links(least).join(least.select(F.col("fp").alias("x"), F.col("least").alias("p")), "x")
+    near = near.join(least.select(F.col("fp").alias("y"), F.col("least").alias("q")), "y")
+    return cut_lineage(alike.union(near.select(F.least("p", "q"), F.greatest("p", "q"))).distinct())
 
 
 def near_links(
-    docs: DataFrame, doc_id: str, text: str, similarity: float, shingle: int = SHINGLE, *, block: int = BLOCK
+    docs: DataFrame, doc_id: str, text: str, similarity: float, shingle: int = SHINGLE, *, block: int = BLOCK,
+    sketch: Sketch | None = None,
 ) -> DataFrame:
     """(u, v): pairs of rows whose sets of ``shingle``-word shingles agree to ``similarity`` or more.
 
@@ -256,20 +321,60 @@ def near_links(
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [shingle_set(t, shingle) for t in batch["text"]]
+            prints = np.array([sketch.fingerprint(t) for t in batch["text"]] if sketch else [0] * len(made), dtype=np.uint64)
             yield pd.DataFrame({
                 "node": batch["node"], "sig": [xxhash.xxh3_128_digest(s.tobytes()) for s in made], "n": [len(s) for s in made],
-                "bits": [parities(s) for s in made], "keys": [keys_of(s, similarity, *shared.value) for s in made]})
+                "bits": [parities(s) for s in made], "keys": [keys_of(s, similarity, *shared.value) for s in made],
+                "wide": [parities(s, _cells_for(len(s))) if len(s) > PARITIES else b"" for s in made], "fp": prints.view(np.int64)})
 
-    made = cut_lineage(rows.mapInPandas(each, "node bigint, sig binary, n bigint, bits binary, keys array<bigint>"))
+    made = cut_lineage(rows.mapInPandas(each, "node bigint, sig binary, n bigint, bits binary, keys array<bigint>, wide binary, fp bigint"))
     lows = made.groupBy("sig").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     lows = cut_lineage(lows.select("sig", "low"))
     same = made.select("node", "sig").join(lows, "sig").where("node <> low").select(F.least("node", "low").alias("u"), F.greatest("node", "low").alias("v"))
     one = made.join(lows.select("sig", F.col("low").alias("node")), ["sig", "node"], "left_semi").dropDuplicates(["node"])
     nodes = cut_lineage(made.join(lows, "sig", "left_anti").unionByName(one))
-    pairs = cut_lineage(_candidates(nodes, similarity, block))
-    sets = _sets(rows, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), shingle)
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u")
-    both = both.join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
-    agree = F.size(F.array_intersect("x", "y"))
-    checked = cut_lineage(both.where(agree + SLACK >= similarity * (F.size("x") + F.size("y") - agree)).select("u", "v"))
-    return checked.union(same).union(_rest(pairs, checked, nodes, sets, similarity, block)).distinct()
+    same = cut_lineage(same)
+    release(made, lows)
+
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    met = cut_lineage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1"))
+
+    def cells(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
+        found = keyed.join(keys, "key").join(nodes.select("node", "n", "bits", "wide"), "node")
+        found = found.withColumn("label", F.col("node")) if labels is None else found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        found = _cells(found, F.ceil(F.col("met") / F.lit(block)))
+        return found.select("key", "a", "b", F.lit(0).alias("role"), "node", F.lit(0).cast("bigint").alias("other"), "label", "n", "bits", "wide")
+
+    def walked(found: DataFrame, exhaustive: bool = False) -> DataFrame:
+        found = found.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "role", "node")
+        return cut_lineage(found.mapInPandas(_walked(similarity, exhaustive), "key bigint, a int, b int, u bigint, v bigint"))
+
+    verified = _verified(rows, _sketched(nodes, sketch), shingle, similarity) if sketch else None
+    links = same if verified is None else cut_lineage(same.union(verified.where("agree").select("u", "v")))
+    labels = None if verified is None else _labels(links)
+    given = walked(cells(met, labels))
+    tried = given
+    for turn in range(ROUNDS + 1):
+        pairs = given.select("u", "v").distinct()
+        if verified is not None:
+            pairs = pairs.join(verified, ["u", "v"], "left_anti")
+        now = _verified(rows, cut_lineage(pairs), shingle, similarity)
+        done, verified = verified, now if verified is None else cut_lineage(verified.union(now))
+        before, links = links, cut_lineage(links.union(now.where("agree").select("u", "v")))
+        release(*(x for x in (done, now, before) if x is not None and x is not verified))
+        # The cells that have just given a link that fails, with all such links of theirs.
+        failing = given.join(verified.where("not agree").select("u", "v"), ["u", "v"], "left_semi").select("key", "a", "b").distinct()
+        failing = cut_lineage(failing)
+        if turn == ROUNDS or failing.isEmpty():
+            break
+        labels = _labels(links)
+        keys = met.join(failing.select("key").distinct(), "key", "left_semi")
+        again = cells(keys, labels).join(failing, ["key", "a", "b"], "left_semi")
+        old = tried.join(verified.where("not agree").select("u", "v"), ["u", "v"], "left_semi").join(failing, ["key", "a", "b"], "left_semi")
+        old = old.select("key", "a", "b", F.lit(1).alias("role"), F.col("u").alias("node"), F.col("v").alias("other"), F.lit(0).cast("bigint").alias("label"),
+                         F.lit(0).cast("bigint").alias("n"), F.lit(bytes(PARITIES // 8)).alias("bits"), F.lit(b"").alias("wide"))
+        given = walked(again.unionByName(old), turn == ROUNDS - 1)
+        before, tried = tried, cut_lineage(tried.union(given))
+        release(before)
+    release(nodes, met)
+    return links.distinct()
