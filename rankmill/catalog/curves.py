@@ -165,6 +165,36 @@ def fixed_point(spark, d):
     return levels.select("id", "year", "scale", "top", F.round("level", 6).alias("level"), F.lit(rounds).alias("rounds"))
 
 
+def _round_sql(n: int) -> str:
+    """One round of placing, tiling, pooling, thinning and reading: levels ``lv{n}`` to ``lv{n + 1}``."""
+    by = "PARTITION BY year, scale"
+    return f"""sb{n} AS MATERIALIZED (SELECT year, grp, sub, sum(lev * weight) / sum(weight) AS ms FROM lv{n} WHERE lev IS NOT NULL GROUP BY 1, 2, 3),
+gb{n} AS MATERIALIZED (SELECT year, grp, sum(lev * weight) / sum(weight) AS mg FROM lv{n} WHERE lev IS NOT NULL GROUP BY 1, 2),
+pr{n} AS MATERIALIZED (SELECT lv{n}.*, coalesce(lev, ms, mg) AS score FROM lv{n} LEFT JOIN sb{n} USING (year, grp, sub) LEFT JOIN gb{n} USING (year, grp)),
+hd{n} AS MATERIALIZED (SELECT year, route, sum(weight) AS held FROM pr{n} WHERE score IS NOT NULL GROUP BY 1, 2),
+pl{n} AS MATERIALIZED (SELECT pr{n}.*, weight * coalesce(total / held, 1) AS pw FROM pr{n} JOIN hd{n} USING (year, route) LEFT JOIN tot USING (year, route) WHERE score IS NOT NULL),
+ti{n} AS MATERIALIZED (SELECT *, 1 - sum(pw) OVER (PARTITION BY year ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) / sum(pw) OVER (PARTITION BY year) AS tl FROM pl{n}),
+c{n} AS MATERIALIZED (SELECT year, scale, top AS x, sum(pw * tl) / sum(pw) AS y, sum(pw) AS w FROM ti{n} WHERE top IS NOT NULL GROUP BY 1, 2, 3),
+cs{n} AS MATERIALIZED (SELECT *, sum(w) OVER o AS sw, sum(w * y) OVER o AS sy FROM c{n} WINDOW o AS ({by} ORDER BY x)),
+bl{n} AS MATERIALIZED (SELECT a.year, a.scale, a.x AS xa, b.x AS xb, (b.sy - a.sy + a.w * a.y) / (b.sw - a.sw + a.w) AS mean FROM cs{n} a JOIN cs{n} b ON b.year = a.year AND b.scale = a.scale AND b.x >= a.x),
+ia{n} AS MATERIALIZED (SELECT year, scale, x, w, min(mx) AS y FROM (SELECT c.year, c.scale, c.x, c.w, xa, max(mean) AS mx FROM c{n} c JOIN bl{n} bl ON bl.year = c.year AND bl.scale = c.scale AND xa <= c.x AND xb >= c.x GROUP BY ALL) GROUP BY ALL),
+re{n} AS MATERIALIZED (SELECT year, scale, 1 - x AS x, y, w, sum(w) OVER o AS reach, sum(w) OVER ({by}) AS total, row_number() OVER o AS i, count(*) OVER ({by}) AS n FROM ia{n} WINDOW o AS ({by} ORDER BY 1 - x)),
+kn{n} AS MATERIALIZED (SELECT year, scale, x, y FROM re{n} WHERE n <= 10 OR i = 1 OR len(list_filter(range(1, 10), lambda j: j / 9.0 * total > reach - w AND (j / 9.0 * total <= reach OR j = 9 AND reach >= total))) > 0),
+{pchip_sql(f"kn{n}", "year, scale")},
+on{n} AS MATERIALIZED (SELECT year, scale, max(y) AS only_y FROM kn{n} GROUP BY 1, 2 HAVING count(*) = 1),
+lv{n + 1} AS MATERIALIZED (SELECT m.*, CASE WHEN top IS NOT NULL THEN greatest(0, least(1, coalesce({hermite_sql('(1 - top)')}, only_y))) END AS lev
+  FROM m LEFT JOIN kn{n}_s k ON k.year = m.year AND k.scale = m.scale AND {on_segment('(1 - top)')} LEFT JOIN on{n} o ON o.year = m.year AND o.scale = m.scale)"""
+
+
+@query("m4_three_rounds", f"""WITH {MARGINS}, lv0 AS MATERIALIZED (SELECT *, 1 - top AS lev FROM m),
+tot AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_linestatus AS route, 1.5 * count(*) AS total FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2),
+{_round_sql(0)}, {_round_sql(1)}, {_round_sql(2)} SELECT id, year, scale, round(lev, 6) AS level FROM lv3""")
+def three_rounds(spark, d):
+    """Levels after three rounds, none settled before."""
+    _, levels, _ = tiling.fixed_point(margins(spark, d), totals_by_route(spark, d), None, rounds=3, tolerance=0.0)
+    return levels.select("id", "year", "scale", F.round("level", 6).alias("level"))
+
+
 CARRIED = """p AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, o_orderstatus AS st, CAST(length(o_orderpriority) AS DOUBLE) AS w,
   o_totalprice, o_orderkey FROM orders), r AS (SELECT *, sum(w) OVER o AS hi, sum(w) OVER (PARTITION BY yr) AS total,
   sum(CASE WHEN st = 'F' THEN w ELSE 0 END) OVER o AS cf, sum(CASE WHEN st = 'O' THEN w ELSE 0 END) OVER o AS co, sum(CASE WHEN st = 'P' THEN w ELSE 0 END) OVER o AS cp
@@ -266,15 +296,33 @@ def quantile_mapping(spark, d):
     return out.select("o_orderkey", F.round("basis", 5).alias("basis"), "fallback")
 
 
-@query("m8_allocation_pieces")
+@query("m8_allocation_pieces", f"""WITH {FORMULAS}, {FLAG_CURVE},
+b AS (SELECT subject, (upto - n) / total AS lo, upto / total AS hi, v FROM w),
+e AS (SELECT DISTINCT f, unnest([lo, hi]) AS e FROM fp JOIN b USING (subject)), s AS (SELECT f, e AS lo, lead(e) OVER (PARTITION BY f ORDER BY e) AS hi FROM e),
+t AS (SELECT s.f, s.lo, s.hi, round(sum(weight * v), 10) AS total FROM s JOIN fp ON fp.f = s.f JOIN b ON b.subject = fp.subject
+  AND b.lo < (s.lo + s.hi) / 2 AND (s.lo + s.hi) / 2 <= b.hi WHERE s.hi > s.lo GROUP BY 1, 2, 3),
+i AS (SELECT *, sum(CASE WHEN total IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY f ORDER BY lo) AS isl FROM
+  (SELECT *, lag(total) OVER (PARTITION BY f ORDER BY lo) AS prev FROM t)),
+bk AS (SELECT f, min(lo) AS lo, max(hi) AS hi, max(total) AS total, (max(hi) - min(lo)) * (SELECT count(*) FROM lineitem) AS cap FROM i GROUP BY f, isl),
+tk AS (SELECT s_suppkey, fr.f, lo, hi, cap, total, s_nationkey * 10.0 + 1 AS want, coalesce(sum(cap) OVER (PARTITION BY s_suppkey ORDER BY total
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(cap) OVER (PARTITION BY s_suppkey) AS held FROM fr JOIN bk ON bk.f = fr.f WHERE total >= cutoff),
+pc AS (SELECT *, least(cap, want - before) AS taken, CASE f WHEN 'Ax1.00 Nx1.00' THEN 'A' WHEN 'Ax1.00 Nx2.00 Rx0.50' THEN 'N' ELSE 'R' END AS flag
+  FROM tk WHERE held >= want AND least(cap, want - before) > 0),
+la AS (SELECT s_suppkey, total, greatest(0, least(1, {hermite_sql('lo')})) AS a FROM pc JOIN k_s ON k_s.f = flag AND {on_segment('lo')}),
+lb AS (SELECT s_suppkey, total, greatest(0, least(1, {hermite_sql('hi')})) AS b FROM pc JOIN k_s ON k_s.f = flag AND {on_segment('hi')})
+SELECT s_suppkey, round(100 * least(a, b), 6) AS ability_lower, round(100 * greatest(a, b), 6) AS ability_upper, round(cap, 6) AS bucket_candidates,
+  CAST(round(taken, 6) AS DOUBLE) AS weight, 'equal-quantile composite' AS bucket_basis FROM pc JOIN la USING (s_suppkey, total) JOIN lb USING (s_suppkey, total)""")
 def allocation_pieces(spark, d):
-    """Supplier demand spread over composite score intervals, both ends read as levels."""
+    """Supplier demand spread over composite score intervals, both ends read on the curve of the formula's heaviest subject."""
     rows = formula_rows(spark, d).withColumn("wanted", F.col("s_nationkey") * 10.0 + 1.0).withColumnRenamed("f", "formula")
-    buckets = formula.composite_buckets(rows, subject_hist(spark, d), ["yr"], "formula")
+    subjects = subject_hist(spark, d)
+    buckets = formula.composite_buckets(rows, subjects, ["yr"], "formula")
     size = table(spark, d, "lineitem").agg(F.count("*").alias("n")).scalar()
     buckets = buckets.withColumn("candidates", F.col("share") * size)
-    curves = flag_curve(spark, d).where("f = 'A'").select(F.lit("all").alias("yr"), "x", "y", "slope")
-    out = formula.allocation_pieces(buckets, rows, curves, ["yr", "formula"], ["yr"], "s_suppkey", "cutoff", "wanted", "equal-quantile composite")
+    heaviest = formula.formula_parts(rows, subjects, ["yr"], "formula").groupBy("yr", "formula").agg(
+        F.min_by("subject", F.struct(-F.col("weight"), "part")).alias("f"))
+    curves = heaviest.join(flag_curve(spark, d), "f").drop("f")
+    out = formula.allocation_pieces(buckets, rows, curves, ["yr", "formula"], ["yr", "formula"], "s_suppkey", "cutoff", "wanted", "equal-quantile composite")
     return out.select("s_suppkey", *[F.round(c, 6).alias(c) for c in ("ability_lower", "ability_upper", "bucket_candidates", "weight")], "bucket_basis")
 
 

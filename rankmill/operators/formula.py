@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import hist as histograms
 from . import interp
-from .allocate import consume
 from .intervals import merge_equal, overlay
+from .ordered import carried, running
 
 
 def parts(text: Column) -> Column:
@@ -139,20 +139,55 @@ def quantile_map(rows: DataFrame, keys: Sequence[str], raw: str, supported: str,
     return known.withColumn(out, F.col(supported)).withColumn("fallback", F.lit(False)).unionByName(read)
 
 
+def allocation_index(buckets: DataFrame, keys: Sequence[str], value: str = "total", capacity: str = "candidates") -> DataFrame:
+    """Buckets numbered by value (``_place``) with their key's capacity up to and with them (``_upto``); written once."""
+    return cut_lineage(running(buckets, keys, [value], {"_upto": F.col(capacity).cast("double"), "_place": F.lit(1).cast("bigint")}))
+
+
+def stabbed(demands: DataFrame, index: DataFrame, keys: Sequence[str], cutoff: str, wanted: str, value: str = "total") -> DataFrame:
+    """Demands with the stretch of capacity they take: ``_from``, ``_to``, and its first and last bucket, ``_first``, ``_last``.
+
+    A demand starts at what lies below its cutoff and ends its wanted amount later; two as-of
+    reads find the buckets of both ends. Demands that are not positive or that the buckets
+    cannot fill are left out.
+    """
+    keys = list(keys)
+    known = F.struct(F.col("_upto").alias("upto"), F.col("_place").alias("place"))
+    asked = demands.where(F.col(wanted) > 0).select(*keys, F.struct(*demands.columns).alias("_row"), F.lit(0).alias("_kind"),
+                                                     F.col(cutoff).cast("double").alias("_x"), F.col(wanted).cast("double").alias("_want"))
+    asked = asked.withColumn("_tie", F.xxhash64("_row"))
+    steps = index.select(*keys, F.lit(1).alias("_kind"), F.col(value).cast("double").alias("_x"), known.alias("_step"))
+    # A demand stands before the bucket of its own value, so what precedes it lies below the cutoff.
+    start = carried(asked.unionByName(steps, allowMissingColumns=True), keys, ["_x", "_kind", "_tie"], previous={"_below": "_step"}).where("_kind = 0")
+    origin = F.coalesce(F.col("_below")["upto"], F.lit(0.0))
+    start = start.select(*keys, "_row", "_kind", "_tie", origin.alias("_from"), (origin + F.col("_want")).alias("_x"),
+                         (F.coalesce(F.col("_below")["place"], F.lit(0)) + 1).alias("_first"))
+    ends = index.select(*keys, F.lit(1).alias("_kind"), F.col("_upto").alias("_x"), known.alias("_step"))
+    done = carried(start.unionByName(ends, allowMissingColumns=True), keys, ["_x", "_kind", "_tie"], following={"_end": "_step"}).where("_kind = 0")
+    done = done.where("_end is not null")
+    return done.select("_row.*", "_from", F.col("_x").alias("_to"), "_first", F.col("_end")["place"].alias("_last"))
+
+
 def allocation_pieces(buckets: DataFrame, rows: DataFrame, curves: DataFrame, bucket_keys: Sequence[str],
                       curve_keys: Sequence[str], unique: str, cutoff: str, wanted: str, basis: str) -> DataFrame:
     """Score intervals a row's weight is spread over, from its cutoff up.
 
     Buckets carry (lo, hi, total, candidates); both ends are read through the
-    row's curve. A row its buckets cannot fill yields nothing.
+    row's curve. A row its buckets cannot fill yields nothing. Capacities are summed once for
+    each key, and a row meets only the buckets it takes from.
     """
+    bucket_keys = list(bucket_keys)
     demand = rows.select(unique, *bucket_keys, *[k for k in curve_keys if k not in bucket_keys], cutoff, wanted)
-    mine = demand.drop(cutoff, wanted).join(buckets, list(bucket_keys))
-    taken = consume(cut_lineage(mine), demand.select(unique, cutoff, wanted), [unique], "total", "candidates", cutoff, wanted)
+    index = allocation_index(buckets, bucket_keys)
+    held = stabbed(demand, index, bucket_keys, cutoff, wanted)
+    each = held.withColumn("_place", F.explode(F.sequence("_first", "_last")))
+    met = each.join(index.select(*bucket_keys, "_place", "lo", "hi", "candidates", "_upto"), [*bucket_keys, "_place"])
+    taken = F.least("_upto", "_to") - F.greatest(F.col("_upto") - F.col("candidates"), "_from")
+    met = met.withColumn("taken", F.least(taken, F.col("candidates"))).where("taken > 0")
     table = interp.curve_table(curves, curve_keys)
-    ends = taken.join(table, list(curve_keys))
-    held = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), interp.curve_value(F.col("knots"), F.col(x))))
-    ends = ends.withColumn("_a", held("lo")).withColumn("_b", held("hi"))
+    ends = met.join(table, list(curve_keys))
+    inside = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), interp.curve_value(F.col("knots"), F.col(x))))
+    ends = ends.withColumn("_a", inside("lo")).withColumn("_b", inside("hi"))
     return ends.select(
         unique, *curve_keys,
         (100.0 * F.least("_a", "_b")).alias("ability_lower"), (100.0 * F.greatest("_a", "_b")).alias("ability_upper"),

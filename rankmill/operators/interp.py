@@ -167,7 +167,8 @@ def read_curve(rows: DataFrame, slopes: DataFrame, keys: Sequence[str], x: Colum
     table = curve_table(slopes, keys)
     value = curve_value(F.col("knots"), x)
     if clip:
-        value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+        # least and greatest pass over nulls, and a row without x has no level.
+        value = F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
     return rows.join(table, list(keys), "left").withColumn(out, value).drop("knots")
 
 

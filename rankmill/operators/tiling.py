@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from . import interp
 from .allocate import route_factors
 from .ordered import carried, running, sliced
@@ -60,32 +60,124 @@ def _antitonic(pdf: pd.DataFrame) -> pd.DataFrame:
             hi[-1] = last[0]
             moment[-1] += last[1]
             weight[-1] += last[2]
-    return pd.DataFrame({"lo": lo, "hi": hi, "y": np.divide(moment, weight), "w": weight})
+    return pd.DataFrame({"lo": lo, "hi": hi, "m": moment, "w": weight})
+
+
+def _keyed(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null; the right side's keys are dropped."""
+    other = right.select([F.col(k).alias("__r_" + k) if k in keys else F.col(k) for k in right.columns])
+    match = F.lit(True)
+    for k in keys:
+        match = match & left[k].eqNullSafe(other["__r_" + k])
+    return left.join(other, match, how).drop(*["__r_" + k for k in keys])
+
+
+def _spanning(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, ``__slice``, ``rank``) of keys that lie in several slices, the slices numbered from 0.
+
+    A border between slices parts one key at most, so these are fewer than twice the slices.
+    """
+    each = blocks.select(*keys, "__slice").distinct()
+    along = Window.partitionBy(*keys)
+    each = each.withColumn("rank", F.row_number().over(along.orderBy("__slice")) - 1)
+    each = each.withColumn("_n", F.count(F.lit(1)).over(along)).where("_n > 1").drop("_n")
+    return cut_lineage(each.withColumn("left", F.lit(None).cast("double")).withColumn("right", F.lit(None).cast("double")))
+
+
+def _bridge(cand: DataFrame, group: Sequence[str], slice_rows: int | None) -> DataFrame:
+    """(group, ``level``): the mean of the one block that two falling lists of blocks pool where they meet.
+
+    The pooled level v takes in the blocks of the left list below v and those of the right list
+    above v, and is their mean. What these hold beyond v falls as v rises, so v lies behind
+    the last block, by mean, where it is not negative yet. Running sums along the means find
+    it, however many blocks there are.
+    """
+    left, zero = F.col("side") == 0, F.lit(0.0)
+    sums = {f"_{c}{n}": F.when(on, F.col(c)).otherwise(zero) for n, on in (("l", left), ("r", ~left)) for c in ("m", "w")}
+    walked = running(cand, group, ["mean", "side", "lo"], sums, totals={"_mt": sums["_mr"], "_wt": sums["_wr"]}, slice_rows=slice_rows)
+    moment = F.col("_ml") + F.col("_mt") - F.col("_mr")
+    weight = F.col("_wl") + F.col("_wt") - F.col("_wr")
+    held = walked.where(moment - F.col("mean") * weight >= 0)
+    return held.groupBy(*group).agg(F.max_by(moment / weight, F.struct("mean", "side", "lo")).alias("level"))
+
+
+def _merged(blocks: DataFrame, keys: Sequence[str], slice_rows: int | None) -> DataFrame:
+    """Blocks that fall within each slice, made to fall along each key.
+
+    A block list is associative: two neighbouring lists that fall merge into one by pooling a
+    stretch around their border, and all other blocks stay. Neighbours are paired in rounds, as
+    many as the logarithm of the slices. A round reads the lowest level of every left list and the
+    highest of its right neighbour, and only blocks that lie between the two move. The blocks
+    themselves are never written again; of each slice the round keeps the ends of what
+    is still its own, and the pooled blocks, at most one for each border.
+    """
+    keys = list(keys)
+    first = slices = _spanning(blocks, keys)
+    most = slices.agg(F.max("rank")).first()[0]
+    shape = [*keys, "lo", "hi", "m", "w"]
+    if most is None:
+        return blocks.select(*shape)
+    # Fewer rows than twice the partitions, so they may go to all tasks.
+    names = F.broadcast(slices.select(*keys, "__slice"))
+    own = _keyed(blocks, names, [*keys, "__slice"], "left_semi")
+    alone = _keyed(blocks, names, [*keys, "__slice"], "left_anti").select(*shape)
+    pooled = own.select(*shape, F.lit(0).alias("rank")).limit(0)
+
+    def living(slices: DataFrame) -> DataFrame:
+        here = _keyed(own, F.broadcast(slices), [*keys, "__slice"])
+        return here.where((F.col("left").isNull() | (F.col("lo") > F.col("left"))) & (F.col("right").isNull() | (F.col("hi") < F.col("right"))))
+
+    for turn in range(1, int(most).bit_length() + 1):
+        pair = F.shiftright("rank", turn).alias("pair")
+        side = F.shiftright("rank", turn - 1).bitwiseAND(1).alias("side")
+        live = living(slices).select(*shape, "rank").unionByName(pooled)
+        live = live.select(*shape, "rank", pair, side, (F.col("m") / F.col("w")).alias("mean"))
+        ends = live.groupBy(*keys, "pair").agg(
+            F.min(F.when(F.col("side") == 0, F.col("mean"))).alias("low"), F.max(F.when(F.col("side") == 1, F.col("mean"))).alias("high"))
+        clash = cut_lineage(ends.where("low < high"))
+        if clash.isEmpty():
+            continue
+        cand = _keyed(live, F.broadcast(clash), [*keys, "pair"]).where("(side = 0 and mean < high) or (side = 1 and mean > low)")
+        cand = cut_lineage(cand.drop("low", "high"))
+        levels = F.broadcast(cut_lineage(_bridge(cand, [*keys, "pair"], slice_rows)))
+        taken = _keyed(cand, levels, [*keys, "pair"]).where("(side = 0 and mean < level) or (side = 1 and mean > level)")
+        fresh = cut_lineage(taken.groupBy(*keys, "pair").agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.min("rank").alias("rank")))
+        swallowed = fresh.select(*keys, "pair", F.col("lo").alias("_from"), F.col("hi").alias("_to"))
+        kept = _keyed(pooled.withColumn("pair", pair), F.broadcast(swallowed), [*keys, "pair"], "left")
+        kept = kept.where("_from is null or hi < _from or lo > _to").select(*shape, "rank")
+        old, pooled = pooled, cut_lineage(kept.unionByName(fresh.select(*shape, "rank")))
+        moved = _keyed(slices.withColumn("pair", pair).withColumn("side", side), F.broadcast(swallowed), [*keys, "pair"], "left")
+        before, slices = slices, cut_lineage(moved.select(
+            *keys, "__slice", "rank",
+            F.when(F.col("side") == 1, F.greatest("left", "_to")).otherwise(F.col("left")).alias("left"),
+            F.when(F.col("side") == 0, F.least("right", "_from")).otherwise(F.col("right")).alias("right")))
+        release(old, *([] if before is first else [before]))
+    return alone.unionByName(living(slices).select(*shape)).unionByName(pooled.select(*shape))
 
 
 def antitonic(points: DataFrame, keys: Sequence[str], slice_rows: int | None = None) -> DataFrame:
     """Closest non-increasing curve to pooled points (x, y, w), in weighted least squares.
 
-    A long series is pooled within slices of its order first, in parallel; the
-    blocks that survive are pooled again per series. Pooling blocks gives the
-    same fit as pooling their rows.
+    A series is pooled within slices of its order, in parallel; the block lists of the
+    slices are then merged (``_merged``), which gives the same fit as pooling the rows.
     """
     keys = list(keys)
     rows = points.select(*keys, F.col("x").alias("lo"), F.col("x").alias("hi"), "y", "w")
-    kinds = {f.name: f.dataType for f in rows.schema.fields}
-    schema = T.StructType([T.StructField(k, kinds[k]) for k in keys])
-    for name in ("lo", "hi", "y", "w"):
+    cut = sliced(rows, keys, ["lo"], slice_rows).select(*rows.columns, "__slice")
+    kinds = {f.name: f.dataType for f in cut.schema.fields}
+    schema = T.StructType([T.StructField(k, kinds[k]) for k in [*keys, "__slice"]])
+    for name in ("lo", "hi", "m", "w"):
         schema = schema.add(name, "double")
 
     def pool(pdf: pd.DataFrame) -> pd.DataFrame:
         out = _antitonic(pdf.sort_values("lo", kind="stable"))
-        for place, k in enumerate(keys):
+        for place, k in enumerate([*keys, "__slice"]):
             out.insert(place, k, pdf[k].iloc[0])
         return out
 
-    cut = sliced(rows, keys, ["lo"], slice_rows).select(*rows.columns, "__slice")
-    rows = cut.groupBy(*keys, "__slice").applyInPandas(pool, schema)
-    blocks = rows.groupBy(*keys).applyInPandas(pool, schema)
+    blocks = cut_lineage(cut.groupBy(*keys, "__slice").applyInPandas(pool, schema))
+    blocks = _merged(blocks, keys, slice_rows).select(*keys, "lo", (F.col("m") / F.col("w")).alias("y"))
     # Every bar inside a block carries the block's level.
     marks = blocks.select(*keys, F.col("lo").alias("x"), F.lit(0).alias("_kind"), F.col("y").alias("_y"))
     asked = points.select(*keys, "x", F.lit(1).alias("_kind"), "w")
@@ -150,15 +242,18 @@ def fixed_point(rows: DataFrame, totals: DataFrame | None, population: DataFrame
                 group: str = "grp", subgroup: str = "sub", route: str = "route", scale: str = "scale",
                 bar: str = "top", weight: str = "weight", unique: str = "id", count: int = KNOTS,
                 rounds: int = ROUNDS, tolerance: float = TOLERANCE, **place_options) -> tuple[DataFrame, DataFrame, int]:
-    """Alternate placing and curve reading until levels stop moving, for every year at once.
+    """Alternate placing and curve reading until levels stop moving, year by year.
 
     Returns the knot table of the last placement, rows with their final level,
-    and the rounds run. Only the small knot table is handed from round to round:
-    levels follow from it, so each round plans from the written rows.
+    and the rounds run. A level follows from its bar and its year's knots, so movement is
+    measured on the table of different bars, which carries each bar's level from round to
+    round, and no row meets itself. A year is settled once none of its bars moves by the
+    tolerance; its rows are not read again until the last placement.
     """
     columns = dict(year=year, group=group, subgroup=subgroup, route=route, scale=scale, weight=weight)
     axes = [year, scale]
     held = cut_lineage(rows)
+    bars = cut_lineage(held.where(F.col(bar).isNotNull()).select(*axes, bar).distinct().withColumn("_level", 1.0 - F.col(bar)))
 
     def curves_of(levelled: DataFrame) -> DataFrame:
         placed = place(levelled, totals, level="_level", **columns, **place_options)
@@ -167,15 +262,25 @@ def fixed_point(rows: DataFrame, totals: DataFrame | None, population: DataFrame
         return cut_lineage(smooth(points, axes, bar, "_tiled", "placed_weight", count))
 
     levelled = held.withColumn("_level", 1.0 - F.col(bar))
+    settled: list[DataFrame] = []
     done = 0
     for done in range(1, rounds + 1):
         curves = curves_of(levelled)
-        updated = read_bars(held, curves, axes, bar, "_level")
-        before = levelled.select(unique, F.col("_level").alias("_was"))
-        moved = updated.join(before, unique).agg(F.max(F.abs(F.col("_level") - F.col("_was")))).first()[0]
-        levelled = updated
-        if moved is None or moved < tolerance:
+        was = bars.withColumnRenamed("_level", "_was")
+        bars = cut_lineage(read_bars(was, curves, axes, bar, "_level"))
+        moving = bars.groupBy(year).agg(F.max(F.abs(F.col("_level") - F.col("_was"))).alias("_moved"))
+        moving = cut_lineage(moving.where(F.col("_moved") >= tolerance).select(year))
+        last = done == rounds or moving.isEmpty()
+        settled.append(curves if last else _keyed(curves, moving, [year], "left_anti"))
+        if last:
             break
+        open_ = _keyed(held, moving, [year], "left_semi")
+        bars = _keyed(bars, moving, [year], "left_semi").drop("_was")
+        levelled = read_bars(open_, curves, axes, bar, "_level")
+    final = settled[0]
+    for more in settled[1:]:
+        final = final.unionByName(more)
+    levelled = read_bars(held, final, axes, bar, "_level")
     return curves_of(levelled), levelled.withColumnRenamed("_level", "level"), done
 
 
