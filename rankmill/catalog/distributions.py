@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import hist, interp
+from ..operators.lookup import looked_up
 from ..operators.ordered import running
 from .registry import query, table
 
@@ -82,13 +83,12 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
 FROM lineitem l JOIN w ON w.yr = year(l_shipdate) AND w.l_returnflag = l.l_returnflag
   AND w.l_quantity = l.l_quantity""")
 def histogram_lookup(spark, d):
-    """Every row reads its own value's share; the histogram side is small and seen so by AQE."""
+    """Every row reads its own value's share; the histogram side is written and measured, and rows stay in place."""
     lines = table(spark, d, "lineitem").withColumn("yr", F.year("l_shipdate"))
     read = hist.midranks(quantity_hist(spark, d), ["yr", "l_returnflag"], "l_quantity")
     read = read.select("yr", "l_returnflag", "l_quantity", F.round(1 - F.col("midrank"), 9).alias("top"))
-    return lines.join(read, ["yr", "l_returnflag", "l_quantity"]).select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "top"
-    )
+    lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "yr", "l_returnflag", "l_quantity")
+    return looked_up(lines, read, ["yr", "l_returnflag", "l_quantity"]).drop("yr", "l_returnflag", "l_quantity")
 
 
 @query("p12_incomplete_bins", """SELECT l_suppkey, l_returnflag, count(DISTINCT l_quantity) AS bins

@@ -118,6 +118,32 @@ def held_out_comparison(spark, d):
     return out.select("family", F.round("mae", 6).alias("mae"), F.round("fold_sd", 6).alias("fold_sd"))
 
 
+DEGREES = {"none": 0, "sloped": 2, "bent": 4}
+DEG = "dg(family, degrees) AS (VALUES " + ", ".join(f"('{f}', {n})" for f, n in DEGREES.items()) + ")"
+
+
+@query("m13_full_and_held_out", f"""WITH {READ}, {FAMILY}, {DEG},
+gw AS (SELECT grp, sum(weight) AS gw FROM p GROUP BY 1), gn AS (SELECT grp, (row_number() OVER (ORDER BY gw DESC, grp) - 1) % 10 AS t FROM gw),
+gf AS (SELECT grp, CASE WHEN t < 5 THEN t ELSE 9 - t END AS fold FROM gn),
+ce AS (SELECT cand, fold, sum(weight) AS w, sum(weight * abs(la - lb)) AS a, sum(weight * (la - lb) * (la - lb)) AS q FROM rd JOIN gf USING (grp) GROUP BY 1, 2),
+tr AS (SELECT ce.*, family, (sum(q) OVER (PARTITION BY cand) - q) / (sum(w) OVER (PARTITION BY cand) - w) AS train FROM ce JOIN fm USING (cand)),
+bs AS (SELECT DISTINCT ON (family, fold) family, fold, 100 * a / w AS mae, w FROM tr ORDER BY family, fold, train, cand),
+ho AS (SELECT family, sum(mae * w) / sum(w) AS held, stddev_pop(mae) AS sd FROM bs GROUP BY 1),
+ff AS (SELECT DISTINCT ON (family) family, mae, mse FROM (SELECT family, cand, 100 * sum(weight * abs(la - lb)) / sum(weight) AS mae,
+  10000 * sum(weight * (la - lb) * (la - lb)) / sum(weight) AS mse FROM rd JOIN fm USING (cand) GROUP BY 1, 2) ORDER BY family, mse, cand),
+n AS (SELECT count(*) AS n FROM p)
+SELECT family, degrees, round(mae, 6) AS mae, round(mse, 6) AS mse,
+  round(n * ln(mse / (SELECT mse FROM ff WHERE family = 'none')) + degrees * ln(n), 4) AS bic_delta,
+  round(held, 6) AS held_out_mae, round(sd, 6) AS fold_sd, CAST(row_number() OVER (ORDER BY mae, family) AS INTEGER) AS full_rank,
+  CAST(row_number() OVER (ORDER BY held, family) AS INTEGER) AS held_out_rank FROM ff JOIN ho USING (family) JOIN dg USING (family), n""")
+def full_and_held_out(spark, d):
+    degrees = F.create_map(*[F.lit(x) for pair in DEGREES.items() for x in pair])
+    known = families(spark).withColumn("degrees", F.element_at(degrees, F.col("family")))
+    out = models.compared(cut_lineage(observation_pairs(spark, d)), densities(spark), known, "grp", "none", 5)
+    return out.select("family", "degrees", *[F.round(c, 6).alias(c) for c in ("mae", "mse")], F.round("bic_delta", 4).alias("bic_delta"),
+                      *[F.round(c, 6).alias(c) for c in ("held_out_mae", "fold_sd")], "full_rank", "held_out_rank")
+
+
 @query("m14_out_of_bag", f"""WITH {READ}, {FAMILY},
 g AS (SELECT grp, cand, sum(weight) AS w, sum(weight * abs(la - lb)) AS a, sum(weight * (la - lb) * (la - lb)) AS q FROM rd GROUP BY 1, 2),
 u AS (SELECT g.*, r, ('0x' || substr(md5('20260809:' || grp || ':' || r), 1, 7))::BIGINT / 268435456.0 AS u FROM g, range(10) t(r)),

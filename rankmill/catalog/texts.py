@@ -9,7 +9,7 @@ from ..operators import formula
 from ..operators.checks import required_columns
 from ..plans import triage
 from ..session import scratch_path
-from ..sources import extract, tables
+from ..sources import extract, layouts, tables
 from ..streaming import incremental
 from .registry import query, table
 
@@ -139,6 +139,65 @@ def side_by_side(spark, d):
     return extract.side_by_side(sheet, ["o_custkey"], [{"name": "o_orderpriority", "n": "o_totalprice"}, {"name": "o_orderstatus", "n": "half"}])
 
 
+def sheet_layouts():
+    return {
+        "totals": layouts.totals("^total-", "all", 60.0),
+        "grades": layouts.grades("score", "^grade-"),
+        "marks": layouts.marks("^mark-", (0, 3)),
+        "categories": layouts.categories("^category-", "^[0-9]A[0-9]B$"),
+        "levels": layouts.levels("^writing-", "^[0-9]A[0-9]B$", ["six", "five"]),
+    }
+
+
+def written_sheets(spark, d):
+    """Seven small sheets in six kinds, one of them unknown, as delimited text under their names."""
+    lines = table(spark, d, "lineitem")
+    path = scratch_path(spark, "sheets")
+    text = lambda c: F.col(c).cast("string")
+    whole = lambda c: F.format_string("%d", F.col(c).cast("bigint"))
+
+    def sheet(name, rows, cells, head=()):
+        """Rows of cells in the order of ``_at``, below head rows."""
+        out = rows.select((F.col("_at") * 10 + 100).cast("bigint").alias("row"), F.concat_ws("\t", *cells).alias("line"))
+        for row, line in head:
+            out = out.unionByName(spark.range(1).select(F.lit(row).cast("bigint").alias("row"), F.lit(line).alias("line")))
+        out.select(F.concat_ws("\t", text("row"), "line").alias("value")).write.text(f"{path}/{name}")
+
+    q = lines.groupBy(F.col("l_quantity").cast("int").alias("_at")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("l_linestatus") == "F").alias("f"), F.count_if(F.col("l_linestatus") == "O").alias("o"))
+    sheet("total-99", q, [text("_at"), F.format_number("n", 0), F.lit("0")], [(1, "total\tnumber")])
+    sheet("grade-1", q, [text("_at"), text("f"), F.lit("-"), text("o")], [(1, "note"), (2, "score\tF\t\tO")])
+    sheet("grade-2", q, [text("_at"), F.lit("--"), text("n")], [(2, "score\tnone\tall")])
+    band = F.format_string("%d.00 - %d.99", "_at", "_at")
+    sheet("mark-7", q, [band, text("f"), F.lit(""), text("_at"), text("o")], [(1, "Reading"), (305, "Writing")])
+    k = lines.groupBy((F.pmod("l_suppkey", F.lit(6))).alias("_at")).agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "A").alias("f"), F.count_if(F.col("l_returnflag") == "R").alias("o"))
+    name = F.concat(text("_at"), F.lit("A"), (5 - F.col("_at")).cast("string"), F.lit("B"))
+    sheet("category-3", k, [name, F.format_number("n", 0), F.concat((F.col("n") % 97).cast("string"), F.lit("%"))], [(1, "category\tn\tshare")])
+    sheet("writing-3", k, [name, whole("n"), F.lit("x"), whole("f"), whole("f"), F.lit("12.5%"), whole("o"), whole("n"), F.lit("7%")], [(1, "category")])
+    sheet("readme", k, [name])
+    return layouts.sheet_rows(spark, f"{path}/*")
+
+
+@query("s10_layouts_by_name", """WITH q AS (SELECT CAST(l_quantity AS INTEGER) AS s, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS f, count(*) FILTER (l_linestatus = 'O') AS o FROM lineitem GROUP BY 1),
+k AS (SELECT l_suppkey % 6 AS s, count(*) AS n, count(*) FILTER (l_returnflag = 'A') AS f, count(*) FILTER (l_returnflag = 'R') AS o FROM lineitem GROUP BY 1),
+u AS (SELECT 'total-99' AS name, 'totals' AS layout, 'all' AS subject, NULL AS label, s AS score, n AS count, NULL::DOUBLE AS share FROM q
+UNION ALL SELECT 'grade-1', 'grades', 'F', NULL, s, f, NULL FROM q UNION ALL SELECT 'grade-1', 'grades', 'O', NULL, s, o, NULL FROM q
+UNION ALL SELECT 'grade-2', 'grades', 'all', NULL, s, n, NULL FROM q
+UNION ALL SELECT 'mark-7', 'marks', CASE WHEN s * 10 + 100 < 305 THEN 'Reading' ELSE 'Writing' END, NULL, s + 0.495, f, NULL FROM q
+UNION ALL SELECT 'mark-7', 'marks', CASE WHEN s * 10 + 100 < 305 THEN 'Reading' ELSE 'Writing' END, NULL, s, o, NULL FROM q
+UNION ALL SELECT 'category-3', 'categories', NULL, s || 'A' || (5 - s) || 'B', NULL, n, n % 97 FROM k
+UNION ALL SELECT 'writing-3', 'levels', 'six', s || 'A' || (5 - s) || 'B', NULL, f, 12.5 FROM k UNION ALL SELECT 'writing-3', 'levels', 'five', s || 'A' || (5 - s) || 'B', NULL, o, 7 FROM k)
+SELECT name, layout, subject, label, round(CAST(score AS DOUBLE), 6) AS score, CAST(count AS DOUBLE) AS count, CAST(share AS DOUBLE) AS share FROM u""")
+def layouts_by_name(spark, d):
+    """Five layouts, told by the names of their sheets, in one scan."""
+    return layouts.read_sheets(written_sheets(spark, d), sheet_layouts()).withColumn("score", F.round("score", 6))
+
+
+@query("s10_unknown_names", """SELECT 'readme' AS name, count(DISTINCT l_suppkey % 6) AS rows FROM lineitem""")
+def unknown_names(spark, d):
+    return layouts.unknown_sheets(written_sheets(spark, d), sheet_layouts())
+
+
 @query("s11_header_aliases", """SELECT s_suppkey AS code, s_name AS school, s_acctbal AS seats FROM supplier""")
 def header_aliases(spark, d):
     sheet = table(spark, d, "supplier").withColumnRenamed("s_suppkey", " Code No ").withColumnRenamed("s_acctbal", "Places")
@@ -153,7 +212,7 @@ def replace_by_key(spark, d):
     incremental.replace_by_key(rows.where("st <> 'P'"), path, "st")
     incremental.replace_by_key(rows.where("st = 'F'").withColumn("price", F.col("price") * 2), path, "st")
     incremental.replace_by_key(incremental.pending(rows, spark, path, "st"), path, "st")
-    return spark.read.parquet(path).select("o_orderkey", "st", "price")
+    return incremental.current(spark, path).select("o_orderkey", "st", "price")
 
 
 @query("s13_union_sources", """SELECT 'customer' AS system, c_name AS name, c_acctbal AS seats, c_mktsegment AS grp FROM customer UNION ALL SELECT 'supplier', s_name, s_acctbal, NULL FROM supplier""")
@@ -181,7 +240,9 @@ def star_export(spark, d):
         members.select(F.col("formula").alias("part"), "subject", none.alias("score"), none.alias("n")))
 
 
-@query("s16_report_payload")
+@query("s16_report_payload", """SELECT '{"lines":' || (SELECT count(*) FROM lineitem) || ',"flags":[' || (SELECT string_agg('{"l_returnflag":"' || l_returnflag || '","l_linestatus":"' || l_linestatus || '","n":' || n || ',"mean":' || mean || '}', ',' ORDER BY l_returnflag, l_linestatus)
+FROM (SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 4) AS mean FROM lineitem GROUP BY 1, 2)) || '],"years":[' ||
+(SELECT string_agg('{"year":' || year || ',"n":' || n || '}', ',' ORDER BY year) FROM (SELECT year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY 1)) || ']}' AS payload""")
 def report_payload(spark, d):
     """Aggregated tables of fixed size as one JSON document."""
     lines = table(spark, d, "lineitem")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lookup import looked_up
 from .ordered import carried
 
 
@@ -161,15 +162,15 @@ def read_curve(rows: DataFrame, slopes: DataFrame, keys: Sequence[str], x: Colum
                clip: bool = True) -> DataFrame:
     """Read rows through their own key's curve, clipped to [0, 1] on request.
 
-    The curve side is one short row per key; whether it is broadcast is left to
-    the optimizer, which sees its size.
+    The curve side is one short row per key. It is written and measured: within the bounds of
+    :func:`looked_up` it goes to every task, else the rows of a hot key are spread.
     """
     table = curve_table(slopes, keys)
     value = curve_value(F.col("knots"), x)
     if clip:
         # least and greatest pass over nulls, and a row without x has no level.
         value = F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
-    return rows.join(table, list(keys), "left").withColumn(out, value).drop("knots")
+    return looked_up(rows, table, keys, "left").withColumn(out, value).drop("knots")
 
 
 def invert(probes: DataFrame, knots: DataFrame, keys: Sequence[str], y: str, **options) -> DataFrame:

@@ -10,9 +10,10 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import numbered
 
 
@@ -189,20 +190,20 @@ def _gap_sums(read: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum(w).alias("w"), F.sum(w * F.abs(gap)).alias("a"), F.sum(w * gap * gap).alias("q"))
 
 
-def held_out(pairs: DataFrame, densities: DataFrame, families: DataFrame, group: str, folds: int = 5,
-             linear: bool = True, **options) -> DataFrame:
-    """Held-out error per model family and its spread over the folds.
+def _loss_cube(pairs: DataFrame, densities: DataFrame, group: str, folds: int, linear: bool, **options) -> DataFrame:
+    """(candidate, fold, w, a, q): loss sums of each candidate on each fold, from one read of the pairs.
 
-    A family is a set of candidates; on each fold its best candidate on the rest
-    is judged on the fold. Losses are sums, so the rest is the whole minus the
-    fold and the pairs are read once.
+    All that a comparison asks is sums of these cells: a fold is one cell, the rest of the data
+    is the whole less that cell, and a full fit is the whole.
     """
     weights = pairs.groupBy(group).agg(F.sum("weight").alias("_gw"))
     dealt = balanced_folds(weights, group, "_gw", folds, **options).select(group, "fold")
-    read = read_pairs(pairs.join(dealt, group), densities, linear)
-    cells = _gap_sums(read, ["candidate", "fold"])
+    return cut_lineage(_gap_sums(read_pairs(pairs.join(dealt, group), densities, linear), ["candidate", "fold"]))
+
+
+def _held_out(cells: DataFrame, families: DataFrame) -> DataFrame:
     whole = cells.groupBy("candidate").agg(F.sum("w").alias("tw"), F.sum("q").alias("tq"))
-    table = cells.join(whole, "candidate").join(families, "candidate")
+    table = cells.join(whole, "candidate").join(families.select("candidate", "family"), "candidate")
     train = (F.col("tq") - F.col("q")) / (F.col("tw") - F.col("w"))
     test = F.struct((100.0 * F.col("a") / F.col("w")).alias("mae"), F.col("w").alias("w"))
     best = table.groupBy("family", "fold").agg(F.min_by(test, F.struct(train, "candidate")).alias("t"))
@@ -210,6 +211,41 @@ def held_out(pairs: DataFrame, densities: DataFrame, families: DataFrame, group:
         (F.sum(F.col("t.mae") * F.col("t.w")) / F.sum("t.w")).alias("mae"), F.stddev_pop("t.mae").alias("fold_sd"))
 
 
+def held_out(pairs: DataFrame, densities: DataFrame, families: DataFrame, group: str, folds: int = 5,
+             linear: bool = True, **options) -> DataFrame:
+    """Held-out error per model family and its spread over the folds.
+
+    A family is a set of candidates; on each fold its best candidate on the rest
+    is judged on the fold. Losses are sums, so the rest is the whole minus the
+    fold and the pairs are read once.
+    """
+    return _held_out(_loss_cube(pairs, densities, group, folds, linear, **options), families)
+
+
+def compared(pairs: DataFrame, densities: DataFrame, families: DataFrame, group: str, reference: str, folds: int = 5,
+             linear: bool = True, observations: Column | None = None, **options) -> DataFrame:
+    """Families by their fit to everything and by their held-out error, from one cube of losses.
+
+    ``families`` has candidate, family and ``degrees`` (free parameters). The full fit is the
+    family's best candidate on all pairs, with its MAE and MSE in points and the difference of
+    Gaussian BIC to the family ``reference``, over ``observations`` independent pairs (by
+    default the count of all pairs). Ranks count from 1, ties by name.
+    """
+    cells = _loss_cube(pairs, densities, group, folds, linear, **options)
+    whole = cells.groupBy("candidate").agg(F.sum("w").alias("w"), F.sum("a").alias("a"), F.sum("q").alias("q")).join(families, "candidate")
+    loss = F.col("q") / F.col("w")
+    fit = whole.groupBy("family").agg(F.min_by(F.struct("degrees", (100.0 * F.col("a") / F.col("w")).alias("mae"), (1e4 * loss).alias("mse")), F.struct(loss, "candidate")).alias("f"))
+    fit = fit.select("family", "f.*")
+    first = fit.where(F.col("family") == reference)
+    n = pairs.agg(F.count(F.lit(1))).scalar() if observations is None else observations
+    delta = n * F.ln(F.col("mse") / first.agg(F.max("mse")).scalar()) + (F.col("degrees") - first.agg(F.max("degrees")).scalar()) * F.ln(n)
+    judged = _held_out(cells, families).withColumnsRenamed({"mae": "held_out_mae"})
+    both = fit.withColumn("bic_delta", delta).join(judged, "family")
+    # Families are a short list by design.
+    place = lambda by: F.row_number().over(Window.orderBy(by, "family"))
+    return both.withColumn("full_rank", place("mae")).withColumn("held_out_rank", place("held_out_mae"))
+
+
 def resample_count(key: Column, resample: Column, seed: int) -> Column:
     """Poisson(1) count of a group in a resample, a fixed function of both."""
     text = F.concat_ws(":", F.lit(str(seed)), key.cast("string"), resample.cast("string"))

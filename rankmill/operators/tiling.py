@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..session import cut_lineage, release
 from . import interp
 from .allocate import route_factors
+from .lookup import looked_up
 from .ordered import carried, running, sliced
 from .rollup import weighted_mean
 
@@ -232,8 +233,7 @@ def place(rows: DataFrame, totals: DataFrame | None, *, year: str, group: str, s
         return out.withColumn("placed_weight", F.col(weight).cast("double"))
     held = out.groupBy(year, route).agg(F.sum(weight).cast("double").alias("_held"))
     factor = route_factors(held, totals, [year], route, "_held", "total", reserved, renamed)
-    factor = F.broadcast(factor.select(year, route, "factor"))  # years x routes rows
-    return out.join(factor, [year, route], "left").withColumn(
+    return looked_up(out, factor.select(year, route, "factor"), [year, route], "left").withColumn(
         "placed_weight", F.col(weight) * F.coalesce("factor", F.lit(1.0))
     ).drop("factor")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.allocate import deduct_by_priority
 from ..operators.interp import fill_series
+from ..operators.lookup import looked_up
 from ..operators.ordered import carried, numbered
 from ..operators.rollup import active_years, weighted_mean
 from ..session import cut_lineage
@@ -277,7 +278,7 @@ def calibrate(cells: DataFrame, totals: DataFrame, rules: PanelRules) -> DataFra
         (F.col("_base") > 0) & (F.col("_est") > 0) & (F.col("_target") >= F.col("_base") - F.col("_est"))
         & ~F.col("_total_route").isin(list(rules.uncalibrated))
     ).select("year", "_total_route", ((F.col("_target") - F.col("_base") + F.col("_est")) / F.col("_est")).alias("_scale"))
-    joined = marked.join(F.broadcast(factor), ["year", "_total_route"], "left")  # years x routes rows
+    joined = looked_up(marked, factor, ["year", "_total_route"], "left")
     hit = imputed & F.col("_scale").isNotNull()
     tagged = hit & (F.abs(F.col("_scale") - 1.0) > 1e-9)
     return joined.select(

@@ -78,3 +78,9 @@ def release(*steps: DataFrame) -> None:
         if path is not None:
             place = step.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(step.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written_bytes(step: DataFrame) -> int:
+    """Size of the files of a step made by ``cut_lineage``."""
+    place = step.sparkSession._jvm.org.apache.hadoop.fs.Path(step._step_path)
+    return int(place.getFileSystem(step.sparkSession._jsc.hadoopConfiguration()).getContentSummary(place).getLength())
