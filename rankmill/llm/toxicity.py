@@ -1,23 +1,26 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence has a probability, a logistic function
-of the different words and beginnings of words in it, and the document's probability is their noisy-or: one
-minus the product of what is left of each sentence. Only documents carry labels; the
-loss of the noisy-or is what trains the sentence weights, so that the weights end up on
-the sentences that explain the labels, and a trained model locates those sentences.
+A document is a bag of sentences. A sentence with features, different words and beginnings of
+words, has a probability, a logistic function of these, and the document's probability is
+their noisy-or: one minus the product of what is left of each sentence, and of one leak,
+which stands for all that no feature tells and is the same for each document. Sentences
+without features say nothing, and in scoring neither do those below ``FAINT``, so that a text
+does not become toxic by being long. Only documents carry labels; the loss of the noisy-or
+is what trains the sentence weights, so that the weights end up on the sentences that explain
+the labels, and a trained model locates those sentences.
 
 The model is fitted on at most ``fit_rows`` labels, those whose document has the smallest
 hash of its id; that table is small enough to be sent to every task, so that no text but
 theirs is moved. Document frequencies by label are summed in Spark; the words and
 beginnings, ``vocabulary`` at most, that part the labels most by the G statistic become
-features, all others are background. A bag is then a few sentences with features and a
-number of plain ones, and the weights are fitted to the bags on the driver.
+features, all others are background. A bag is then a few sentences with features, equal
+ones as one with a count, and the weights are fitted to the bags on the driver.
 
 Scoring takes every sentence of every whole text, in one pass without a shuffle; the
 model, at most ``vocabulary`` numbers, travels with the tasks.
 
-Defined results: null and empty texts have no sentence and get the score of one plain
-sentence; where the labels name no feature every score is the share of toxic labels (0
+Defined results: null and empty texts have no sentence and get the score of the leak
+alone; where the labels name no feature every score is the share of toxic labels (0
 if there are none); labels that are null or belong to no document are ignored, and a
 document labelled several times is trained once for each. Long texts are scored whole.
 """
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Container, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -42,6 +46,8 @@ LEAST_ROWS = 5
 ROUNDS = 300
 PENALTY = 0.3
 OFFENDING = 0.5
+#: Sentences less probable than this do not add to a score.
+FAINT = 0.05
 
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -54,7 +60,7 @@ CACHED_WORDS = 500_000
 
 @dataclass
 class Model:
-    """Weights of words; ``bias`` is the log-odds of a sentence without any of them.
+    """Weights of words; ``bias`` is added for each sentence that has some, ``leak`` is the log-odds of a text without.
 
     ``constant`` is the score of every document where nothing could be learned.
     """
@@ -62,6 +68,12 @@ class Model:
     bias: float = -20.0
     weights: dict[str, float] = field(default_factory=dict)
     constant: float | None = None
+    leak: float | None = None
+
+    def base(self) -> float:
+        """Probability of a text in which no sentence speaks."""
+        logit = self.bias if self.leak is None else self.leak
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
 
     def sentence(self, words: Iterable[str]) -> float:
         logit = self.bias + sum(self.weights.get(w, 0.0) for w in words)
@@ -90,18 +102,16 @@ class Finder:
             found = self.known[word] = tuple(f for f in spelled if f in self.features)
         return found
 
-    def of_text(self, text: str) -> tuple[list[tuple[int, int, set[str]]], int]:
-        """The sentences with features, as (start, end, features), and the number of the others."""
+    def of_text(self, text: str) -> list[tuple[int, int, set[str]]]:
+        """The sentences with features, as (start, end, features)."""
         if not any(self.of_word(w) for w in set(TOKEN.findall(text.lower()))):
-            return [], sum(1 for _ in SENTENCE.finditer(text))
-        marked, plain = [], 0
+            return []
+        marked = []
         for start, end in sentences(text):
             found = {f for w in TOKEN.findall(text[start:end].lower()) for f in self.of_word(w)}
             if found:
                 marked.append((start, end, found))
-            else:
-                plain += 1
-        return marked, plain
+        return marked
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, fit_rows: int) -> DataFrame:
@@ -144,49 +154,53 @@ def vocabulary(rows: DataFrame, size: int = VOCABULARY, least_rows: int = LEAST_
 
 
 def _bags(rows: DataFrame, words: list[str]) -> DataFrame:
-    """Each labelled text as sentences of word numbers: ``bag`` array<array<int>>, ``plain``."""
+    """Each labelled text as its different sentences of word numbers, with their counts: ``bag``."""
     number = {w: i for i, w in enumerate(words)}
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(number)
         for batch in batches:
-            made = [finder.of_text(t) for t in batch["text"]]
-            bags = [[sorted(number[w] for w in found) for _, _, found in marked] for marked, _ in made]
-            yield pd.DataFrame({"key": batch["key"], "label": batch["label"], "bag": bags, "plain": [p for _, p in made]})
+            bags = []
+            for text in batch["text"]:
+                held = Counter(tuple(sorted(number[w] for w in found)) for _, _, found in finder.of_text(text))
+                bags.append([{"words": list(s), "times": n} for s, n in sorted(held.items())])
+            yield pd.DataFrame({"key": batch["key"], "label": batch["label"], "bag": bags})
 
     keyed = rows.withColumn("key", F.xxhash64("text"))
-    return keyed.mapInPandas(each, "key bigint, label int, bag array<array<int>>, plain int")
+    return keyed.mapInPandas(each, "key bigint, label int, bag array<struct<words: array<int>, times: bigint>>")
 
 
-def fitted(bags: list[tuple[int, list[list[int]], int]], words: list[str], rounds: int = ROUNDS) -> Model:
+def fitted(bags: list[tuple[int, list[tuple[list[int], int]]]], words: list[str], rounds: int = ROUNDS) -> Model:
     """Weights that maximise the penalised likelihood of the noisy-or, by Adam steps.
 
-    With q = prod(1 - p), the document's probability is 1 - q, and the derivative of its
-    log-likelihood by a sentence's logit is p * (y * q / (1 - q) - (1 - y)).
+    A bag is a label and its sentences, as word numbers with a count. With q the leak's and all
+    sentences' product of 1 - p, the document's probability is 1 - q, and the derivative of its
+    log-likelihood by a sentence's logit is p * (y * q / (1 - q) - (1 - y)), once for each count.
     """
     y = np.array([b[0] for b in bags], dtype=float)
-    plain = np.array([b[2] + (not b[1] and not b[2]) for b in bags], dtype=float)
     doc = np.array([d for d, b in enumerate(bags) for _ in b[1]], dtype=np.int64)
-    held = [s for b in bags for s in b[1]]
+    held = [s for b in bags for s, _ in b[1]]
+    times = np.array([n for b in bags for _, n in b[1]], dtype=float)
     flat = np.array([w for s in held for w in s], dtype=np.int64)
     owner = np.repeat(np.arange(len(held)), [len(s) for s in held]) if held else np.zeros(0, dtype=np.int64)
-    theta = np.zeros(len(words) + 1)
-    theta[-1] = -7.0
+    theta = np.zeros(len(words) + 2)
+    theta[-2:] = -7.0, -5.0
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
-        logit = theta[-1] + np.bincount(owner, theta[flat], len(held))
+        logit = theta[-2] + np.bincount(owner, theta[flat], len(held))
         p, p0 = 1 / (1 + np.exp(-logit)), 1 / (1 + np.exp(-theta[-1]))
-        kept = plain * np.log1p(-p0) + np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(bags))
-        q = np.exp(kept)
+        q = np.exp(np.log1p(-p0) + np.bincount(doc, times * np.log1p(-np.minimum(p, 1 - 1e-9)), len(bags)))
         pull = y * q / np.maximum(1 - q, 1e-9) - (1 - y)
-        by_sentence = p * pull[doc]
+        by_sentence = times * p * pull[doc]
         slope = np.bincount(flat, by_sentence[owner], len(theta)) if len(flat) else np.zeros_like(theta)
-        slope[-1] += by_sentence.sum() + p0 * (plain * pull).sum()
-        slope[:-1] -= PENALTY * theta[:-1]
+        slope[-2] += by_sentence.sum()
+        slope[-1] += p0 * pull.sum()
+        slope[:-2] -= PENALTY * theta[:-2]
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         theta += 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-        theta[-1] = min(theta[-1], -0.5)
-    return Model(float(theta[-1]), {w: float(t) for w, t in zip(words, theta, strict=False) if abs(t) > 1e-3})
+        theta[-2:] = np.minimum(theta[-2:], -0.5)
+    weights = {w: float(t) for w, t in zip(words, theta, strict=False) if abs(t) > 1e-3}
+    return Model(float(theta[-2]), weights, leak=float(theta[-1]))
 
 
 def trained(
@@ -205,7 +219,7 @@ def trained(
     if not words:
         return Model(constant=rows.agg(F.avg("label")).first()[0] or 0.0)
     # Documents that repeat an id may be more than the labels; the bound holds for them too.
-    bags = [(r["label"], r["bag"], r["plain"]) for r in _bags(rows, words).orderBy("key", "label").limit(fit_rows).collect()]
+    bags = [(r["label"], [(s["words"], s["times"]) for s in r["bag"]]) for r in _bags(rows, words).orderBy("key", "label").limit(fit_rows).collect()]
     return fitted(bags, words)
 
 
@@ -213,11 +227,10 @@ def score(model: Model, text: str | None, finder: Finder | None = None) -> tuple
     """The document's probability and its sentences with features: (start, end, probability)."""
     if model.constant is not None:
         return model.constant, []
-    marked, plain = (finder or Finder(model.weights)).of_text(text or "")
-    base = model.sentence(())
+    marked = (finder or Finder(model.weights)).of_text(text or "")
     scored = [(start, end, model.sentence(found)) for start, end, found in marked]
-    left = max(plain, int(not marked)) * math.log1p(-min(base, 1 - 1e-9))
-    left += sum(math.log1p(-min(p, 1 - 1e-9)) for _, _, p in scored)
+    left = math.log1p(-min(model.base(), 1 - 1e-9))
+    left += sum(math.log1p(-min(p, 1 - 1e-9)) for _, _, p in scored if p >= FAINT)
     return -math.expm1(left), scored
 
 

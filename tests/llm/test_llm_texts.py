@@ -52,7 +52,7 @@ def test_toxicity_noisy_or():
     assert [(a, b) for a, b, _ in found] == [(10, 21), (21, 33)]
     one, two = found[0][2], found[1][2]
     assert one == pytest.approx(p[1]) and two == pytest.approx(model.sentence(["bad", "bad-", "ba-"]) if "bad-" in model.weights else p[1])
-    assert score == pytest.approx(1 - (1 - p[0]) ** 2 * (1 - one) * (1 - two))
+    assert score == pytest.approx(1 - (1 - p[0]) * (1 - one) * (1 - two))  # one leak, whatever says nothing
     assert toxicity.score(model, None)[0] == toxicity.score(model, "")[0] == pytest.approx(p[0])
     assert 0 <= toxicity.score(model, "bad. " * 50_000)[0] <= 1
 
@@ -67,26 +67,58 @@ def test_toxicity_without_both_labels(spark, labels):
 
 def test_toxicity_gradient():
     """The slope used for fitting is that of the likelihood."""
-    bags = [(1, [[0], [1, 2]], 3), (0, [[2]], 1), (0, [], 0), (1, [[1]], 0)]
+    bags = [(1, [([0], 1), ([1, 2], 2)]), (0, [([2], 1)]), (0, []), (1, [([1], 3)])]
     words = ["a", "b", "c"]
     model = toxicity.fitted(bags * 20, words, rounds=400)
 
-    def loss(w, bias):
+    def loss(w, bias, leak):
         total = 0.0
-        for y, held, plain in bags:
+        for y, held in bags:
             sigma = lambda z: 1 / (1 + np.exp(-z))
-            q = (1 - sigma(bias)) ** max(plain, int(not held)) * np.prod([1 - sigma(bias + sum(w[i] for i in s)) for s in held])
+            q = (1 - sigma(leak)) * np.prod([(1 - sigma(bias + sum(w[i] for i in s))) ** n for s, n in held])
             total += np.log(1 - q) if y else np.log(q)
         return -20 * total + toxicity.PENALTY / 2 * sum(x * x for x in w)
 
-    best = [model.weights.get(x, 0.0) for x in words]
-    here = loss(best, model.bias)
-    for k in range(4):
+    best = [*(model.weights.get(x, 0.0) for x in words), model.bias, model.leak]
+    here = loss(best[:3], *best[3:])
+    for k in range(5):
         for step in (-0.2, 0.2):
             other = list(best)
-            if k < 3:
-                other[k] += step
-            assert loss(other, min(-0.5, model.bias + (step if k == 3 else 0))) >= here - 0.05
+            other[k] = min(-0.5, best[k] + step) if k > 2 else best[k] + step
+            assert loss(other[:3], *other[3:]) >= here - 0.05
+
+
+@pytest.fixture(scope="module")
+def toxic_model(spark):
+    rows, bad = toxic_rows()
+    docs = docs_of(spark, [(i, t) for i, t, _ in rows])
+    return rows, bad, toxicity.trained(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int"))
+
+
+def test_toxicity_does_not_grow_with_length(toxic_model):
+    """Clean sentences by the hundred thousand stay below one half; one offending sentence among them is found."""
+    rows, bad, model = toxic_model
+    clean = " ".join(t for _, t, y in rows if not y)
+    long = (clean + " ") * (100_000 // clean.count(".") + 1)
+    assert long.count(".") >= 100_000 and toxicity.score(model, long)[0] < 0.5
+    assert toxicity.score(model, "The committee met on Tuesday. " * 100_000)[0] < 0.5
+    at = len(long) // 2
+    score, found = toxicity.score(model, f"{long[:at]}. wab {bad[0]} wcd. {long[at:]}")
+    assert score >= 0.5 and [bad[0] in f"{long[:at]}. wab {bad[0]} wcd. {long[at:]}"[a:b] for a, b, p in found if p >= 0.5] == [True]
+
+
+def test_toxicity_score_against_plain_sentences(toxic_model):
+    """The score as its definition says it, without the finder and its memory."""
+    rows, _, model = toxic_model
+    for _, text, _ in rows:
+        left = 1 - model.base()
+        for part in re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", text):
+            words = set(re.findall(r"[^\W\d_]+", part.lower()))
+            logits = [model.weights[f] for f in {*words, *(f"{w[:n]}-" for w in words for n in range(3, 10) if n < len(w))} if f in model.weights]
+            p = 1 / (1 + np.exp(-(model.bias + sum(logits))))
+            if logits and p >= toxicity.FAINT:
+                left *= 1 - p
+        assert toxicity.score(model, text)[0] == pytest.approx(1 - left)
 
 
 def plain_findings(text):
