@@ -242,8 +242,11 @@ def _restored(row, degree: int) -> tuple[Graph, list[np.ndarray]]:
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
+    """The k best other ids, an id under several vectors by its nearest one."""
     order = np.lexsort((ids, -scores))
-    return [(int(ids[i]), float(scores[i])) for i in order[: k + 1] if ids[i] != own][:k]
+    first = np.sort(np.unique(ids[order], return_index=True)[1])
+    chosen = order[first]
+    return [(int(ids[i]), float(scores[i])) for i in chosen[ids[chosen] != own][:k]]
 
 
 def searched(
@@ -283,12 +286,21 @@ def searched(
                     graph, owned = _restored(head, degree)
                     here = (head["dim"], head["shard"])
                 elif graph is not None and here == (head["dim"], head["shard"]):
-                    nodes, scores = graph.nearest(np.stack(rows["query"].to_numpy()), max(search_beam, k + 1))
-                    for at, own in enumerate(rows["query_id"].tolist()):
-                        real = nodes[at] >= 0
-                        ids = [owned[n] for n in nodes[at][real]]
-                        flat = np.repeat(scores[at][real], [len(i) for i in ids])
-                        out += [(own, i, s) for i, s in _best(np.concatenate(ids), flat, own, k)]
+                    asked, names = np.stack(rows["query"].to_numpy()), rows["query_id"].to_numpy()
+                    beam = max(search_beam, k + 1)
+                    while len(names):
+                        nodes, scores = graph.nearest(asked, beam)
+                        few = np.zeros(len(names), dtype=bool)
+                        for at, own in enumerate(names.tolist()):
+                            real = nodes[at] >= 0
+                            ids = [owned[n] for n in nodes[at][real]]
+                            flat = np.repeat(scores[at][real], [len(i) for i in ids])
+                            best = _best(np.concatenate(ids), flat, own, k)
+                            # Where ids repeat under many vectors, look further until k ids are found.
+                            few[at] = len(best) < k and beam < len(graph.vectors)
+                            if not few[at]:
+                                out += [(own, i, s) for i, s in best]
+                        asked, names, beam = asked[few], names[few], min(2 * beam, len(graph.vectors))
             if out:
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 

@@ -8,10 +8,10 @@ the text of a turn is located by rendering the same prefix with two probe texts
 differ in every place: what both share before and behind is the template's.
 
 Turns stream through each task in order, one conversation after the other, so that a
-conversation of any length is never gathered. A prefix is rendered from at most
-``window`` turns back; each window begins with turns of the one before, whose spans must
-come out the same, which shows a template that looks further back or counts its turns
-(``rewrites`` again). Shorter conversations are rendered from their first turn.
+conversation of any length is never gathered. A prefix of a black box is rendered from its
+first turn, however long it is. A template that declares itself local (each turn reads alike
+with and without the turns before it) is rendered in windows; each begins with turns of
+the one before, whose spans must come out the same, or ``rewrites`` says that they do not.
 
 Defined results: null texts and null roles count as empty; turns go by turn, nulls first,
 then by role and text; repeated rows are turns of their own; rows with a null id are one
@@ -58,6 +58,10 @@ def turn_template(turns: list[Turn]) -> str:
     return "".join(f"{HEAD}{escaped(role, ROLE_CONTROL)}:\n{escaped(text)}{TAIL}" for role, text in turns)
 
 
+#: Declares that a turn reads alike with and without the turns before it.
+turn_template.local = True
+
+
 def read_back(formatted: str) -> list[tuple[str, str]]:
     """The turns of a formatted text; anything that is not a turn raises."""
     turns, at = [], 0
@@ -81,9 +85,14 @@ class Piece:
 
 
 class Renderer:
-    """Renders one conversation turn by turn."""
+    """Renders one conversation turn by turn.
+
+    Each turn is seen as what the prefix up to it adds to the prefix before, whatever the
+    number of turns. With ``window``, for a template that is known to write each turn by
+    itself, rendering starts again from the last turn after so many.
+    """
 
-    def __init__(self, template: Template, window: int = WINDOW):
+    def __init__(self, template: Template, window: int | None = None):
         self.template, self.window = template, window
         self.turns: list[Turn] = []
         self.before = ""
@@ -91,7 +100,7 @@ class Renderer:
 
     def add(self, role: str, text: str) -> Piece:
         moved = False
-        if len(self.turns) >= self.window:
+        if self.window is not None and len(self.turns) >= self.window:
             # Start again from the last turn; it must read as it did with all before it.
             self.turns = self.turns[-1:]
             self.before = self.template(self.turns)
@@ -117,15 +126,19 @@ def formatted(
     text: str = "text",
     *,
     template: Template = turn_template,
-    window: int = WINDOW,
+    window: int | None = None,
     trained_roles: tuple[str, ...] = ("assistant",),
 ) -> DataFrame:
     """One row per turn: (conv_id, seq, role, piece, start, end, loss_start, loss_end, rewrites).
 
     The pieces of a conversation in the order of ``seq`` are its formatted text; the
     positions are code points of that text, and the loss span, null for roles that are
-    not trained, holds the escaped text alone.
+    not trained, holds the escaped text alone. A black-box template sees every prefix as it
+    is, at a cost that grows with the square of a conversation's length; a template with a
+    true attribute ``local``, as ``turn_template`` has, is rendered in windows.
     """
+    if window is None and getattr(template, "local", False):
+        window = WINDOW
     rows = conversations.select(
         F.col(conv_id).alias("id"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"),
         F.coalesce(text, F.lit("")).alias("text"),

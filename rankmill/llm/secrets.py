@@ -38,6 +38,7 @@ class Rule:
     version: int
     pattern: str
     accept: Callable[[re.Match], bool] = lambda match: True
+    begin: Callable[[re.Match], int] = lambda match: match.start()
 
     @property
     def name(self) -> str:
@@ -46,7 +47,7 @@ class Rule:
     def spans(self, text: str) -> Iterator[tuple[int, int]]:
         for match in re.finditer(self.pattern, text):
             if self.accept(match):
-                yield match.start(), match.end()
+                yield self.begin(match), match.end()
 
 
 # The three base kinds. A run too short for its kind is dropped after it
@@ -58,8 +59,10 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{12,}"),
     Rule("hex", 1, r"[0-9a-f]{32,}"),
     # Further kinds of the ledger's own.
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("url_login", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,200}:[^\s/:@]{1,200}@"),
+    Rule("private_key", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # A scheme starts at the first letter of its run; looking at whole runs keeps the search linear.
+    Rule("url_login", 2, r"(?<![a-z0-9+.-])([a-z0-9+.-]++)://[^\s/:@]++:[^\s/:@]++@",
+         lambda m: re.search(r"[a-z][a-z0-9+.-]", m[1]) is not None, lambda m: m.start() + re.search("[a-z]", m[1]).start()),
     Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 

@@ -5,6 +5,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankmill.llm import ann, mixing, packing
 
@@ -231,3 +232,17 @@ def test_recall(spark, sf_dir):
         order = np.argsort(-(vectors @ vectors[own]), kind="stable")
         hits += len(got[own] & set([i for i in order if i != own][:20]))
     assert hits / (150 * 20) >= 0.9
+
+
+def test_ids_under_many_vectors_take_one_place(spark):
+    """One id under sixty near vectors does not crowd out the others, and counts by its nearest vector."""
+    rng = np.random.default_rng(5)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(7, [1.0, float(x), 0.0, 0.0]) for x in rng.uniform(0, 0.01, 60)]
+    rows += [(100 + i, rng.normal(size=4).tolist()) for i in range(40)]
+    docs = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id bigint, embedding array<double>, label int")
+    got = [(r.rank, r.vec_id, r.score) for r in ann.searched(docs, F.col("vec_id") == 0).orderBy("rank").collect()]
+    best = {}
+    for i, v in rows[1:]:
+        best[i] = max(best.get(i, -9.0), v[0])
+    want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
+    assert [(i, pytest.approx(s)) for _, i, s in got] == want and [n for n, _, _ in got] == list(range(1, 21))
