@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -75,17 +75,20 @@ LIKELY = frozenset("article body content entry main page post text blog story he
 PARAGRAPHS = frozenset("p pre td blockquote li dd dt figcaption h1 h2 h3 h4 h5 h6".split())
 FAIR = 0.2
 MOST_LINKS = 0.5
+#: Ancestors that a paragraph passes points to; those further up would get under a hundredth.
+REACH = 48
 
 
 class Element:
-    __slots__ = ("tag", "parent", "parts", "names", "role", "hidden", "points", "length", "linked")
+    __slots__ = ("tag", "parent", "parts", "names", "role", "hidden", "points", "length", "linked", "commas", "within", "holds")
 
     def __init__(self, tag: str, parent: Element | None, attrs: str = ""):
         self.tag, self.parent = tag, parent
         self.parts: list[Element | str] = []
         self.names: set[str] = set()
         self.role, self.hidden = "", False
-        self.points, self.length, self.linked = 0.0, 0, 0
+        self.points, self.length, self.linked, self.commas = 0.0, 0, 0, 0
+        self.holds = False
         if attrs and not attrs.isspace():
             for name, *values in ATTRIBUTE.findall(attrs):
                 name, value = name.lower(), html.unescape("".join(values))
@@ -97,61 +100,89 @@ class Element:
                     self.hidden = True
                 elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
                     self.hidden = True
+        #: Whether this is an article or lies in one.
+        self.within = self.is_article or (parent is not None and parent.within)
 
     @property
     def is_article(self) -> bool:
         return self.tag in ("article", "main") or self.role in ("main", "article", "articlebody")
 
 
+class _Path:
+    """The open elements, and for each tag how deep they stand, so that none is looked for by walking up."""
+
+    def __init__(self, root: Element):
+        self.nodes = [root]
+        self.depths: dict[str, list[int]] = {root.tag: [0]}
+        self.blocks = [0]
+
+    @property
+    def here(self) -> Element:
+        return self.nodes[-1]
+
+    def deepest(self, tags: Iterable[str]) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=-1)
+
+    def push(self, node: Element) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, depth: int) -> None:
+        """End the element at a depth, not the root, and all inside it."""
+        while len(self.nodes) > max(depth, 1):
+            tag = self.nodes.pop().tag
+            self.depths[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+
 def parsed(page: str) -> Element:
     """The tree of a page; text stands decoded between the elements."""
-    root = here = Element("html", None)
+    root = Element("html", None)
+    path = _Path(root)
     at = 0
     while match := TOKEN.match(page, at):
         at = match.end()
         if text := match["text"]:
-            here.parts.append(html.unescape(text) if "&" in text else text)
+            path.here.parts.append(html.unescape(text) if "&" in text else text)
             continue
         tag = (match["tag"] or match["tag2"] or "").lower()
         if not tag:
             continue
         if match["end"] or match["end2"]:
-            node = here
-            while node is not None and node.tag != tag:
-                # An inline end tag does not reach beyond its block.
-                node = None if tag not in BLOCKS and node.tag in BLOCKS else node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+            depth = path.deepest((tag,))
+            # An inline end tag does not reach beyond its block.
+            if depth > 0 and (tag in BLOCKS or depth > path.blocks[-1]):
+                path.close(depth)
             elif tag == "br":
-                here.parts.append(" ")
+                path.here.parts.append(" ")
             continue
+        attrs = match["attrs"] or match["attrs2"] or ""
         if tag in ("html", "body"):
             if tag == "body":
-                while here.parent is not None:
-                    here = here.parent
-                node = Element(tag, here, match["attrs"] or match["attrs2"] or "")
-                here.parts.append(node)
-                here = node
+                path.close(1)
+                node = Element(tag, root, attrs)
+                root.parts.append(node)
+                path.push(node)
             continue
-        if tag in CLOSES_P or tag in CLOSES:
-            ends, scope = CLOSES.get(tag, ({"p"}, P_SCOPE))
-            for ends, scope in ((ends, scope), ({"p"}, P_SCOPE)) if tag in CLOSES_P else ((ends, scope),):
-                node = here
-                while node.parent is not None and node.tag not in ends and node.tag not in scope:
-                    node = node.parent
-                if node.tag in ends and node.parent is not None:
-                    here = node.parent
-        attrs = match["attrs"] or match["attrs2"] or ""
+        if tag in CLOSES:
+            ends, scope = CLOSES[tag]
+            if (depth := path.deepest(ends)) > max(path.deepest(scope), 0):
+                path.close(depth)
+        if tag in CLOSES_P and (depth := path.deepest(("p",))) > max(path.deepest(P_SCOPE), 0):
+            path.close(depth)
         if tag == "br":
-            here.parts.append(" ")
+            path.here.parts.append(" ")
             continue
-        node = Element(tag, here, attrs)
-        here.parts.append(node)
+        node = Element(tag, path.here, attrs)
+        path.here.parts.append(node)
         if tag in RAW:
             end = RAW[tag].search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID and not (attrs.endswith("/") and tag in ("svg", "path")):
-            here = node
+            path.push(node)
     return root
 
 
@@ -163,78 +194,61 @@ def _unlikely(node: Element) -> bool:
     if node.is_article:
         return not UNLIKELY_ARTICLE.isdisjoint(node.names)
     if node.tag == "header":
-        return not _inside_article(node)
+        return not node.within
     return not UNLIKELY.isdisjoint(node.names)
 
 
-def _inside_article(node: Element | None) -> bool:
-    while node is not None:
-        if node.is_article:
-            return True
-        node = node.parent
-    return False
+def _ordered(root: Element) -> list[Element]:
+    """All elements in page order, parents first."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [x for x in reversed(node.parts) if isinstance(x, Element)]
+    return order
 
 
 def _holds_article(node: Element) -> bool:
     """Whether a part that is unlikely by its name encloses the article all the same."""
-    if node.tag in NEVER or node.role in ROLES or node.hidden:
+    if not node.holds or node.tag in NEVER or node.role in ROLES or node.hidden:
         return False
-    stack = [x for x in node.parts if isinstance(x, Element)]
-    while stack:
-        part = stack.pop()
-        if part.is_article and not _unlikely(part):
-            return not (node.names & {"comment", "comments", "commentlist", "replies", "disqus", "discussion", "related", "recommended"})
-        stack += [x for x in part.parts if isinstance(x, Element)]
-    return False
+    return not (node.names & {"comment", "comments", "commentlist", "replies", "disqus", "discussion", "related", "recommended"})
 
 
 def _pruned(root: Element) -> list[Element]:
     """Take the unlikely parts out; the rest in page order, parents first."""
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
+    every = _ordered(root)
+    for node in reversed(every):
+        if node.parent is not None and (node.holds or node.is_article and not _unlikely(node)):
+            node.parent.holds = True
+    for node in every:
         node.parts = [x for x in node.parts if isinstance(x, str) or not _unlikely(x) or _holds_article(x)]
-        stack += [x for x in reversed(node.parts) if isinstance(x, Element)]
-    return order
+    return _ordered(root)
 
 
 def _measured(order: list[Element]) -> None:
-    """Lengths of text and of linked text, and points, all from the leaves up."""
+    """Lengths of text and of linked text, commas, and points, all from the leaves up."""
     for node in reversed(order):
-        own = sum(len(" ".join(x.split())) for x in node.parts if isinstance(x, str))
+        own = [x for x in node.parts if isinstance(x, str)]
         inner = [x for x in node.parts if isinstance(x, Element)]
-        node.length = own + sum(x.length for x in inner)
+        node.length = sum(len(" ".join(x.split())) for x in own) + sum(x.length for x in inner)
         node.linked = node.length if node.tag == "a" else sum(x.linked for x in inner)
+        node.commas = sum(x.count(",") for x in own) + sum(x.commas for x in inner)
     for node in order:
-        loose = node.tag in ("div", "section", "article", "main", "body", "center") and any(isinstance(x, str) and not x.isspace() for x in node.parts)
+        own = [x for x in node.parts if isinstance(x, str)]
+        loose = node.tag in ("div", "section", "article", "main", "body", "center") and any(not x.isspace() for x in own)
         if not node.length or not (node.tag in PARAGRAPHS or loose):
             continue
         if node.tag in ("td", "li", "blockquote", "dd") and any(isinstance(x, Element) and x.tag in BLOCKS for x in node.parts):
             continue
-        if loose:
-            text = "".join(x for x in node.parts if isinstance(x, str))
-            length = len(text)
-        else:
-            text, length = "".join(_strings(node)), node.length
-        earned = 1 + text.count(",") + length / 100
-        earned *= 1 - (node.linked / node.length)
+        commas, length = (sum(x.count(",") for x in own), sum(map(len, own))) if loose else (node.commas, node.length)
+        earned = (1 + commas + length / 100) * (1 - node.linked / node.length)
         above, depth = (node if loose else node.parent), 0
-        while above is not None:
+        while above is not None and depth < REACH:
             above.points += earned / (1, 2)[depth] if depth < 2 else earned / (3 * depth)
             above, depth = above.parent, depth + 1
 
 
-def _strings(node: Element) -> Iterator[str]:
-    stack: list[Element | str] = [node]
-    while stack:
-        part = stack.pop()
-        if isinstance(part, str):
-            yield part
-        else:
-            stack += reversed(part.parts)
-
-
 def _density(node: Element) -> float:
     return node.linked / node.length if node.length else 0.0
 
