@@ -67,6 +67,13 @@ UNLIKELY = frozenset(
     "headers masthead topbar toolbar pager pagination skip sitemap tagcloud outbrain taboola paywall feedback survey "
     "dropdown hidden teaser teasers trending popular alert alerts disclaimer".split()
 )
+#: Words beside which they still mean the same: cookie-bar is unlikely, notice-period is not.
+NEUTRAL = frozenset(
+    "area bar block body bottom box btn button buttons card cards center col column columns container content count "
+    "group heading holder icon icons id in inner item items js label layout left link links list main message module "
+    "new off on outer overlay page panel post posts primary right row secondary section sections site slot small sticky "
+    "strip tab tabs text title top unit up wrap wrapper zone story stories article articles entry user users form".split()
+)
 #: Those of them that also hold for an element that calls itself article or main.
 UNLIKELY_ARTICLE = frozenset("ad ads advert advertisement sponsor sponsored promo comment comments reply replies related recommended teaser".split())
 WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
@@ -80,20 +87,22 @@ REACH = 48
 
 
 class Element:
-    __slots__ = ("tag", "parent", "parts", "names", "role", "hidden", "points", "length", "linked", "commas", "within", "holds")
+    __slots__ = ("tag", "parent", "parts", "names", "role", "hidden", "points", "length", "linked", "commas", "within", "holds", "labels", "paragraphs")
 
     def __init__(self, tag: str, parent: Element | None, attrs: str = ""):
         self.tag, self.parent = tag, parent
         self.parts: list[Element | str] = []
         self.names: set[str] = set()
+        self.labels: list[frozenset[str]] = []
         self.role, self.hidden = "", False
         self.points, self.length, self.linked, self.commas = 0.0, 0, 0, 0
-        self.holds = False
+        self.holds, self.paragraphs = False, False
         if attrs and not attrs.isspace():
             for name, *values in ATTRIBUTE.findall(attrs):
                 name, value = name.lower(), html.unescape("".join(values))
                 if name in ("class", "id"):
-                    self.names.update(w.lower() for w in WORDS.findall(value))
+                    self.labels += [frozenset(w.lower() for w in WORDS.findall(v)) for v in value.split()]
+                    self.names.update(*self.labels)
                 elif name in ("role", "itemprop"):
                     self.role = self.role or value.lower()
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -186,16 +195,21 @@ def parsed(page: str) -> Element:
     return root
 
 
+def _named(node: Element, words: frozenset[str]) -> bool:
+    """Whether a class or id consists of such words and of words that only say what kind of box it is."""
+    return any(not words.isdisjoint(name) and all(w in words or w in NEUTRAL for w in name) for name in node.labels)
+
+
 def _unlikely(node: Element) -> bool:
     if node.tag in NEVER or node.role in ROLES or node.hidden:
         return True
     if node.tag in ("html", "body"):
         return False
     if node.is_article:
-        return not UNLIKELY_ARTICLE.isdisjoint(node.names)
+        return _named(node, UNLIKELY_ARTICLE)
     if node.tag == "header":
         return not node.within
-    return not UNLIKELY.isdisjoint(node.names)
+    return _named(node, UNLIKELY)
 
 
 def _ordered(root: Element) -> list[Element]:
@@ -234,6 +248,7 @@ def _measured(order: list[Element]) -> None:
         node.length = sum(len(" ".join(x.split())) for x in own) + sum(x.length for x in inner)
         node.linked = node.length if node.tag == "a" else sum(x.linked for x in inner)
         node.commas = sum(x.count(",") for x in own) + sum(x.commas for x in inner)
+        node.paragraphs = any(x.paragraphs or x.tag == "p" and x.length for x in inner)
     for node in order:
         own = [x for x in node.parts if isinstance(x, str)]
         loose = node.tag in ("div", "section", "article", "main", "body", "center") and any(not x.isspace() for x in own)
@@ -277,7 +292,7 @@ def _blocks(nodes: list[Element]) -> list[str]:
             flush()
         elif isinstance(part, str):
             held.append(part)
-        elif part.tag in ("ul", "ol", "dl", "table", "div", "section") and _density(part) > MOST_LINKS:
+        elif part.tag in ("ul", "ol", "dl", "table", "div", "section") and not part.within and _density(part) > MOST_LINKS:
             flush()
         elif part.tag in BLOCKS:
             stack += [None, *reversed(part.parts), None]
@@ -314,8 +329,8 @@ def main_text(page: str | None) -> str:
 
 
 def _stray(node: Element) -> bool:
-    """A paragraph of some length beside the container."""
-    return node.tag == "p" and node.length > 80 and _density(node) < 0.25
+    """A paragraph, or a box with paragraphs, beside the container; short ones too, if they hardly link."""
+    return node.length > 0 and _density(node) < 0.25 and (node.tag == "p" or node.paragraphs)
 
 
 def extracted(pages: DataFrame, html_column: str = "html", text: str = "text") -> DataFrame:
