@@ -15,9 +15,12 @@ document are merged. A suffix carries just the words that can decide that (``lea
 either side): a longer match is found again at each of its later minimisers.
 
 Both sorts are range partitions, so a passage that a third of all documents share is
-spread over many tasks; what faces each other across a border of two partitions is
-compared in a small step of its own. Equal texts are one document here (their copies are
-reduced before the shuffle) and get one span over all their words.
+spread over many tasks. A text that says a passage many times keeps one suffix for all places
+with the same words around; the spans found are moved to the other places afterwards.
+Suffixes of one text and one run that stand together are held until the next other text is
+seen, over blocks and over partitions: what faces each other across a border of partitions is
+compared in a step of its own, one group a border. Equal texts are one document here
+(their copies are reduced before the shuffle) and get one span over all their words.
 
 Words are compared by 32 bits of their hash. Matches whose best partner to the right is
 not the best to the left are found through either order; where three or more versions of
@@ -38,6 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,12 +136,15 @@ def _sides(texts: DataFrame, least: int, gram: int) -> DataFrame:
             for start in range(0, len(batch), DOCS_AT_ONCE):
                 rows = []
                 for key, content, places in batch[["text_hash", "text", "places"]].iloc[start : start + DOCS_AT_ONCE].itertuples(index=False):
-                    words, pos = hashed(content), np.asarray(places)
+                    words, pos = hashed(content), np.sort(np.asarray(places))
                     made = grams(words, gram)[pos].view(np.int64)
-                    rows += zip(made, side(words, pos + gram, 1), side(words, pos - 1, -1), [key] * len(pos), pos, strict=True)
-                yield pd.DataFrame(rows, columns=["gram", "right", "left", "text_hash", "pos"])
+                    alike: dict[tuple, list[int]] = {}
+                    for around, at in zip(zip(made.tolist(), side(words, pos + gram, 1), side(words, pos - 1, -1), strict=True), pos.tolist(), strict=True):
+                        alike.setdefault(around, []).append(at)
+                    rows += [(*around, key, at[0], at[1:]) for around, at in alike.items()]
+                yield pd.DataFrame(rows, columns=["gram", "right", "left", "text_hash", "pos", "more"])
 
-    return texts.mapInPandas(each, "gram bigint, right binary, left binary, text_hash bigint, pos int")
+    return texts.mapInPandas(each, "gram bigint, right binary, left binary, text_hash bigint, pos int, more array<int>")
 
 
 def _shared(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -174,52 +181,73 @@ def matched(rows: pd.DataFrame, least: int, gram: int, neighbours: int) -> pd.Da
             back = _shared([left[i] for i in a], [left[i] for i in b])
             long = ahead + back + gram >= least
             for x in (a, b):
-                out.append(np.column_stack([own[x], pos[x] - back, pos[x] + gram + ahead])[long])
+                out.append(np.column_stack([own[x], pos[x], pos[x] - back, pos[x] + gram + ahead])[long])
             there = there + step
-    spans = np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
-    return pd.DataFrame(np.unique(spans, axis=0), columns=["text_hash", "start", "end"])
+    spans = np.concatenate(out) if out else np.zeros((0, 4), dtype=np.int64)
+    return pd.DataFrame(np.unique(spans, axis=0), columns=["text_hash", "pos", "start", "end"])
+
+
+def _run(rows: pd.DataFrame, step: int) -> int:
+    """How many rows at the start (step 1) or at the end (-1) have one text and one run of words."""
+    own, run = rows["text_hash"].to_numpy()[::step], rows["gram"].to_numpy()[::step]
+    differ = np.flatnonzero((own != own[0]) | (run != run[0]))
+    return int(differ[0]) if len(differ) else len(rows)
 
 
 def _compared(ordered: DataFrame, columns: list[str], least: int, gram: int, neighbours: int) -> DataFrame:
-    """Spans found between neighbours of a range-partitioned, sorted frame.
+    """(text_hash, pos, start, end) found between neighbours of a range-partitioned, sorted frame.
 
-    Rows stream by in blocks; a block begins with the last rows of the one before. The
-    first and last rows of each partition are passed on and compared once more together,
-    where the end of one partition stands next to the start of the following.
+    Rows stream by in blocks. A block begins with the open run of the one before, that is with
+    all rows of the last text and run of words, and with the rows that stand before it. What a
+    partition begins and ends with is passed on in the same way. A partition that is one run
+    lies open to both sides, so that borders are grouped by the partitions that are not.
     """
     reach = 2 * neighbours + 2
+    names = ["gram", "right", "left", "text_hash", "pos", "start", "end", "task", "edge"]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail, first = None, True
+        task = TaskContext.get().partitionId()
+        head: pd.DataFrame | None = None
+        tail: pd.DataFrame | None = None
+        opening = True
         for batch in batches:
             if not len(batch):
                 continue
-            if first:
-                yield batch.iloc[:reach].assign(start=None, end=None)
-                first = False
             rows = pd.concat([tail, batch], ignore_index=True) if tail is not None else batch
-            yield matched(rows, least, gram, neighbours).assign(gram=None, right=None, left=None, pos=None)
-            tail = rows.iloc[-reach:]
-        if tail is not None:
-            yield tail.assign(start=None, end=None)
-
-    schema = "gram bigint, right binary, left binary, text_hash bigint, pos int, start bigint, end bigint"
-    names = ["gram", "right", "left", "text_hash", "pos", "start", "end"]
+            if opening:
+                # The first run, and the rows behind it, face what the partition before ends with.
+                head = batch if head is None else pd.concat([head, batch], ignore_index=True)
+                first = _run(head, 1)
+                opening = first == len(head)
+                if not opening:
+                    yield head.iloc[: first + reach].assign(start=None, end=None, task=task, edge=0)
+                    head = None
+            yield matched(rows, least, gram, neighbours).assign(gram=None, right=None, left=None, task=task, edge=None)
+            tail = rows.iloc[-(_run(rows, -1) + reach) :]
+        if head is not None:
+            yield head.assign(start=None, end=None, task=task, edge=2)
+        elif tail is not None:
+            yield tail.assign(start=None, end=None, task=task, edge=1)
 
     def ints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for made in each(batches):
-            yield made[names].astype({"gram": "Int64", "pos": "Int32", "start": "Int64", "end": "Int64"})
+            yield made[names].astype({"gram": "Int64", "pos": "Int32", "start": "Int64", "end": "Int64", "edge": "Int32"})
 
-    def borders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        if parts:
-            yield matched(pd.concat(parts, ignore_index=True), least, gram, neighbours)
+    def border(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["task", *columns], ignore_index=True)
+        return matched(rows, least, gram, neighbours)
 
+    schema = "gram bigint, right binary, left binary, text_hash bigint, pos int, start bigint, end bigint, task int, edge int"
     made = cut_lineage(ordered.mapInPandas(ints, schema))
-    inside = made.where("start is not null").select("text_hash", "start", "end")
-    edges = made.where("start is null").select("gram", "right", "left", "text_hash", "pos").distinct()
-    edges = edges.repartition(1).sortWithinPartitions(*columns)
-    return inside.union(edges.mapInPandas(borders, "text_hash bigint, start bigint, end bigint"))
+    found = "text_hash", F.col("pos").cast("bigint").alias("pos"), "start", "end"
+    inside = made.where("edge is null").select(*found)
+    edges = made.where("edge is not null").select("gram", "right", "left", "text_hash", "pos", "task", "edge")
+    # One row a partition: how many with both ends have come so far.
+    counted = edges.groupBy("task").agg(F.max((F.col("edge") < 2).cast("int")).alias("ends"))
+    counted = counted.select("task", F.sum("ends").over(Window.orderBy("task")).alias("so_far"))
+    edges = edges.join(counted, "task").withColumn("border", F.col("so_far") - (F.col("edge") == 0).cast("int"))
+    across = edges.groupBy("border").applyInPandas(border, "text_hash bigint, pos bigint, start bigint, end bigint")
+    return inside.union(across)
 
 
 def repeated(
@@ -245,9 +273,14 @@ def repeated(
     spans = None
     for order in (["gram", "right", "left"], ["gram", "left", "right"]):
         columns = [*order, "text_hash", "pos"]
-        ranged = sides.repartitionByRange(*columns).sortWithinPartitions(*columns)
+        ranged = sides.drop("more").repartitionByRange(*columns).sortWithinPartitions(*columns)
         found = _compared(ranged, columns, least, gram, neighbours)
         spans = found if spans is None else spans.union(found)
+    # The same words around another place of the text repeat there too.
+    moved = spans.distinct().join(sides.where(F.size("more") > 0).select("text_hash", "pos", "more"), ["text_hash", "pos"])
+    moved = moved.select("text_hash", F.col("start") - F.col("pos"), F.col("end") - F.col("pos"), F.explode("more").alias("at"))
+    moved = moved.toDF("text_hash", "before", "after", "at").select("text_hash", (F.col("at") + F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end"))
+    spans = spans.select("text_hash", "start", "end").union(moved)
     # One text's spans number at most its words; they are merged along its positions.
     along = Window.partitionBy("text_hash").orderBy("start", "end")
     reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))

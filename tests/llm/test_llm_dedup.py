@@ -339,3 +339,19 @@ def test_repeated_passages_of_edited_copies(spark):
     got = {(r.doc_id, q) for r in suffixes.repeated(frame(spark, rows)).collect() for q in range(r.start, r.end)}
     want = covered(rows, 50)
     assert got <= want and len(got) >= 0.99 * len(want)
+
+
+@pytest.mark.parametrize("filler", [0, 3])
+def test_passages_said_very_often_in_one_text(spark, filler):
+    """Whatever the size of blocks and partitions, all places of a passage count, also those in between."""
+    rng = np.random.default_rng(filler)
+    passage = [f"p{x}" for x in range(60)]
+    long = sum(([*passage, *(f"f{x}" for x in rng.integers(0, 10**6, filler))] for _ in range(600)), [])
+    rows = [(1, " ".join(long)), (2, " ".join([*(f"a{x}" for x in range(30)), *passage, *(f"z{x}" for x in range(30))])), (3, "other " * 10)]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+        got = {(r.doc_id, q) for r in suffixes.repeated(frame(spark, rows)).collect() for q in range(r.start, r.end)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == covered(rows, 50)

@@ -280,3 +280,54 @@ def test_chat_rows(spark):
         assert (got[own].loss_chars, got[own].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert got[own].formatted_chars == len(chat.turn_template(turns))
     assert chat.digests(chat.formatted(frame.limit(0))).count() == 0
+
+
+def test_main_text_of_deep_pages():
+    for tag in ("div", "blockquote", "div class='ad'", "section", "figcaption"):
+        assert main_text.main_text(f"<{tag}>" * 50_000 + "some text, here") == ("" if "ad" in tag else "some text, here")
+
+
+def test_main_text_keeps_the_article_whole():
+    page = """<article><p>A long first paragraph, with commas, and words enough to be the article of this page.</p>
+    <ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul><div><a href=3>A linked sentence.</a></div>
+    <p class="popular-quote">So it is.</p><div class="notice-period">Three months.</div><div class="cookie-bar">We use cookies.</div></article>"""
+    assert main_text.main_text(page).split("\n")[1:] == ["First source", "Second source", "A linked sentence.", "So it is.", "Three months."]
+    split = "<div><div><p>" + "Many words, and commas, in the long part of the text. " * 9 + "</p></div><div><p>Short end.</p></div><div><a href=1>More</a></div></div>"
+    assert main_text.main_text(split).split("\n")[1:] == ["Short end."]
+
+
+def test_main_text_points_equal_naive_sums():
+    """Lengths, links and points of random trees, each summed anew from its definition."""
+    draw = random.Random(7)
+    tags = ["div", "p", "a", "b", "li", "td", "section", "blockquote", "span"]
+
+    def markup(depth):
+        if depth == 0 or draw.random() < 0.3:
+            return draw.choice(["one, two", "three", " ", "four, five, six"])
+        tag = draw.choice(tags)
+        return f"<{tag}>" + "".join(markup(depth - 1) for _ in range(draw.randint(0, 4))) + f"</{tag}>"
+
+    for _ in range(200):
+        order = main_text._pruned(main_text.parsed("".join(markup(6) for _ in range(3))))
+        main_text._measured(order)
+        inside = lambda n: [y for x in n.parts if not isinstance(x, str) for y in [x, *inside(x)]]
+        strings = lambda n: [x for m in [n, *inside(n)] for x in m.parts if isinstance(x, str)]
+        size = lambda n: sum(len(" ".join(x.split())) for x in strings(n))
+        points = dict.fromkeys(map(id, order), 0.0)
+        for node in order:
+            anchors = [x for x in [node, *inside(node)] if x.tag == "a"]
+            linked = sum(size(x) for x in anchors if not any(x in inside(y) for y in anchors))
+            assert (node.length, node.linked) == (size(node), linked)
+            own = [x for x in node.parts if isinstance(x, str)]
+            loose = node.tag in ("div", "section") and any(x.strip() for x in own)
+            boxed = node.tag in ("td", "li", "blockquote") and any(not isinstance(x, str) and x.tag in main_text.BLOCKS for x in node.parts)
+            if not size(node) or boxed or not (loose or node.tag in main_text.PARAGRAPHS):
+                continue
+            text = "".join(own) if loose else "".join(strings(node))
+            earned = (1 + text.count(",") + (len(text) if loose else size(node)) / 100) * (1 - linked / size(node))
+            above = node if loose else node.parent
+            for weight in [1, 1 / 2, *(1 / (3 * k) for k in range(2, main_text.REACH))]:
+                if above is not None:
+                    points[id(above)] += earned * weight
+                    above = above.parent
+        assert [n.points for n in order] == pytest.approx([points[id(n)] for n in order])
