@@ -504,9 +504,7 @@ def metadata_plan(spark, d):
     return triage.metadata_labels(pages, "title", "name", RULES).select("page_id", "label")
 
 
-@query("d7_manifest_merge", f"""WITH {CLASSIFIED}, y AS (SELECT l.*, q.quality AS q, q.toxic AS tx FROM l LEFT JOIN labels q USING (doc_id))
-SELECT doc_id, CASE WHEN q IS NULL THEN 'needs_content_or_not' WHEN q = 0 AND tx = 0 AND lang = 'en' THEN 'old' WHEN tx = 1 THEN 'download_failed' ELSE 'read' END AS state FROM y""")
-def manifest_merge(spark, d):
+def merged_documents(spark, d):
     """Labelled documents are listed; toxic ones failed to load and low-quality English ones are gone but known."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("url"), "text", "lang", F.lit("").alias("title"), F.lit("file").alias("name"))
     marks = table(spark, d, "labels").withColumnRenamed("doc_id", "url")
@@ -515,7 +513,52 @@ def manifest_merge(spark, d):
     manifest = listed.select("url", F.when(F.col("toxic") == 1, "error").otherwise("ok").alias("status"), F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("sha256"), F.lit(None).cast("string").alias("error"))
     previous = listed.where(gone).select("url", F.lit("other").alias("label"), F.lit("medium").alias("confidence"), F.lit("").alias("evidence"), F.lit("content").alias("method"))
     texts = listed.where(~gone & (F.col("toxic") == 0)).select("url", "text")
-    out = triage.merged(docs.select("url", "title", "name"), manifest, texts, previous, "url", "title", "name", RULES)
+    return triage.merged(docs.select("url", "title", "name"), manifest, texts, previous, "url", "title", "name", RULES)
+
+
+PAGE_META = """p AS (SELECT page_id, html, CASE WHEN url LIKE '%?%' THEN '' ELSE regexp_extract(html, '<title>([^<]*)', 1) END AS title, regexp_extract(url, '([^/]*)$', 1) AS name FROM pages),
+b AS (SELECT page_id, html, title, name, trim(regexp_replace(title, '[ \\t\\n\\f\\r]+', ' ', 'g')) AS t, trim(regexp_replace(name, '[ \\t\\n\\f\\r]+', ' ', 'g')) AS nm FROM p)"""
+META_LABEL = """CASE WHEN ctx OR rep OR rg > 0 OR len(bins) > 0 OR len(qs) > 0 OR len(vs) > 0 OR len(st) > 0 THEN 'needs_content' WHEN adm THEN 'admissions_notice' WHEN trn THEN 'training_or_event'
+WHEN t = '' AND len(regexp_extract_all(regexp_replace(nm, '(.)\\.[^.]*$', '\\1'), '[a-z]')) < 3 THEN 'needs_content' ELSE 'other' END"""
+
+
+def page_meta(spark, d):
+    return table(spark, d, "pages").select("page_id", F.when(F.contains("url", F.lit("?")), "").otherwise(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("title"),
+                                           F.regexp_extract("url", "([^/]*)$", 1).alias("name"))
+
+
+@query("d6_metadata_rows", f"""WITH {PAGE_META}, s AS (SELECT *, {_signals("(t || ' ' || nm)")} FROM b), m AS (SELECT *, {META_LABEL} AS label FROM s)
+SELECT page_id, label, CASE label WHEN 'needs_content' THEN '' WHEN 'other' THEN 'medium' ELSE 'high' END AS confidence, {EVIDENCE.format('')} AS evidence FROM m""")
+def metadata_rows(spark, d):
+    return triage.metadata_labels(page_meta(spark, d), "title", "name", RULES).select("page_id", "label", "confidence", "evidence")
+
+
+@query("d6_content_of_open_rows", f"""WITH {PAGE_META}, s AS (SELECT *, {_signals("(t || ' ' || nm)")} FROM b), m AS (SELECT *, {META_LABEL} AS ml, {EVIDENCE.format('')} AS me FROM s),
+o AS (SELECT page_id, trim(regexp_replace(html, '[ \t\n\f\r]+', ' ', 'g')) AS body, trim(regexp_replace(title || ' ' || name, '[ \t\n\f\r]+', ' ', 'g')) AS head FROM m WHERE ml = 'needs_content'),
+s2 AS (SELECT *, {_signals("(head || ' ' || body)")} FROM o), k AS (SELECT *, length(body) < 40 AS thin, len(bins) >= 2 OR len(qs) >= 2 OR len(vs) >= 2 AS strc FROM s2), l AS (SELECT *, {DECIDE} AS label FROM k)
+SELECT page_id, ml AS label, CASE ml WHEN 'other' THEN 'medium' ELSE 'high' END AS confidence, me AS evidence, 'metadata' AS method, 0 AS text_chars FROM m WHERE ml <> 'needs_content'
+UNION ALL SELECT page_id, label, {CONFIDENCE}, {EXAM}, 'content', CAST(length(body) AS INTEGER) FROM l""")
+def content_of_open_rows(spark, d):
+    """Titles and names of all pages; the page itself only where they leave it open."""
+    texts = table(spark, d, "pages").select("page_id", F.col("html").alias("text"))
+    return triage.routed(page_meta(spark, d), texts, "page_id", "title", "name", RULES).drop("title", "name")
+
+
+@query("d7_manifest_rows", f"""WITH {CLASSIFIED}, y AS (SELECT l.*, d.text, q.quality AS q, q.toxic AS tx FROM l JOIN documents d USING (doc_id) LEFT JOIN labels q USING (doc_id)),
+z AS (SELECT *, CASE WHEN q IS NULL THEN 'new' WHEN q = 0 AND tx = 0 AND lang = 'en' THEN 'gone' WHEN tx = 1 THEN 'failed' ELSE 'read' END AS kind FROM y)
+SELECT doc_id, CASE kind WHEN 'read' THEN label WHEN 'failed' THEN 'download_failed' ELSE 'other' END AS label,
+  CASE kind WHEN 'read' THEN {CONFIDENCE} WHEN 'failed' THEN 'high' ELSE 'medium' END AS confidence, CASE kind WHEN 'new' THEN 'metadata' ELSE 'content' END AS method,
+  CASE kind WHEN 'read' THEN {EXAM} ELSE '' END AS evidence, CASE kind WHEN 'new' THEN 'not_needed' WHEN 'gone' THEN 'pruned' WHEN 'failed' THEN 'error' ELSE 'ok' END AS download_status,
+  CASE kind WHEN 'new' THEN 0 ELSE octet_length(encode(text)) END::BIGINT AS bytes, CASE kind WHEN 'new' THEN '' ELSE sha256(text) END AS sha256 FROM z""")
+def manifest_rows(spark, d):
+    """Every column of the merge."""
+    return merged_documents(spark, d).select(F.col("url").alias("doc_id"), "label", "confidence", "method", "evidence", "download_status", "bytes", "sha256")
+
+
+@query("d7_manifest_merge", f"""WITH {CLASSIFIED}, y AS (SELECT l.*, q.quality AS q, q.toxic AS tx FROM l LEFT JOIN labels q USING (doc_id))
+SELECT doc_id, CASE WHEN q IS NULL THEN 'needs_content_or_not' WHEN q = 0 AND tx = 0 AND lang = 'en' THEN 'old' WHEN tx = 1 THEN 'download_failed' ELSE 'read' END AS state FROM y""")
+def manifest_merge(spark, d):
+    out = merged_documents(spark, d)
     state = (F.when(F.col("download_status") == "not_needed", "needs_content_or_not").when(F.col("download_status") == "pruned", "old")
              .when(F.col("label") == "download_failed", "download_failed").otherwise("read"))
     return out.select(F.col("url").alias("doc_id"), state.alias("state"))

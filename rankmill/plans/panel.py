@@ -215,47 +215,30 @@ def fallback_means(cells: DataFrame) -> DataFrame:
 def fill_fallbacks(cells: DataFrame) -> DataFrame:
     """Fill cells with no own history from the narrowest level that has a mean.
 
-    Means are taken before any fallback fill. A missing cell looks its levels up
-    in one join on (level, keys); the widest three levels are a table no larger
-    than years x routes and are joined apart, so no key gathers all rows.
+    Means are taken before any fallback fill. Levels are gone through from the narrowest: each
+    open cell meets one level at a time, what finds a mean leaves and only the rest goes on,
+    until none is open. Of an entity there are at most years x routes cells; the means of
+    wider levels are fewer and are measured lookups, so that no key of theirs gathers rows.
     """
     means = cut_lineage(fallback_means(cells))
-    axes = ["grp", "sub", "route", "year"]
-    missing = cells.where(F.col("ability").isNull())
-
-    def probe(place: int) -> Column:
-        keys = FALLBACK_LEVELS[place][1]
-        return F.struct(F.lit(place).alias("level"), *[
-            (F.col(a) if a in keys else F.lit(None).cast(cells.schema[a].dataType)).alias("m_" + a) for a in axes
-        ])
-
-    narrow = range(0, 6)
-    tried = missing.select(*CELL, F.explode(F.array(*[probe(i) for i in narrow])).alias("p")).select(*CELL, "p.*")
-    near = means.where("level < 6").select("level", "mean", *[F.col(a).alias("k_" + a) for a in axes])
-    match = tried["level"] == near["level"]
-    for a in axes:
-        match = match & tried["m_" + a].eqNullSafe(near["k_" + a])
-    found = tried.join(near, match).groupBy(*CELL).agg(
-        F.min(F.struct(tried["level"].alias("level"), F.col("mean"))).alias("_near")
-    )
-    wide = means.where("level >= 6").agg(F.struct(  # at most years x routes entries
-        F.map_from_entries(F.collect_list(F.when(F.col("level") == 6, F.struct(
-            F.concat_ws("|", "route", F.col("year").cast("string")), "mean")))).alias("route_year"),
-        F.map_from_entries(F.collect_list(F.when(F.col("level") == 7, F.struct("year", "mean")))).alias("year"),
-        F.max(F.when(F.col("level") == 8, F.col("mean"))).alias("national"),
-    ))
-    key = F.concat_ws("|", "route", F.col("year").cast("string"))
-    filled = missing.join(found, CELL, "left").withColumn("_wide", wide.scalar())
-    by_route, by_year = F.col("_wide")["route_year"][key], F.col("_wide")["year"][F.col("year")]
-    names = F.array(*[F.lit(name) for name, _ in FALLBACK_LEVELS])
-    value = F.coalesce(F.col("_near")["mean"], by_route, by_year, F.col("_wide")["national"])
-    place = F.coalesce(
-        F.col("_near")["level"], F.when(by_route.isNotNull(), 6), F.when(by_year.isNotNull(), 7), F.lit(8)
-    )
-    filled = filled.withColumn("ability", value).withColumn(
-        "ability_method", F.when(value.isNotNull(), F.element_at(names, place + 1)).otherwise(F.col("ability_method"))
-    )
-    return cells.where(F.col("ability").isNotNull()).unionByName(filled.select(*cells.columns))
+    known = cells.where(F.col("ability").isNotNull())
+    open_ = cells.where(F.col("ability").isNull())
+    out = known
+    for place, (name, keys) in enumerate(FALLBACK_LEVELS):
+        level = means.where(F.col("level") == place).select(*keys, F.col("mean").alias("_mean"))
+        if not keys:
+            met = open_.withColumn("_mean", level.agg(F.max("_mean")).scalar())
+        elif set(ENTITY) <= set(keys):
+            met = open_.join(level, list(keys), "left")
+        else:
+            met = looked_up(open_, level, keys, "left")
+        met = cut_lineage(met.select(*cells.columns, "_mean"))
+        filled = met.where("_mean is not null").withColumn("ability", F.col("_mean")).withColumn("ability_method", F.lit(name))
+        out = out.unionByName(filled.select(*cells.columns))
+        open_ = met.where("_mean is null").select(*cells.columns)
+        if open_.isEmpty():
+            return out
+    return out.unionByName(open_)
 
 
 def calibrate(cells: DataFrame, totals: DataFrame, rules: PanelRules) -> DataFrame:

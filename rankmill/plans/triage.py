@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import web
 from ..functions.names import folded, folded_space
+from ..operators.lookup import looked_up
+from ..session import cut_lineage
 
 # The patterns and terms of the default rules, and the labels kept.
 DEFAULT_BINS = {
@@ -167,6 +169,28 @@ def content_plan(df: DataFrame, title: str, name: str, rules: TriageRules | None
     return metadata_labels(df, title, name, rules).where("label = 'needs_content'")
 
 
+def content_of(texts: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The texts of the wanted keys. The keys are written and measured; a small plan filters the scan of texts in place."""
+    return looked_up(texts, wanted.select(key).distinct(), [key], "left_semi")
+
+
+def routed(candidates: DataFrame, texts: DataFrame, url: str, title: str, name: str, rules: TriageRules | None = None) -> DataFrame:
+    """Label by title and name where they settle it, and by content only where they do not.
+
+    Metadata is scanned for all rows. Content is read, and its patterns run, for the rows of
+    the plan alone; a row of the plan without content is classified as unreadable.
+    """
+    rules = rules or TriageRules()
+    plan = cut_lineage(metadata_labels(candidates, title, name, rules))
+    settled = plan.where("label <> 'needs_content'").withColumn("method", F.lit("metadata")).withColumn("text_chars", F.lit(0))
+    open_ = plan.where("label = 'needs_content'").select(*candidates.columns)
+    rows = open_.join(content_of(texts.select(url, F.col("text").alias("_text")), open_, url), url, "left")
+    rows = rows.withColumn("_meta", F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(name, F.lit(""))))
+    read = classify(rows, "_text", "_meta", None, rules).withColumn("method", F.lit("content"))
+    columns = [*candidates.columns, "label", "confidence", "evidence", "method", "text_chars"]
+    return settled.select(*columns).unionByName(read.select(*columns))
+
+
 def merged(candidates: DataFrame, manifest: DataFrame, texts: DataFrame, previous: DataFrame, url: str, title: str,
            name: str, rules: TriageRules | None = None) -> DataFrame:
     """Fresh, failed, missing and pruned documents under one set of labels.
@@ -178,6 +202,8 @@ def merged(candidates: DataFrame, manifest: DataFrame, texts: DataFrame, previou
     rules = rules or TriageRules()
     meta = metadata_labels(candidates, title, name, rules).select(
         *candidates.columns, F.col("label").alias("_ml"), F.col("confidence").alias("_mc"), F.col("evidence").alias("_me"))
+    readable_urls = manifest.where(F.col("status").isin(list(READABLE)))
+    texts = content_of(texts, readable_urls, url)
     rows = meta.join(manifest, url, "left").join(texts.withColumn("_here", F.lit(True)), url, "left").join(
         previous.select(url, F.struct("label", "confidence", "evidence", "method").alias("_old")), url, "left")
     readable = F.col("status").isin(list(READABLE))
@@ -222,16 +248,24 @@ def links(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     return rows.select(key, "place", label.alias("link_label"), web.absolute(F.col("_p.h"), F.col(url)).alias("link_url"))
 
 
-def candidates(found: DataFrame, url: str, order: Column, attributes: Sequence[str], keyword: str) -> DataFrame:
+def candidates(found: DataFrame, url: str, order: Column, attributes: Sequence[str], keyword: str,
+               most_keywords: int = 10_000) -> DataFrame:
     """One row per URL without fragment: first-seen attributes and the sorted keywords.
 
-    Keywords are a search vocabulary; (url, keyword) pairs are reduced map-side.
+    Pairs of URL and keyword are made distinct and numbered first, so that a URL under more
+    than ``most_keywords`` different ones is an error before any list is made of them.
     """
     first = F.min(F.struct(order.alias("o"), *attributes)).alias("_first")
-    words = F.array_join(F.array_sort(F.collect_set(keyword)), ",").alias("keywords")
     rows = found.withColumn("document_url", web.without_fragment(F.col(url)))
-    return rows.groupBy("document_url").agg(first, words).select(
-        "document_url", *[F.col("_first")[a].alias(a) for a in attributes], "keywords")
+    heads = rows.groupBy("document_url").agg(first)
+    words = rows.where(F.col(keyword).isNotNull()).select("document_url", F.col(keyword).alias("_word")).distinct()
+    words = words.withColumn("_n", F.row_number().over(Window.partitionBy("document_url").orderBy("_word")))
+    word = F.when(F.col("_n") > most_keywords, F.raise_error(F.concat(
+        F.lit(f"more than {most_keywords} keywords for "), F.col("document_url")))).otherwise(F.col("_word"))
+    lists = words.select("document_url", word.cast("string").alias("_word")).groupBy("document_url").agg(
+        F.array_join(F.array_sort(F.collect_list("_word")), ",").alias("keywords"))
+    return heads.join(lists, "document_url", "left").select(
+        "document_url", *[F.col("_first")[a].alias(a) for a in attributes], F.coalesce("keywords", F.lit("")).alias("keywords"))
 
 
 def sitemap_urls(sitemaps: DataFrame, key: str, text: str, terms: Sequence[str]) -> DataFrame:
