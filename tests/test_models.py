@@ -182,5 +182,5 @@ def test_noise_summary_reads_rank_bars_and_gates(spark, sf_dir):
     assert rows["shift"].notna().all() and (rows["bucket"] == "R").any()
     spans = rows.groupby("grp").agg(n=("shift", "size"), w=("weight", "sum"), e=("exact", np.ptp), o=("noisy", np.ptp))
     spans = spans[spans["n"] > 1]
-    want = [rows["shift"].mean(), rows["shift"].max(), *(100 * (spans[c] * spans["w"]).sum() / spans["w"].sum() for c in "eo")]
+    want = [rows["shift"].mean(), rows["shift"].max(), *(100 * spans[c].mean() for c in "eo")]  # each group counts alike
     assert list(got) == pytest.approx(want, abs=1e-3)
