@@ -33,6 +33,8 @@ def inputs(spark, d):
     ).join(customers, "sub")
     rows = rows.withColumn("score", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") / 977))
     rows = rows.withColumn("label", F.concat("c_mktsegment", F.lit("-"), "route")).withColumn("source", F.col("o_orderstatus"))
+    # All inputs of the panel come from this one reading of orders.
+    rows = cut_lineage(rows.drop("c_mktsegment", "o_totalprice"))
     past, last = rows.where("year < 2001"), rows.where("year = 2001")
     quotas = last.groupBy("grp", "sub", "year").pivot("route", list(RULES.quota_routes)).agg(F.sum("weight"))
     capacities = last.where("route IN ('5-LOW', '4-NOT SPECIFIED')")
@@ -41,8 +43,8 @@ def inputs(spark, d):
     return past.where("o_orderstatus = 'F'"), past, quotas, capacities, totals, rows
 
 
-def built(spark, d, stage):
-    scored, seats, quotas, capacities, totals, _ = inputs(spark, d)
+def built(spark, d, stage, given=None):
+    scored, seats, quotas, capacities, totals, _ = given or inputs(spark, d)
     return panel.build(scored, seats, quotas, capacities, totals, RULES, stage)
 
 
@@ -192,7 +194,8 @@ ny AS (SELECT DISTINCT ON (c.grp, c.sub, c.year) c.grp, c.sub, c.year, names FRO
 SELECT year, grp, sub, names AS year_name, label, route, round(weight, 2) AS weight, round(ability, 3) AS ability, weight_method,
   round(weight_scale, 6) AS weight_scale, ability_method, input_rows FROM c8 JOIN ny USING (grp, sub, year) JOIN lb USING (grp, sub)""")
 def panel_rows(spark, d):
-    return panel.output_rows(built(spark, d, "all"), inputs(spark, d)[5])
+    given = inputs(spark, d)
+    return panel.output_rows(built(spark, d, "all", given), given[5])
 
 
 @query("n10_entity_ranking", f"""WITH {CALIBRATED},
@@ -203,11 +206,12 @@ dr AS (SELECT grp, round(avg(score) FILTER (route = '1-URGENT'), 4) AS urgent, r
 SELECT row_number() OVER (ORDER BY score DESC, grp) AS rank, a.*, urgent, low,
   round(CASE WHEN urgent IS NOT NULL AND low IS NOT NULL THEN abs(urgent - low) END, 4) AS spread FROM a LEFT JOIN dr USING (grp)""")
 def entity_ranking(spark, d):
-    scored = inputs(spark, d)[0].where("route IN ('1-URGENT', '5-LOW')")
+    given = inputs(spark, d)
+    scored = given[0].where("route IN ('1-URGENT', '5-LOW')")
     direct = rollup.readings(scored, ["grp"], "route", ["1-URGENT", "5-LOW"], "score", "weight")
     direct = direct.select("grp", F.round("1-URGENT", 4).alias("urgent"), F.round("5-LOW", 4).alias("low"))
     direct = direct.withColumn("spread", F.round(rollup.spread(F.col("urgent"), F.col("low")), 4))
-    out = panel.rank_entities(built(spark, d, "all"), direct, ["grp"])
+    out = panel.rank_entities(built(spark, d, "all", given), direct, ["grp"])
     return out.select("rank", "grp", "score", "years", "last_year", F.round("weight_avg", 1).alias("weight_avg"), "urgent", "low", "spread")
 
 

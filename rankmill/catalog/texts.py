@@ -490,7 +490,7 @@ def signals(spark, d):
 
 @query("d5_content_labels", f"WITH {CLASSIFIED} SELECT doc_id, label, {CONFIDENCE} AS confidence, {EXAM} AS evidence, length(body) AS text_chars FROM l")
 def content_labels(spark, d):
-    out = triage.classify(table(spark, d, "documents"), "text", rules=RULES)
+    out = triage.classify(tables.spread(table(spark, d, "documents").select("doc_id", "text")), "text", rules=RULES)
     return out.select("doc_id", "label", "confidence", "evidence", F.col("text_chars").cast("bigint").alias("text_chars"))
 
 

@@ -129,3 +129,13 @@ def star_export(hist: DataFrame, subject: str, value: str, weight: str, formulas
     )
     totals = subjects.groupBy(subject).agg(F.sum("n").alias("total"))
     return subjects, checked, totals
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as the session has cores.
+
+    For work that is heavy next to the bytes it reads: a file of one row group is one
+    partition, whatever the split size. Frames that have enough partitions are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
