@@ -50,8 +50,8 @@ def content(df: DataFrame, key: str) -> DataFrame:
 def write_version(df: DataFrame, path: str, key: str, rows_a_file: int = ROWS_A_FILE) -> tuple[str, DataFrame]:
     """Write the rows under a version that no reader sees yet; returns it and what to commit.
 
-    A key may be a large part of the data: it is cut into files of about ``rows_a_file`` rows
-    by a hash of the row, and a small key is one file.
+    A key may be a large part of the data: a hash of the row deals it to as many tasks as it
+    needs for files of about ``rows_a_file`` rows, and a small key is one file.
     """
     version = uuid.uuid4().hex
     sizes = content(df, key)
@@ -62,7 +62,7 @@ def write_version(df: DataFrame, path: str, key: str, rows_a_file: int = ROWS_A_
         shares.withColumnRenamed("key", "_k"), F.col("_key").eqNullSafe(F.col("_k"))).drop("_k")
     dealt = dealt.withColumn("_share", F.pmod(F.xxhash64(*df.columns), F.col("_files")))
     out = dealt.repartition("_key", "_share").drop("_files", "_share")
-    out.write.partitionBy("_key").parquet(f"{path}/data/{version}")
+    out.write.option("maxRecordsPerFile", rows_a_file).partitionBy("_key").parquet(f"{path}/data/{version}")
     return version, sizes
 
 
