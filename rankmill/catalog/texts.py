@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, names, web
 from ..operators import formula
-from ..operators.checks import required_columns
+from ..operators.checks import duplicate_keys, required_columns
 from ..plans import triage
 from ..session import scratch_path
 from ..sources import extract, layouts, tables
@@ -425,6 +425,50 @@ def split_at_head(spark, d):
     return table(spark, d, "part").select("p_partkey", head.alias("head"), tail.alias("tail"))
 
 
+@query("f18_wrapped_names", """WITH l AS (SELECT p_partkey, p_brand, CASE WHEN p_size > 25 THEN p_type || ' FOUNDATION' ELSE p_type END AS name,
+  CASE p_size % 3 WHEN 0 THEN '  ' WHEN 1 THEN 'School' || (p_partkey % 10) ELSE p_name || ' ' || p_brand END AS line FROM part),
+n AS (SELECT *, first_value(nullif(trim(line), '') IGNORE NULLS) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM l)
+SELECT p_partkey, CASE WHEN name LIKE '%FOUNDATION' AND nxt IS NOT NULL AND NOT contains(nxt, ' ') AND (nxt LIKE '%1' OR nxt LIKE '%2') THEN nxt ELSE name END AS name FROM n""")
+def wrapped_names(spark, d):
+    school = F.concat(F.lit("School"), (F.col("p_partkey") % 10).cast("string"))
+    line = F.when(F.col("p_size") % 3 == 0, "  ").when(F.col("p_size") % 3 == 1, school).otherwise(F.concat_ws(" ", "p_name", "p_brand"))
+    name = F.when(F.col("p_size") > 25, F.concat("p_type", F.lit(" FOUNDATION"))).otherwise(F.col("p_type"))
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", name.alias("name"), line.alias("line"))
+    return names.unwrapped(rows, ["p_brand"], ["p_partkey"], "name", "line", ["FOUNDATION"], ["1", "2"]).select("p_partkey", "name")
+
+
+@query("f18_part_labels", """SELECT p_partkey, CASE WHEN p_brand LIKE '%1' THEN p_type ELSE replace(p_brand, 'Brand', '') || '-' || p_type END AS label FROM part""")
+def part_labels(spark, d):
+    part = F.when(F.col("p_brand").endswith("1"), "all").otherwise(F.col("p_brand"))
+    return table(spark, d, "part").select("p_partkey", names.part_label(part, F.col("p_type"), "all", "Brand").alias("label"))
+
+
+@query("f2_without_prefix", """SELECT p_partkey, trim(regexp_replace(p_brand, '^(Brand#|Maker )', '')) AS maker FROM part""")
+def without_prefix(spark, d):
+    return table(spark, d, "part").select("p_partkey", names.without_prefix(F.col("p_brand"), ["Brand#", "Maker "]).alias("maker"))
+
+
+@query("f6_han_only", """SELECT doc_id, regexp_replace(coalesce(text, ''), '[^一-鿿]', '', 'g') AS han FROM documents""")
+def han_only(spark, d):
+    return table(spark, d, "documents").select("doc_id", names.cjk_only(F.coalesce("text", F.lit(""))).alias("han"))
+
+
+@query("f7_whole_numbers", """SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS n, NULL::BIGINT AS none FROM orders""")
+def whole_numbers(spark, d):
+    text = F.format_number("o_custkey", 0)
+    return table(spark, d, "orders").select("o_orderkey", cells.whole_number(text).alias("n"), cells.whole_number(F.concat(text, F.lit("x"))).alias("none"))
+
+
+@query("p8_duplicate_keys", """SELECT l_partkey, l_suppkey, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
+def duplicates(spark, d):
+    return duplicate_keys(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"])
+
+
+@query("s9_nearest_anchor", """SELECT s_suppkey, CASE WHEN abs(s_acctbal - 1000) <= 900 AND abs(s_acctbal - 1000) <= abs(s_acctbal - 2500) THEN 'low' WHEN abs(s_acctbal - 2500) <= 900 THEN 'high' END AS anchor FROM supplier""")
+def nearest_anchor(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", extract.nearest_anchor(F.col("s_acctbal"), {"low": 1000.0, "high": 2500.0}, 900.0).alias("anchor"))
+
+
 RULES = triage.TriageRules(
     bins={"address": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "phone": r"\+1 \(\d{3}\)", "mail": r"@mail\d", "token": "token = "},
     quantile=r"mail(\d)", value=r"\((\d{3})\)", stats=("License", "Copyright", "token", "Lorem"), number_range=r"(\d{1,3})-(\d{2,4})",

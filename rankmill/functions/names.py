@@ -127,3 +127,24 @@ def split_at_head(text: Column, heads: Sequence[str], carried_head: Column) -> t
     pattern = "^(.*?(?:" + "|".join(re.escape(h) for h in heads) + "))(.*)$"
     head, tail = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
     return F.when(head != "", head).otherwise(carried_head), F.when(head != "", F.trim(tail)).otherwise(text)
+
+
+def unwrapped(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, line: str, wrapped: Sequence[str],
+              endings: Sequence[str], **options) -> DataFrame:
+    """Repair names that were cut at a line end: a name that ends in ``wrapped`` goes on in a following line.
+
+    The line that counts is the next one with text on it; if that is a single word with one
+    of the ``endings`` it is the name, else the name stays.
+    """
+    from ..operators.ordered import carried
+
+    text = F.trim(F.coalesce(line, F.lit("")))
+    near = carried(rows.withColumn("_line", F.when(text != "", text)), keys, order, following={"_next": "_line"}, **options)
+    ends = lambda value, words: F.coalesce(value.rlike("(?:" + "|".join(re.escape(w) for w in words) + ")$"), F.lit(False))
+    goes_on = ends(F.col(name), wrapped) & ~F.coalesce(F.col("_next").rlike(r"\s"), F.lit(False)) & ends(F.col("_next"), endings)
+    return near.withColumn(name, F.when(goes_on, F.col("_next")).otherwise(F.col(name))).drop("_line", "_next")
+
+
+def part_label(part: Column, tail: Column, common: str, noise: str) -> Column:
+    """Name of a part's item: the tail alone in the common part, else the part without ``noise`` and the tail."""
+    return F.when(part == common, tail).otherwise(F.concat(F.replace(part, F.lit(noise), F.lit("")), F.lit("-"), tail))

@@ -69,7 +69,3 @@ def unescaped(text: Column) -> Column:
 def absolute(link: Column, site: Column) -> Column:
     """A link resolved against its site or page, dot segments, queries and fragments included."""
     return _joined(site, unescaped(F.trim(link)))
-
-
-def file_name(url: Column) -> Column:
-    return F.substring_index(path_of(url), "/", -1)

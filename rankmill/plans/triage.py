@@ -164,11 +164,6 @@ def metadata_labels(df: DataFrame, title: str, name: str, rules: TriageRules | N
                       evidence(False).alias("evidence"))
 
 
-def content_plan(df: DataFrame, title: str, name: str, rules: TriageRules | None = None) -> DataFrame:
-    """The rows whose content must be read; only title and name are scanned to find them."""
-    return metadata_labels(df, title, name, rules).where("label = 'needs_content'")
-
-
 def content_of(texts: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """The texts of the wanted keys. The keys are written and measured; a small plan filters the scan of texts in place."""
     return looked_up(texts, wanted.select(key).distinct(), [key], "left_semi")
