@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankmill.session import cut_lineage
+from rankmill.session import cut_lineage, release
 
 from .words import split_words, word_count
 
@@ -53,6 +53,8 @@ LEAST = 50
 GRAM = 10
 NEIGHBOURS = 2
 CACHED_WORDS = 500_000
+#: Names of texts, of 8 bytes each, that are sent to all tasks, at most; more are left to the join.
+SENT = 500_000
 DOCS_AT_ONCE = 64
 
 
@@ -247,7 +249,9 @@ def _compared(ordered: DataFrame, columns: list[str], least: int, gram: int, nei
     counted = counted.select("task", F.sum("ends").over(Window.orderBy("task")).alias("so_far"))
     edges = edges.join(counted, "task").withColumn("border", F.col("so_far") - (F.col("edge") == 0).cast("int"))
     across = edges.groupBy("border").applyInPandas(border, "text_hash bigint, pos bigint, start bigint, end bigint")
-    return inside.union(across)
+    spans = cut_lineage(inside.union(across).distinct())
+    release(made)
+    return spans
 
 
 def repeated(
@@ -267,14 +271,21 @@ def repeated(
     twice = kept.groupBy("gram").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b"))
     twice = cut_lineage(twice.where("a <> b").select("gram"))
     places = kept.join(twice, "gram", "left_semi").groupBy("text_hash").agg(F.collect_set("pos").alias("places"))
+    places = cut_lineage(places)
+    release(kept, twice)
     texts = docs.select(_text_hash(text).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # Texts that share no run need not move; their names go to all tasks where they are few.
+    if places.count() <= SENT:
+        texts = texts.join(F.broadcast(places.select("text_hash")), "text_hash", "left_semi")
     texts = texts.groupBy("text_hash").agg(F.first("text").alias("text")).join(places, "text_hash")
     sides = cut_lineage(_sides(texts, least, gram))
-    spans = None
+    release(places)
+    spans, founds = None, []
     for order in (["gram", "right", "left"], ["gram", "left", "right"]):
         columns = [*order, "text_hash", "pos"]
         ranged = sides.drop("more").repartitionByRange(*columns).sortWithinPartitions(*columns)
         found = _compared(ranged, columns, least, gram, neighbours)
+        founds.append(found)
         spans = found if spans is None else spans.union(found)
     # The same words around another place of the text repeat there too.
     moved = spans.distinct().join(sides.where(F.size("more") > 0).select("text_hash", "pos", "more"), ["text_hash", "pos"])
@@ -294,5 +305,6 @@ def repeated(
     same = same.join(merged, "text_hash", "left").where((F.col("copies") > 1) & (F.col("n") >= least) | F.col("spans").isNotNull())
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n").cast("bigint").alias("end")))
     same = cut_lineage(same.select("text_hash", "copies", F.when((F.col("copies") > 1) & (F.col("n") >= least), whole).otherwise(F.col("spans")).alias("spans")))
+    release(sides, *founds)
     each = rows.select("id", "text_hash").join(same, "text_hash").select("id", F.explode("spans").alias("s"), "copies")
     return each.select(F.col("id").alias(doc_id), "s.start", "s.end", "copies")
