@@ -21,6 +21,12 @@ HEADLINE = (
     "a4_overall_and_per_scale",
     "j7_histogram_lookup",
     "m12_candidate_scores",
+    "m4_fixed_point",
+    "m8_allocation_pieces",
+    "m21_truncated_mean",
+    "m22_marginal_level",
+    "n7_fallback_scores",
+    "j3_fuzzy_unambiguous",
     "d5_content_labels",
 )
 

@@ -31,12 +31,11 @@ SHAPES = {
 }
 
 
-@pytest.mark.parametrize("shape", SHAPES)
 @pytest.mark.parametrize("slice_rows", [37, None])
-def test_block_lists_merge_to_the_fit_of_all_rows(spark, shape, slice_rows):
+def test_block_lists_merge_to_the_fit_of_all_rows(spark, slice_rows):
     rng = np.random.default_rng(4)
     frames, want = [], {}
-    for key, n in (("a", 400), (None, 150), ("c", 3)):
+    for key, shape, n in [*((name, name, 400) for name in SHAPES), (None, "noise", 150), ("tiny", "noise", 3)]:
         y, w = SHAPES[shape](rng, n), rng.uniform(0.1, 9, n)
         frames.append(pd.DataFrame({"k": [key] * n, "x": np.arange(n) * 0.5, "y": y, "w": w}))
         want |= {(key, x): v for x, v in zip(np.arange(n) * 0.5, falling(y, w))}
