@@ -9,6 +9,7 @@ from compare import connect, differences
 import __spark_entry__ as driver
 import corpus_pipeline
 from rankmill.llm import queries, simhash
+from rankmill.session import cut_lineage
 
 NAMES = [n for n in driver.queries() if n.startswith("op")]
 
@@ -59,3 +60,34 @@ def test_pipeline_stages(spark, sf_dir):
     assert sorted(r.doc_id for r in packed if r.piece == 0) == sorted(ids[4])
     for k in kept:
         k.unpersist()
+
+
+EDGE_ROWS = [
+    (1, "A small text of its own that says nothing bad at all", "en", "web", 52), (2, None, None, None, None), (3, "", "en", "web", 0),
+    (4, " \t\n", "de", "", 3), (None, "A row without an id", "en", "web", 19), (5, "same words here and there and everywhere", "en", "web", 40),
+    (6, "SAME words here and there and everywhere", "en", None, 40), (7, "same words here and there and everywhere", "fr", "web", 40),
+    (7, "same words here and there and everywhere", "fr", "web", 40), (8, "long " * 60_000, "en", "book", 300_000),
+    (9, " ".join(f"w{i % 977}" for i in range(40_000)), "en", "book", 1), (10, "🙂 é İ ß \u0000 end", "xx", "web", 9),
+]
+
+
+@pytest.mark.parametrize("rows", [EDGE_ROWS, []])
+def test_pipeline_stages_take_nulls_empty_tables_and_repeated_rows(spark, sf_dir, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    columns = docs.columns
+    seen = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+        assert docs.columns == columns, name
+        seen.append(docs.collect())
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    if not rows:
+        assert all(s == [] for s in seen) and packed == []
+        return
+    toxic, exact_, near, mixed = seen
+    assert len(toxic) == len(rows)  # none of these is toxic, however long
+    texts = {(t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for _, t, *_ in rows}
+    assert sorted((r.text or "").lower() for r in exact_) == sorted(t.lower() for t in texts)
+    assert {7, 8, 9, 10, None} <= {r.doc_id for r in exact_} and {8, 9, 10, None} <= {r.doc_id for r in near}
+    assert {r.doc_id for r in mixed} <= {r.doc_id for r in near}
+    assert sum(r.piece == 0 for r in packed) == len(mixed)
