@@ -119,20 +119,31 @@ def carried(
     slice_rows: int | None = None,
 ) -> DataFrame:
     """Nearest non-null value at or before the row (``last``), strictly before it
-    (``previous``) and strictly after it (``following``)."""
+    (``previous``) and strictly after it (``following``).
+
+    Values ahead are carried along the reversed order: a frame that ends at the end of a key is
+    read anew for every row, one that begins at its start is not. Rows are numbered along the order
+    first, so that both directions see ties alike.
+    """
     keys, last, following, previous = list(keys), dict(last or {}), dict(following or {}), dict(previous or {})
     base = df if bounded else sliced(df, keys, order, slice_rows)
     group = keys if bounded else [*keys, "__slice"]
     place = [_col(c) for c in order] if bounded else [F.col(p) for p in _places(order)]
     whole = Window.partitionBy(*group).orderBy(*place)
     back = whole.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = whole.rowsBetween(1, Window.unboundedFollowing)
     passed = whole.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*group).orderBy(F.desc("__place")).rowsBetween(Window.unboundedPreceding, -1)
     near = [F.last(_col(v), True).over(back).alias(n) for n, v in last.items()]
     near += [F.last(_col(v), True).over(passed).alias(n) for n, v in previous.items()]
-    near += [F.first(_col(v), True).over(ahead).alias(n) for n, v in following.items()]
+    local = base.select("*", *near)
+    if following:
+        # The values ahead are read off the input, which a name of ``last`` may shadow.
+        values = [_col(v).alias(f"__v{i}") for i, v in enumerate(following.values())]
+        placed = base.select("*", *near, *values, F.row_number().over(whole).alias("__place"))
+        found = [F.last(f"__v{i}", True).over(ahead).alias(n) for i, n in enumerate(following)]
+        local = placed.select("*", *found).drop("__place", *[f"__v{i}" for i in range(len(values))])
     if bounded:
-        return df.select("*", *near)
+        return local
     last = last | previous
     at = F.struct(*place)
     edges = base.groupBy(*keys, "__slice").agg(
@@ -141,8 +152,8 @@ def carried(
     )
     slices = Window.partitionBy(*keys).orderBy("__slice")
     behind = slices.rowsBetween(Window.unboundedPreceding, -1)
-    onward = slices.rowsBetween(1, Window.unboundedFollowing)
-    offsets = {n: F.last(n, True).over(behind) for n in last} | {n: F.first(n, True).over(onward) for n in following}
-    return _with_offsets(base.select("*", *near), edges, keys, offsets).select(
+    onward = Window.partitionBy(*keys).orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = {n: F.last(n, True).over(behind) for n in last} | {n: F.last(n, True).over(onward) for n in following}
+    return _with_offsets(local, edges, keys, offsets).select(
         *df.columns, *[F.coalesce(n, "__off_" + n).alias(n) for n in (*last, *following)]
     )
