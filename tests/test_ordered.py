@@ -116,3 +116,13 @@ def test_values_ahead_are_not_read_anew_for_every_row(spark):
     got = carried(tied, ["k"], ["at"], previous={"lo": "v"}, following={"hi": "v"}, bounded=True).collect()
     assert sorted(r.hi is None for r in got) == [False] * 8 + [True]
     assert {(r.v, r.hi) for r in got if r.hi is not None} == {(r.lo, r.v) for r in got if r.lo is not None}
+
+
+def test_wrapped_names_look_ahead_in_one_pass(spark):
+    from rankmill.functions import names
+
+    rows = [("k", i, f"n{i} FOUNDATION", "School1" if i % 7 == 0 else " ") for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, at int, name string, line string")
+    got = names.unwrapped(df, ["k"], ["at"], "name", "line", ["FOUNDATION"], ["1", "2"])
+    assert "unboundedfollowing" not in _frames(got)
+    assert {r.at: r["name"] for r in got.collect()} == {i: "School1" if i < 56 else f"n{i} FOUNDATION" for i in range(60)}
