@@ -126,3 +126,12 @@ def test_wrapped_names_look_ahead_in_one_pass(spark):
     got = names.unwrapped(df, ["k"], ["at"], "name", "line", ["FOUNDATION"], ["1", "2"])
     assert "unboundedfollowing" not in _frames(got)
     assert {r.at: r["name"] for r in got.collect()} == {i: "School1" if i < 56 else f"n{i} FOUNDATION" for i in range(60)}
+
+
+def test_crosswalk_reads_both_curves_in_one_pass(spark):
+    probes = spark.createDataFrame([(1, i, i / 10) for i in range(40)], "k int, id int, at double")
+    up = spark.createDataFrame([(1, float(x), x / 4) for x in range(5)], "k int, x double, y double")
+    twice = up.withColumn("x", F.col("x") * 2)
+    got = interp.crosswalk(probes, up, twice, ["k"], "at")
+    assert "unboundedfollowing" not in _frames(got)
+    assert all(abs(r.value - 2 * r.at) < 1e-9 for r in got.collect())
