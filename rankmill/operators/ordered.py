@@ -121,9 +121,9 @@ def carried(
     """Nearest non-null value at or before the row (``last``), strictly before it
     (``previous``) and strictly after it (``following``).
 
-    Values ahead are carried along the reversed order: a frame that ends at the end of a key is
-    read anew for every row, one that begins at its start is not. Rows are numbered along the order
-    first, so that both directions see ties alike.
+    Unless ``bounded``, values ahead are carried along the reversed order: a frame that ends at the
+    end of a key is read anew for every row, one that begins at its start is not. Rows are numbered
+    along the order first, so that both directions see ties alike.
     """
     keys, last, following, previous = list(keys), dict(last or {}), dict(following or {}), dict(previous or {})
     base = df if bounded else sliced(df, keys, order, slice_rows)
@@ -135,6 +135,9 @@ def carried(
     ahead = Window.partitionBy(*group).orderBy(F.desc("__place")).rowsBetween(Window.unboundedPreceding, -1)
     near = [F.last(_col(v), True).over(back).alias(n) for n, v in last.items()]
     near += [F.last(_col(v), True).over(passed).alias(n) for n, v in previous.items()]
+    if bounded:  # few rows a key: a second sort would cost more than reading them anew
+        near += [F.first(_col(v), True).over(whole.rowsBetween(1, Window.unboundedFollowing)).alias(n) for n, v in following.items()]
+        return df.select("*", *near)
     local = base.select("*", *near)
     if following:
         # The values ahead are read off the input, which a name of ``last`` may shadow.
@@ -142,8 +145,6 @@ def carried(
         placed = base.select("*", *near, *values, F.row_number().over(whole).alias("__place"))
         found = [F.last(f"__v{i}", True).over(ahead).alias(n) for i, n in enumerate(following)]
         local = placed.select("*", *found).drop("__place", *[f"__v{i}" for i in range(len(values))])
-    if bounded:
-        return local
     last = last | previous
     at = F.struct(*place)
     edges = base.groupBy(*keys, "__slice").agg(
