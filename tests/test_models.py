@@ -184,3 +184,19 @@ def test_noise_summary_reads_rank_bars_and_gates(spark, sf_dir):
     spans = spans[spans["n"] > 1]
     want = [rows["shift"].mean(), rows["shift"].max(), *(100 * spans[c].mean() for c in "eo")]  # each group counts alike
     assert list(got) == pytest.approx(want, abs=1e-3)
+
+
+def test_levels_behind_bars_move_one_row_a_bar(spark):
+    bars = spark.createDataFrame([(("k", i), "a", i / 10, 0.9, [(0.1, 0.8), (-0.2, 0.7)][: i % 3]) for i in range(6)],
+                                 "key struct<n:string,i:int>, scale string, bar double, loading double, gates array<struct<bar:double,loading:double>>")
+    got = latent._posterior(bars, {"a": [0.5, 1.0, 1.5]}, 96)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    at, weight = latent.nodes_of(96)
+    for r in got.collect():
+        i = r.key.i
+        ability = 0.9 * i / 10 + np.sqrt(1 - 0.81) * at
+        mass = weight * (0.5 + latent.normal.np_cdf(ability))
+        for bar, load in [(0.1, 0.8), (-0.2, 0.7)][: i % 3]:
+            mass = mass * latent.normal.np_sf((bar - load * ability) / np.sqrt(1 - load**2))
+        assert abs(r.level - latent.normal.np_cdf((mass * ability).sum() / mass.sum())) < 1e-12
