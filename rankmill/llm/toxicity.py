@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Container, Iterable, Iterator
 from dataclasses import dataclass, field
@@ -154,7 +155,11 @@ def vocabulary(rows: DataFrame, size: int = VOCABULARY, least_rows: int = LEAST_
 
 
 def _bags(rows: DataFrame, words: list[str]) -> DataFrame:
-    """Each labelled text as its different sentences of word numbers, with their counts: ``bag``."""
+    """Each labelled text as its different sentences of word numbers, with their counts: ``bag``.
+
+    A bag is packed as 32-bit numbers: for each sentence its count, its number of words and these.
+    The driver holds all bags at once, and as rows and lists they would take it many times that.
+    """
     number = {w: i for i, w in enumerate(words)}
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,31 +168,52 @@ def _bags(rows: DataFrame, words: list[str]) -> DataFrame:
             bags = []
             for text in batch["text"]:
                 held = Counter(tuple(sorted(number[w] for w in found)) for _, _, found in finder.of_text(text))
-                bags.append([{"words": list(s), "times": n} for s, n in sorted(held.items())])
+                flat = [x for s, n in sorted(held.items()) for x in (n, len(s), *s)]
+                bags.append(np.asarray(flat, dtype="<i4").tobytes())
             yield pd.DataFrame({"key": batch["key"], "label": batch["label"], "bag": bags})
 
     keyed = rows.withColumn("key", F.xxhash64("text"))
-    return keyed.mapInPandas(each, "key bigint, label int, bag array<struct<words: array<int>, times: bigint>>")
+    return keyed.mapInPandas(each, "key bigint, label int, bag binary")
+
+
+def packed(bags: list[tuple[int, list[tuple[list[int], int]]]]) -> list[tuple[int, bytes]]:
+    """Bags of sentences, (words, count), as :func:`_bags` packs them."""
+    flat = [(label, [x for s, n in bag for x in (n, len(s), *s)]) for label, bag in bags]
+    return [(label, np.asarray(bag, dtype="<i4").tobytes()) for label, bag in flat]
 
 
 def fitted(bags: list[tuple[int, list[tuple[list[int], int]]]], words: list[str], rounds: int = ROUNDS) -> Model:
+    """The model of bags, each a label and its sentences as word numbers with a count."""
+    return fitted_packed(packed(bags), words, rounds)
+
+
+def fitted_packed(bags: list[tuple[int, bytes]], words: list[str], rounds: int = ROUNDS) -> Model:
     """Weights that maximise the penalised likelihood of the noisy-or, by Adam steps.
 
-    A bag is a label and its sentences, as word numbers with a count. With q the leak's and all
-    sentences' product of 1 - p, the document's probability is 1 - q, and the derivative of its
-    log-likelihood by a sentence's logit is p * (y * q / (1 - q) - (1 - y)), once for each count.
+    With q the leak's and all sentences' product of 1 - p, the document's probability is 1 - q, and
+    the derivative of its log-likelihood by a sentence's logit is p * (y * q / (1 - q) - (1 - y)),
+    once for each count.
     """
-    y = np.array([b[0] for b in bags], dtype=float)
-    doc = np.array([d for d, b in enumerate(bags) for _ in b[1]], dtype=np.int64)
-    held = [s for b in bags for s, _ in b[1]]
-    times = np.array([n for b in bags for _, n in b[1]], dtype=float)
-    flat = np.array([w for s in held for w in s], dtype=np.int64)
-    owner = np.repeat(np.arange(len(held)), [len(s) for s in held]) if held else np.zeros(0, dtype=np.int64)
+    y = np.array([label for label, _ in bags], dtype=float)
+    ends = np.cumsum([0, *(len(bag) // 4 for _, bag in bags)])
+    data = np.frombuffer(b"".join(bag for _, bag in bags), dtype="<i4")
+    heads, at = array("q"), 0
+    while at < len(data):
+        heads.append(at)
+        at += 2 + int(data[at + 1])
+    head = np.frombuffer(heads, dtype=np.int64) if heads else np.zeros(0, dtype=np.int64)
+    doc = np.searchsorted(ends, head, side="right") - 1
+    times = data[head].astype(float)
+    sizes = data[head + 1]
+    held = np.ones(len(data), dtype=bool)
+    held[head] = held[head + 1] = False
+    flat = data[held].astype(np.int64)
+    owner = np.repeat(np.arange(len(head)), sizes)
     theta = np.zeros(len(words) + 2)
     theta[-2:] = -7.0, -5.0
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
-        logit = theta[-2] + np.bincount(owner, theta[flat], len(held))
+        logit = theta[-2] + np.bincount(owner, theta[flat], len(head))
         p, p0 = 1 / (1 + np.exp(-logit)), 1 / (1 + np.exp(-theta[-1]))
         q = np.exp(np.log1p(-p0) + np.bincount(doc, times * np.log1p(-np.minimum(p, 1 - 1e-9)), len(bags)))
         pull = y * q / np.maximum(1 - q, 1e-9) - (1 - y)
@@ -219,8 +245,8 @@ def trained(
     if not words:
         return Model(constant=rows.agg(F.avg("label")).first()[0] or 0.0)
     # Documents that repeat an id may be more than the labels; the bound holds for them too.
-    bags = [(r["label"], [(s["words"], s["times"]) for s in r["bag"]]) for r in _bags(rows, words).orderBy("key", "label").limit(fit_rows).collect()]
-    return fitted(bags, words)
+    bags = _bags(rows, words).orderBy("key", "label").limit(fit_rows).select("label", "bag").collect()
+    return fitted_packed([(r["label"], bytes(r["bag"])) for r in bags], words)
 
 
 def score(model: Model, text: str | None, finder: Finder | None = None) -> tuple[float, list[tuple[int, int, float]]]:
