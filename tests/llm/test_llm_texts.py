@@ -331,3 +331,10 @@ def test_main_text_points_equal_naive_sums():
                     points[id(above)] += earned * weight
                     above = above.parent
         assert [n.points for n in order] == pytest.approx([points[id(n)] for n in order])
+
+
+def test_toxicity_bags_reach_the_driver_packed(spark):
+    words = ["bad", "worse"]
+    rows = spark.createDataFrame([("A bad day. Worse, bad! A bad one. Fine.", 1), ("", 0)], "text string, label int")
+    got = {r["label"]: bytes(r["bag"]) for r in toxicity._bags(rows, words).collect()}
+    assert got == dict(toxicity.packed([(1, [([0], 2), ([0, 1], 1)]), (0, [])]))
