@@ -12,9 +12,11 @@ sets of n and m shingles and similarity t differ in at most (n + m) (1 - t) / (1
 shingles, and so in at most as many parities. What passes is a candidate. Under each key only
 a forest of candidates is taken, and each pair is verified once on the whole sets. A link
 that holds joins two labels, and nodes of one label are never compared again. A link that
-fails reaches nothing: the keys that gave it are walked again without it, ``ROUNDS`` times by
+fails reaches nothing: the tree that gave it is walked again without it, ``ROUNDS`` times by
 forests and at last by all candidates between different labels that are left there, so that
-no pair is missed. Sets move only for pairs that are verified.
+no pair is missed; what is in no tree with such a link is not moved again, as sets of
+different trees cannot agree. Keys under which the very same sets meet (two near copies share
+a fifth of their shingles) count as one. Sets move only for pairs that are verified.
 
 Candidates may come from another sketch first (``Sketch``); what it links and the sets
 confirm is joined before the keys are walked. Keys are counted before they are dealt, and
@@ -51,6 +53,8 @@ SENT = 200_000
 SAMPLE = 20_000
 COMMON = 1_000_000
 SLACK = 1e-9
+#: What names a group of sets that are compared: a key, a pair of its blocks, a tree found there before (0: none).
+CELL = ["key", "a", "b", "root"]
 
 
 def text_hash(text: str) -> Column:
@@ -123,9 +127,9 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, places
 
 
-def _forest(count: int, hits: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Links of a spanning forest, walked outwards from each place not yet reached."""
-    links: list[tuple[int, int]] = []
+def _forest(count: int, hits: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int, int]]:
+    """(seed, from, to): links of a spanning forest, walked outwards from each place not yet reached."""
+    links: list[tuple[int, int, int]] = []
     left = np.ones(count, dtype=bool)
     for seed in range(count):
         stack = [seed] if left[seed] else []
@@ -137,7 +141,7 @@ def _forest(count: int, hits: Callable[[int, np.ndarray], np.ndarray]) -> list[t
                 return links
             hit = rest[hits(at, rest)]
             left[hit] = False
-            links += [(at, h) for h in hit.tolist()]
+            links += [(seed, at, h) for h in hit.tolist()]
             stack.extend(hit.tolist())
     return links
 
@@ -164,13 +168,14 @@ def _may_agree(n: np.ndarray, bits: np.ndarray, wide: list[bytes], similarity: f
 
 
 def _walked(similarity: float, exhaustive: bool):
-    """Rows sorted by (key, a, b) in, links of each such cell out: forests, or all candidates left.
+    """Rows sorted by ``CELL`` in, links of each such cell out: forests, or all candidates left.
 
     Rows have node, label, n, bits and wide; those of role 1 are pairs (node, other) that
-    this cell has given before and that failed.
+    this cell has given before and that failed. Trees with a link between labels (``cross``)
+    come out whole, named by their seed and with their number of nodes.
     """
 
-    def cell(rows: pd.DataFrame, failed: pd.DataFrame) -> list[tuple[int, int]]:
+    def cell(rows: pd.DataFrame, failed: pd.DataFrame) -> np.ndarray:
         label = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
         counts = np.bincount(label)[label]
         order = np.lexsort((label, -counts))  # what is joined most goes first
@@ -181,8 +186,9 @@ def _walked(similarity: float, exhaustive: bool):
         place = {name: i for i, name in enumerate(node.tolist())}
         not_again: dict[int, list[int]] = {}
         for u, v in zip(failed["node"].tolist(), failed["other"].tolist(), strict=True):
-            not_again.setdefault(place[u], []).append(place[v])
-            not_again.setdefault(place[v], []).append(place[u])
+            if u in place and v in place:
+                not_again.setdefault(place[u], []).append(place[v])
+                not_again.setdefault(place[v], []).append(place[u])
 
         def hits(at: int, rest: np.ndarray) -> np.ndarray:
             own = label[rest] == label[at]
@@ -197,11 +203,16 @@ def _walked(similarity: float, exhaustive: bool):
             made = _forest(len(node), hits)
         else:
             every = np.arange(len(node))
-            made = [(i, j) for i in range(len(node)) for j in every[i + 1 :][hits(i, every[i + 1 :])].tolist()]
-        return [(node[i], node[j]) for i, j in made if label[i] != label[j]]
+            made = [(i, i, j) for i in range(len(node)) for j in every[i + 1 :][hits(i, every[i + 1 :])].tolist()]
+            made = [(i, i, j) for i, _, j in made if label[i] != label[j]]
+        seed, u, v = np.array(made, dtype=np.int64).reshape(-1, 3).T
+        cross = label[u] != label[v]
+        size = np.bincount(seed, minlength=len(node))[seed] + 1
+        found = np.stack([node[seed], size, node[u], node[v], cross.astype(np.int64)], axis=1)
+        return found[np.isin(seed, seed[cross])]
 
     def links_of(rows: pd.DataFrame) -> pd.DataFrame:
-        by = rows[["key", "a", "b"]].to_numpy()
+        by = rows[CELL].to_numpy()
         edges = np.flatnonzero((by[1:] != by[:-1]).any(axis=1)) + 1
         bounds = np.concatenate(([0], edges, [len(rows)]))
         size = np.diff(bounds)
@@ -219,28 +230,27 @@ def _walked(similarity: float, exhaustive: bool):
             if count := min(len(left), len(right)) * 8:
                 held[k] = np.bitwise_count(_folded(left, count) ^ _folded(right, count)).sum(dtype=np.int64) <= most[k]
         place = two[held]
-        made = [np.stack([place, node[place], node[place + 1]], axis=1)]
+        made = [np.stack([place, node[place], np.full(len(place), 2), node[place], node[place + 1], np.ones(len(place), dtype=np.int64)], axis=1)]
         for at in np.flatnonzero(size > 2):
             low, high = bounds[at], bounds[at + 1]
             nodes = low + int((role[low:high] == 0).sum())
             if (label[low:nodes] == label[low]).all():
                 continue
-            if found := cell(rows.iloc[low:nodes], rows.iloc[nodes:high]):
-                made.append(np.array([(low, u, v) for u, v in found], dtype=np.int64))
+            found = cell(rows.iloc[low:nodes], rows.iloc[nodes:high])
+            made.append(np.concatenate([np.full((len(found), 1), low), found], axis=1))
         found = np.concatenate(made)
-        return pd.DataFrame({"key": by[found[:, 0], 0], "a": by[found[:, 0], 1], "b": by[found[:, 0], 2],
-                             "u": found[:, 1:].min(axis=1), "v": found[:, 1:].max(axis=1)})
+        return pd.DataFrame({"key": by[found[:, 0], 0], "a": by[found[:, 0], 1], "b": by[found[:, 0], 2], "root": found[:, 1], "size": found[:, 2],
+                             "u": found[:, 3:5].min(axis=1), "v": found[:, 3:5].max(axis=1), "cross": found[:, 5] == 1})
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
         for batch in batches:
             if not len(batch):
                 continue
-            if kept and tuple(kept[-1][["key", "a", "b"]].iloc[-1]) != tuple(batch[["key", "a", "b"]].iloc[0]):
+            if kept and tuple(kept[-1][CELL].iloc[-1]) != tuple(batch[CELL].iloc[0]):
                 yield links_of(pd.concat(kept))
                 kept = []
-            last = batch[["key", "a", "b"]].iloc[-1]
-            open_ = ((batch["key"] == last["key"]) & (batch["a"] == last["a"]) & (batch["b"] == last["b"])).to_numpy()
+            open_ = (batch[CELL] == batch[CELL].iloc[-1]).all(axis=1).to_numpy()
             if not open_.all():
                 yield links_of(pd.concat([*kept, batch[~open_]]))
                 kept = []
@@ -337,44 +347,55 @@ def near_links(
     release(made, lows)
 
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    met = cut_lineage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1"))
+    # Node names are hashes and meet a key once, so two sums by exclusive or name what meets.
+    together = [F.count(F.lit(1)).alias("met"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")]
+    met = cut_lineage(keyed.groupBy("key").agg(*together).where("met > 1").groupBy("met", "x", "y").agg(F.min("key").alias("key")).select("key", "met"))
 
-    def cells(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
-        found = keyed.join(keys, "key").join(nodes.select("node", "n", "bits", "wide"), "node")
+    def filled(found: DataFrame, labels: DataFrame | None) -> DataFrame:
+        found = found.join(nodes.select("node", "n", "bits", "wide"), "node")
         found = found.withColumn("label", F.col("node")) if labels is None else found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        found = _cells(found, F.ceil(F.col("met") / F.lit(block)))
-        return found.select("key", "a", "b", F.lit(0).alias("role"), "node", F.lit(0).cast("bigint").alias("other"), "label", "n", "bits", "wide")
+        return found.select(*CELL, F.lit(0).alias("role"), "node", F.lit(0).cast("bigint").alias("other"), "label", "n", "bits", "wide")
 
     def walked(found: DataFrame, exhaustive: bool = False) -> DataFrame:
-        found = found.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "role", "node")
-        return cut_lineage(found.mapInPandas(_walked(similarity, exhaustive), "key bigint, a int, b int, u bigint, v bigint"))
+        found = found.repartition(*CELL).sortWithinPartitions(*CELL, "role", "node")
+        schema = "key bigint, a int, b int, root bigint, size bigint, u bigint, v bigint, cross boolean"
+        return cut_lineage(found.mapInPandas(_walked(similarity, exhaustive), schema))
 
     verified = _verified(rows, _sketched(nodes, sketch), shingle, similarity) if sketch else None
     links = same if verified is None else cut_lineage(same.union(verified.where("agree").select("u", "v")))
     labels = None if verified is None else _labels(links)
-    given = walked(cells(met, labels))
+    dealt = _cells(keyed.join(met, "key"), F.ceil(F.col("met") / F.lit(block))).withColumn("root", F.lit(0).cast("bigint"))
+    given = walked(filled(dealt, labels))
     tried = given
     for turn in range(ROUNDS + 1):
-        pairs = given.select("u", "v").distinct()
+        pairs = given.where("cross").select("u", "v").distinct()
         if verified is not None:
             pairs = pairs.join(verified, ["u", "v"], "left_anti")
         now = _verified(rows, cut_lineage(pairs), shingle, similarity)
         done, verified = verified, now if verified is None else cut_lineage(verified.union(now))
         before, links = links, cut_lineage(links.union(now.where("agree").select("u", "v")))
         release(*(x for x in (done, now, before) if x is not None and x is not verified))
-        # The cells that have just given a link that fails, with all such links of theirs.
-        failing = given.join(verified.where("not agree").select("u", "v"), ["u", "v"], "left_semi").select("key", "a", "b").distinct()
-        failing = cut_lineage(failing)
-        if turn == ROUNDS or failing.isEmpty():
+        if turn == ROUNDS:
+            break
+        # The nodes of trees that have just given a link that fails, with all such links of theirs. Two nodes have no other.
+        wrong = verified.where("not agree").select("u", "v")
+        failing = given.where("cross and size > 2").join(wrong, ["u", "v"], "left_semi").select(*CELL).distinct()
+        members = given.join(failing, CELL, "left_semi").select(*CELL, F.explode(F.array("u", "v")).alias("node")).distinct()
+        members = cut_lineage(members)
+        # Trees of the same nodes under several keys are one.
+        trees = members.groupBy(*CELL).agg(*together)
+        trees = trees.groupBy("met", "x", "y").agg(F.min(F.struct(*CELL)).alias("cell")).select("cell.*")
+        every, members = members, cut_lineage(members.join(trees, CELL, "left_semi"))
+        release(every)
+        if members.isEmpty():
             break
         labels = _labels(links)
-        keys = met.join(failing.select("key").distinct(), "key", "left_semi")
-        again = cells(keys, labels).join(failing, ["key", "a", "b"], "left_semi")
-        old = tried.join(verified.where("not agree").select("u", "v"), ["u", "v"], "left_semi").join(failing, ["key", "a", "b"], "left_semi")
-        old = old.select("key", "a", "b", F.lit(1).alias("role"), F.col("u").alias("node"), F.col("v").alias("other"), F.lit(0).cast("bigint").alias("label"),
+        old = tried.where("cross").select("key", "a", "b", "u", "v").join(wrong, ["u", "v"], "left_semi")
+        old = old.join(members.withColumnRenamed("node", "u"), ["key", "a", "b", "u"])
+        old = old.select(*CELL, F.lit(1).alias("role"), F.col("u").alias("node"), F.col("v").alias("other"), F.lit(0).cast("bigint").alias("label"),
                          F.lit(0).cast("bigint").alias("n"), F.lit(bytes(PARITIES // 8)).alias("bits"), F.lit(b"").alias("wide"))
-        given = walked(again.unionByName(old), turn == ROUNDS - 1)
-        before, tried = tried, cut_lineage(tried.union(given))
+        given = walked(filled(members, labels).unionByName(old), turn == ROUNDS - 1)
+        before, tried = tried, cut_lineage(tried.unionByName(given))
         release(before)
     release(nodes, met)
     return links.distinct()

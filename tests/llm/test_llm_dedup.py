@@ -355,3 +355,18 @@ def test_passages_said_very_often_in_one_text(spark, filler):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert got == covered(rows, 50)
+
+
+def test_only_trees_with_a_failed_link_are_walked_again(spark, monkeypatch):
+    from rankmill.llm import similar
+
+    walks, cells = [], []
+    old_walk, old_cells = similar._walked, similar._cells
+    monkeypatch.setattr(similar, "_walked", lambda *a: walks.append(a) or old_walk(*a))
+    monkeypatch.setattr(similar, "_cells", lambda rows, parts: cells.append(rows.count()) or old_cells(rows, parts))
+    base = [f"w{i}" for i in range(400)]
+    near = [f"x{i}" if i in range(40, 360, 32) else w for i, w in enumerate(base)]  # similarity 0.78
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near))], "doc_id long, text string")
+    assert similar.near_links(docs, "doc_id", "text", 0.8).count() == 0
+    assert (len(walks), cells) == (1, [2])  # the keys that both share are one, and no other pair is left there
+    assert similar.near_links(docs, "doc_id", "text", 0.75).count() == 1
