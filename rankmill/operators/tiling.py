@@ -206,7 +206,12 @@ def knots(curve: DataFrame, keys: Sequence[str], count: int = KNOTS, **options)
 def smooth(points: DataFrame, keys: Sequence[str], bar: str, level: str, weight: str, count: int = KNOTS,
            slice_rows: int | None = None) -> DataFrame:
     """Rising monotone cubic per key, as a knot table over x = 1 - bar."""
-    fitted = antitonic(pooled(points, keys, bar, level, weight), keys, slice_rows)
+    return smoothed(pooled(points, keys, bar, level, weight), keys, count, slice_rows)
+
+
+def smoothed(pools: DataFrame, keys: Sequence[str], count: int = KNOTS, slice_rows: int | None = None) -> DataFrame:
+    """Rising monotone cubic per key of points that are pooled already (x, y, w)."""
+    fitted = antitonic(pools, keys, slice_rows)
     rising = fitted.withColumn("x", 1.0 - F.col("x"))
     return interp.pchip_slopes(knots(rising, keys, count), keys, "x", "y")
 
@@ -238,6 +243,66 @@ def place(rows: DataFrame, totals: DataFrame | None, *, year: str, group: str, s
     ).drop("factor")
 
 
+def gathered(rows: DataFrame, year: str, group: str, subgroup: str, route: str, scale: str, bar: str, weight: str,
+             unique: str) -> tuple[DataFrame, DataFrame]:
+    """(cells, plain rows): rows whose subgroup is never asked for its mean become sums over their bar.
+
+    A subgroup's mean is read only by its rows without a bar. Rows of all other subgroups are summed by
+    year, group, route, scale and bar, with the sum of their squares in ``_squares`` and no subgroup or
+    unique column; that leaves the group's means as they are. The rest stay as they are, as do
+    years in which some weight is not positive (``_odd``). The plain rows are those that were summed.
+    """
+    axes = [year, group, route, scale, bar]
+    held = rows.select(year, group, subgroup, route, scale, bar, F.col(weight).cast("double").alias(weight), unique)
+    good = F.coalesce(F.col(weight) > 0, F.lit(False))
+    years = F.broadcast(held.groupBy(year).agg((~F.min(good)).alias("_odd")))
+    held = cut_lineage(_keyed(held, years, [year]))
+    asked = held.where(F.col("_odd") | F.col(bar).isNull() | F.col(scale).isNull()).select(year, group, subgroup).distinct()
+    asked = cut_lineage(asked)
+    alone = _keyed(held, asked, [year, group, subgroup], "left_semi")
+    plain = cut_lineage(_keyed(held, asked, [year, group, subgroup], "left_anti").select(*axes, weight, unique))
+    sums = plain.groupBy(*axes).agg(F.sum(F.col(weight) * F.col(weight)).alias("_squares"), F.sum(weight).alias(weight))
+    cells = alone.withColumn("_squares", F.col(weight) * F.col(weight)).withColumn("_summed", F.lit(False)).unionByName(
+        sums.withColumn("_summed", F.lit(True)).withColumn("_odd", F.lit(False)), allowMissingColumns=True)
+    return cut_lineage(cells), plain
+
+
+def tiled_points(placed: DataFrame, plain: DataFrame, population: DataFrame | None, *, year: str, group: str, route: str,
+                 scale: str, bar: str, weight: str, unique: str) -> DataFrame:
+    """Pooled tiled levels (x, y, w) of placed cells and the rows they were summed from (:func:`gathered`).
+
+    Rows of one bar share their score and follow each other, and the mean of their levels does not
+    depend on their order: with weight w above a bar's rows, sum s and sum of squares q it is
+    1 - (w + (s + q / s) / 2) / population. Only where rows of other bars, or without one, have the
+    same score does the unique column decide; those rows are fetched and walked.
+    """
+    axes = [year, scale]
+    factor = F.when(F.col(weight) != 0, F.col("placed_weight") / F.col(weight)).otherwise(0.0)
+    placed = cut_lineage(placed.withColumn("_factor", factor))
+    classes = cut_lineage(placed.groupBy(*axes, F.col(bar).alias("x"), "score").agg(
+        F.sum("placed_weight").alias("w"), F.sum(F.col("_squares") * F.col("_factor") * F.col("_factor")).alias("_q"), F.max("_odd").alias("_odd")))
+    scores = classes.groupBy(year, "score").agg(
+        F.sum("w").alias("_here"), ((F.max("_odd") | (F.count(F.lit(1)) > 1)) & (F.count("x") > 0)).alias("_tied"))
+    scores = running(scores, [year], [-F.col("score")], {"_above": "_here"}, before=True, totals={"_size": "_here"})
+    if population is not None:
+        scores = scores.join(population, [year], "left").withColumn("_size", F.coalesce("population", "_size")).drop("population")
+    scores = cut_lineage(scores.drop("_here"))
+    own = _keyed(classes.where(F.col("x").isNotNull()), scores.where(~F.col("_tied")), [year, "score"])
+    mean = 1.0 - (F.col("_above") + (F.col("w") + F.col("_q") / F.col("w")) / 2) / F.col("_size")
+    parts = own.select(*axes, "x", mean.alias("y"), "w")
+    tied = scores.where("_tied").drop("_tied")
+    if not tied.isEmpty():
+        meet = _keyed(placed, tied, [year, "score"])
+        walk = [*axes, F.col(bar).alias("x"), unique, "score", "placed_weight", "_above", "_size"]
+        sums = meet.where("_summed").select(year, group, route, scale, bar, "score", "_factor", "_above", "_size")
+        rows = _keyed(plain, sums, [year, group, route, scale, bar]).withColumn("placed_weight", F.col(weight) * F.col("_factor"))
+        walked = meet.where(~F.col("_summed")).select(*walk).unionByName(rows.select(*walk))
+        walked = running(walked, [year, "score"], [unique], {"_passed": "placed_weight"}).where(F.col("x").isNotNull())
+        walked = walked.withColumn("_tiled", 1.0 - (F.col("_above") + F.col("_passed")) / F.col("_size"))
+        parts = parts.unionByName(pooled(walked, axes, "x", "_tiled", "placed_weight"))
+    return parts.groupBy(*axes, "x").agg(weighted_mean("y", "w").alias("y"), F.sum("w").alias("w"))
+
+
 def fixed_point(rows: DataFrame, totals: DataFrame | None, population: DataFrame | None, *, year: str = "year",
                 group: str = "grp", subgroup: str = "sub", route: str = "route", scale: str = "scale",
                 bar: str = "top", weight: str = "weight", unique: str = "id", count: int = KNOTS,
@@ -247,21 +312,26 @@ def fixed_point(rows: DataFrame, totals: DataFrame | None, population: DataFrame
     Returns the knot table of the last placement, rows with their final level,
     and the rounds run. A level follows from its bar and its year's knots, so movement is
     measured on the table of different bars, which carries each bar's level from round to
-    round, and no row meets itself. A year is settled once none of its bars moves by the
-    tolerance; its rows are not read again until the last placement.
+    round, and rows that differ only in what no round reads are summed once (:func:`gathered`).
+    A year is settled once none of its bars moves by the tolerance; its cells are
+    not read again until the last placement.
     """
     columns = dict(year=year, group=group, subgroup=subgroup, route=route, scale=scale, weight=weight)
     axes = [year, scale]
     held = cut_lineage(rows)
-    bars = cut_lineage(held.where(F.col(bar).isNotNull()).select(*axes, bar).distinct().withColumn("_level", 1.0 - F.col(bar)))
+    cells, plain = gathered(held, **columns, bar=bar, unique=unique)
+    if totals is not None:
+        totals = cut_lineage(totals)
+    if population is not None:
+        population = cut_lineage(population)
+    bars = cut_lineage(cells.where(F.col(bar).isNotNull()).select(*axes, bar).distinct().withColumn("_level", 1.0 - F.col(bar)))
 
     def curves_of(levelled: DataFrame) -> DataFrame:
         placed = place(levelled, totals, level="_level", **columns, **place_options)
-        tiled = tile(placed, [year], "score", [unique], "placed_weight", population, out="_tiled")
-        points = tiled.where(F.col(bar).isNotNull())
-        return cut_lineage(smooth(points, axes, bar, "_tiled", "placed_weight", count))
+        points = tiled_points(placed, plain, population, year=year, group=group, route=route, scale=scale, bar=bar, weight=weight, unique=unique)
+        return cut_lineage(smoothed(cut_lineage(points), axes, count))
 
-    levelled = held.withColumn("_level", 1.0 - F.col(bar))
+    levelled = cells.withColumn("_level", 1.0 - F.col(bar))
     settled: list[DataFrame] = []
     done = 0
     for done in range(1, rounds + 1):
@@ -274,14 +344,15 @@ def fixed_point(rows: DataFrame, totals: DataFrame | None, population: DataFrame
         settled.append(curves if last else _keyed(curves, moving, [year], "left_anti"))
         if last:
             break
-        open_ = _keyed(held, moving, [year], "left_semi")
+        open_ = _keyed(cells, moving, [year], "left_semi")
         bars = _keyed(bars, moving, [year], "left_semi").drop("_was")
-        levelled = read_bars(open_, curves, axes, bar, "_level")
+        levelled = cut_lineage(read_bars(open_, curves, axes, bar, "_level"))
     final = settled[0]
     for more in settled[1:]:
         final = final.unionByName(more)
-    levelled = read_bars(held, final, axes, bar, "_level")
-    return curves_of(levelled), levelled.withColumnRenamed("_level", "level"), done
+    final = cut_lineage(final)
+    levels = read_bars(held, final, axes, bar, "_level").withColumnRenamed("_level", "level")
+    return curves_of(read_bars(cells, final, axes, bar, "_level")), levels, done
 
 
 def carried_curve(placed: DataFrame, keys: Sequence[str], score: str, tie: Sequence[str], scale: str,
