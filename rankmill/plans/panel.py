@@ -111,6 +111,12 @@ def quota_cells(cells: DataFrame, quotas: DataFrame, rules: PanelRules) -> DataF
     )
 
 
+def _untouched(cells: DataFrame, years: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells of the given years and the rest. The calendar is short, so the years go to every task."""
+    years = F.broadcast(cut_lineage(years.select("year").distinct()))
+    return cells.join(years, "year", "left_semi").select(*cells.columns), cells.join(years, "year", "left_anti").select(*cells.columns)
+
+
 def _overlay(cells: DataFrame, extra: DataFrame, value: str, method: str) -> DataFrame:
     """Let ``extra`` set the weight of its cells, creating those that are missing."""
     both = cells.join(extra, CELL, "full_outer")
@@ -126,24 +132,33 @@ def _overlay(cells: DataFrame, extra: DataFrame, value: str, method: str) -> Dat
     )
 
 
+def _beside(cells: DataFrame) -> DataFrame:
+    """Cells that an overlay does not meet, in the shape it gives them."""
+    return cells.withColumn("ability_method", F.coalesce("ability_method", F.lit(""))).withColumn(
+        "input_rows", F.coalesce("input_rows", F.lit(0)).cast("bigint"))
+
+
 def add_quotas(cells: DataFrame, quotas: DataFrame, rules: PanelRules) -> DataFrame:
-    return _overlay(cells, quota_cells(cells, quotas, rules), "quota", QUOTA)
+    """Published counts set the cells of their years; cells of other years are not moved."""
+    met, rest = _untouched(cells, quotas)
+    out = _overlay(met, quota_cells(cells, quotas, rules), "quota", QUOTA)
+    return out.select(*cells.columns).unionByName(_beside(rest))
 
 
 def add_capacities(cells: DataFrame, capacities: DataFrame, rules: PanelRules) -> DataFrame:
     """Capacities stand in for one route in years without its actuals.
 
     Growth over the earlier figure is taken out of the other routes in order.
-    Entities without a capacity in such a year read zero.
+    Entities without a capacity in such a year read zero. Cells of other years are not moved.
     """
     key = [*ENTITY, "year"]
     caps = capacities.groupBy(*key).agg(F.sum("weight").cast("double").alias("_cap"), F.count("*").alias("_rows"))
     on_route = F.col("route") == rules.capacity_route
     actual = cells.where(on_route & (F.col("weight_method") == OBSERVED)).select("year").distinct()
-    caps = caps.join(actual, "year", "left_anti").select(*key, "_cap", "_rows")
-    open_years = caps.select("year").distinct().withColumn("_open", F.lit(True))
-    base = cells.join(open_years, "year", "left").join(caps.select(*key, "_cap"), key, "left")
-    closing = on_route & F.col("_open") & F.col("_cap").isNull()
+    caps = cut_lineage(caps.join(actual, "year", "left_anti").select(*key, "_cap", "_rows"))
+    met, rest = _untouched(cells, caps)
+    base = met.join(caps.select(*key, "_cap"), key, "left")
+    closing = on_route & F.col("_cap").isNull()
     base = base.withColumn("weight", F.when(closing, 0.0).otherwise(F.col("weight"))).withColumn(
         "weight_method", F.when(closing, F.lit(RETURNED)).otherwise(F.col("weight_method"))
     ).select(*cells.columns)
@@ -155,28 +170,41 @@ def add_capacities(cells: DataFrame, capacities: DataFrame, rules: PanelRules) -
                               RETURN_TAG)
     caps = caps.select(*key, F.lit(rules.capacity_route).alias("route"), "_cap", "_rows")
     out = _overlay(base, caps, "_cap", RETURNED)
-    return out.withColumn("input_rows", F.coalesce("_rows", "input_rows")).select(*cells.columns)
+    out = out.withColumn("input_rows", F.coalesce("_rows", "input_rows")).select(*cells.columns)
+    return out.unionByName(_beside(rest))
 
 
 def densify(cells: DataFrame, seats: DataFrame, rules: PanelRules) -> DataFrame:
     """Every year between an entity's own first and last, for every route it ever used.
 
-    Added cells are zero where the source is known to be complete, else null.
+    Added cells are zero where the source is known to be complete, else null. An entity has at most
+    years x routes cells, so its row lists them and the missing ones are added beside them: cells
+    move once, to their entity, and later steps on entities find them there.
     """
+    parts = [c for c in cells.columns if c not in ENTITY]
+    kinds = dict(cells.dtypes)
     span = cells.groupBy(*ENTITY).agg(
-        F.sequence(F.min("year"), F.max("year")).alias("_years"), F.collect_set("route").alias("_routes")
-    )
-    grid = span.select(*ENTITY, F.explode("_years").alias("year"), "_routes").select(
-        *ENTITY, "year", F.explode("_routes").alias("route")
-    )
+        F.min("year").alias("_first"), F.max("year").alias("_last"), F.collect_set("route").alias("_routes"),
+        F.collect_list(F.struct(*parts)).alias("_cells"),
+    ).where("_first is not null")
+    pairs = F.flatten(F.transform(F.sequence("_first", "_last"), lambda y: F.transform(
+        "_routes", lambda r: F.struct(y.alias("year"), r.alias("route")))))
+    # A cell with a null in its key is no cell of the grid.
+    whole = F.col("grp").isNotNull() & F.col("sub").isNotNull()
+    own = F.filter("_cells", lambda c: whole & c["year"].isNotNull() & c["route"].isNotNull())
+    span = span.select(*ENTITY, pairs.alias("_grid"), own.alias("_own"))
+    missing = F.array_except("_grid", F.transform("_own", lambda c: F.struct(c["year"].alias("year"), c["route"].alias("route"))))
+    empty = lambda m: [m[c].alias(c) if c in ("year", "route") else F.lit(None).cast(kinds[c]).alias(c) for c in parts]
+    listed = F.concat(
+        F.transform("_own", lambda c: F.struct(*[c[p].alias(p) for p in parts], F.lit(True).alias("_cell"))),
+        F.transform(missing, lambda m: F.struct(*empty(m), F.lit(False).alias("_cell"))))
+    grid = span.select(*ENTITY, F.explode(listed).alias("_c")).select(*ENTITY, "_c.*")
     covered = seats.select("grp", "year", "route").distinct().withColumn("_covered", F.lit(True))
     complete = F.lit(False)
     for route, (first, last) in rules.complete_years.items():
         complete = complete | ((F.col("route") == route) & F.col("year").between(first, last))
-    full = grid.join(cells.withColumn("_cell", F.lit(True)), CELL, "left").join(
-        covered, ["grp", "year", "route"], "left"
-    )
-    added = F.col("_cell").isNull()
+    full = looked_up(grid, covered, ["grp", "year", "route"], "left")
+    added = ~F.col("_cell")
     zero = added & (complete | F.coalesce("_covered", F.lit(False)))
     return full.select(
         *CELL,
@@ -195,50 +223,65 @@ def fill_own_series(cells: DataFrame) -> DataFrame:
     return fill_series(out, series, "year", "ability", "ability_method").select(*cells.columns)
 
 
+def _live(cells: DataFrame) -> DataFrame:
+    live = cells.where(F.col("ability").isNotNull() & (F.col("weight") > 0))
+    return live.select("grp", "sub", "route", "year", (F.col("ability") * F.col("weight")).alias("_s"), F.col("weight").alias("_w"))
+
+
+def _wide_sums(cells: DataFrame) -> DataFrame:
+    """Sums by group, route and year, of which the levels above the entity are made."""
+    return cut_lineage(_live(cells).groupBy("grp", "route", "year").agg(F.sum("_s").alias("_s"), F.sum("_w").alias("_w")))
+
+
+def _means(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return sums.groupBy(*keys).agg((F.sum("_s") / F.sum("_w")).alias("mean")).where("mean is not null")
+
+
 def fallback_means(cells: DataFrame) -> DataFrame:
-    """Weighted means at all fallback levels from one grouping-sets aggregate."""
+    """Weighted means at all fallback levels; those above the entity come from one small table of sums."""
     axes = ["grp", "sub", "route", "year"]
-    live = cells.where(F.col("ability").isNotNull() & (F.col("weight") > 0))
-    sums = live.groupingSets([list(keys) for _, keys in FALLBACK_LEVELS], *axes).agg(
-        (F.sum(F.col("ability") * F.col("weight")) / F.sum("weight")).alias("mean"),
-        F.grouping_id().alias("_gid"),
-    )
-    number = {}
-    for place, (name, keys) in enumerate(FALLBACK_LEVELS):
-        number[sum(0 if axis in keys else 8 >> i for i, axis in enumerate(axes))] = (place, name)
-    level = F.lit(None).cast("int")
-    for gid, (place, _) in number.items():
-        level = F.when(F.col("_gid") == gid, F.lit(place)).otherwise(level)
-    return sums.select(*axes, "mean", level.alias("level"))
+    rows, wide, kinds = _live(cells), _wide_sums(cells), dict(cells.dtypes)
+    out = None
+    for place, (_, keys) in enumerate(FALLBACK_LEVELS):
+        level = _means(rows if "sub" in keys else wide, keys)
+        named = [F.col(a) if a in keys else F.lit(None).cast(kinds[a]).alias(a) for a in axes]
+        level = level.select(*named, "mean", F.lit(place).alias("level"))
+        out = level if out is None else out.unionByName(level)
+    return out
 
 
 def fill_fallbacks(cells: DataFrame) -> DataFrame:
     """Fill cells with no own history from the narrowest level that has a mean.
 
-    Means are taken before any fallback fill. Levels are gone through from the narrowest: each
-    open cell meets one level at a time, what finds a mean leaves and only the rest goes on,
-    until none is open. Of an entity there are at most years x routes cells; the means of
-    wider levels are fewer and are measured lookups, so that no key of theirs gathers rows.
+    Means are taken before any fallback fill. An entity has at most years x routes cells, so its own
+    means are windows over cells that :func:`densify` has already brought together; the cells are
+    written once with them. Means of wider levels are few and are measured lookups, so that no
+    key of theirs gathers rows.
     """
-    means = cut_lineage(fallback_means(cells))
-    known = cells.where(F.col("ability").isNotNull())
-    open_ = cells.where(F.col("ability").isNull())
-    out = known
+    live = F.col("ability").isNotNull() & (F.col("weight") > 0)
+    near, found = cells, []
+    for place, (name, keys) in enumerate(FALLBACK_LEVELS):
+        if set(ENTITY) <= set(keys):
+            along = Window.partitionBy(*keys)
+            mean = F.sum(F.when(live, F.col("ability") * F.col("weight"))).over(along) / F.sum(F.when(live, F.col("weight"))).over(along)
+            # Rows with a null in the key have no level of that key.
+            named = F.lit(True)
+            for k in keys:
+                named = named & F.col(k).isNotNull()
+            near = near.withColumn(f"_mean{place}", F.when(named, mean))
+    near = met = cut_lineage(near)
+    sums = _wide_sums(near)
     for place, (name, keys) in enumerate(FALLBACK_LEVELS):
-        level = means.where(F.col("level") == place).select(*keys, F.col("mean").alias("_mean"))
         if not keys:
-            met = open_.withColumn("_mean", level.agg(F.max("_mean")).scalar())
-        elif set(ENTITY) <= set(keys):
-            met = open_.join(level, list(keys), "left")
-        else:
-            met = looked_up(open_, level, keys, "left")
-        met = cut_lineage(met.select(*cells.columns, "_mean"))
-        filled = met.where("_mean is not null").withColumn("ability", F.col("_mean")).withColumn("ability_method", F.lit(name))
-        out = out.unionByName(filled.select(*cells.columns))
-        open_ = met.where("_mean is null").select(*cells.columns)
-        if open_.isEmpty():
-            return out
-    return out.unionByName(open_)
+            met = met.withColumn(f"_mean{place}", cut_lineage(_means(sums, keys)).agg(F.max("mean")).scalar())
+        elif not set(ENTITY) <= set(keys):
+            met = looked_up(met, _means(sums, keys).withColumnRenamed("mean", f"_mean{place}"), list(keys), "left")
+        found.append(f"_mean{place}")
+    method = F.when(F.col("ability").isNotNull(), F.col("ability_method"))
+    for column, (name, _) in zip(found, FALLBACK_LEVELS):
+        method = method.when(F.col(column).isNotNull(), F.lit(name))
+    return met.withColumn("ability_method", method.otherwise(F.col("ability_method"))).withColumn(
+        "ability", F.coalesce("ability", *found)).select(*cells.columns)
 
 
 def calibrate(cells: DataFrame, totals: DataFrame, rules: PanelRules) -> DataFrame:
@@ -312,9 +355,9 @@ def build(scored: DataFrame, seats: DataFrame, quotas: DataFrame, capacities: Da
           rules: PanelRules, stages: str = "all") -> DataFrame:
     """Run the stages in order; ``stages`` names the last one to run.
 
-    Most stages look at the cells more than once, so each hands on a written
-    table in the shared folder: nothing is recomputed from the raw rows, and a
-    lost executor costs one stage.
+    Stages that look at the cells more than once get a written table in the
+    shared folder: nothing is recomputed from the raw rows, and a lost executor
+    costs one stage. From :func:`densify` on, cells lie with their entity until written.
     """
     cells = observed_cells(scored, seats)
     if stages == "observed":
@@ -327,16 +370,16 @@ def build(scored: DataFrame, seats: DataFrame, quotas: DataFrame, capacities: Da
         cells = add_capacities(cut_lineage(cells), capacities, rules)
     if stages == "capacities":
         return cells
-    cells = densify(cut_lineage(cells), seats, rules)
+    cells = densify(cells, seats, rules)
     if stages == "dense":
         return cells
     cells = fill_own_series(cells)
     if stages == "filled":
         return cells
-    cells = fill_fallbacks(cut_lineage(cells))
+    cells = fill_fallbacks(cells)
     if stages == "fallback":
         return cells
-    return calibrate(cut_lineage(cells), totals, rules)
+    return calibrate(cells, totals, rules)
 
 
 def rank_entities(panel: DataFrame, direct: DataFrame, keys: Sequence[str]) -> DataFrame:
