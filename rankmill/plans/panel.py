@@ -329,6 +329,15 @@ def year_names(rows: DataFrame, keys: Sequence[str], year: str, name: str) -> Da
     return pairs.groupBy(*keys, year).agg(F.array_join(F.array_sort(F.collect_list(name)), " | ").alias("names"))
 
 
+def entity_names(labels: DataFrame) -> DataFrame:
+    """One row per entity: its latest label and its names by year, sorted. Entities move once."""
+    mine = labels.repartition(*ENTITY)
+    years = mine.groupBy(*ENTITY, "year").agg(
+        F.array_join(F.array_sort(F.collect_set("source")), " | ").alias("names"), F.max(F.struct("year", "weight", "label")).alias("_top"))
+    return years.groupBy(*ENTITY).agg(
+        F.max("_top")["label"].alias("label"), F.array_sort(F.collect_list(F.struct(F.col("year").alias("y"), F.col("names").alias("v")))).alias("_names"))
+
+
 def nearest_year(rows: DataFrame, keys: Sequence[str], year: str, value: str) -> DataFrame:
     """Fill a null from the nearest year of the same entity, the earlier on a tie."""
     seen = F.when(F.col(value).isNotNull(), F.struct(F.col(year).alias("y"), F.col(value).alias("v")))
@@ -339,13 +348,19 @@ def nearest_year(rows: DataFrame, keys: Sequence[str], year: str, value: str) ->
 
 
 def output_rows(cells: DataFrame, labels: DataFrame) -> DataFrame:
-    """Panel rows with the entity's label, the name used that year, and rounding."""
-    cells = cut_lineage(cells)
-    names = year_names(labels, ENTITY, "year", "source")
-    years = cells.select(*ENTITY, "year").distinct().join(names, [*ENTITY, "year"], "full_outer")
-    years = nearest_year(years, ENTITY, "year", "names")
-    return cells.join(years, [*ENTITY, "year"]).join(display_labels(labels, ENTITY), ENTITY).select(
-        "year", "grp", "sub", F.col("names").alias("year_name"), "label", "route",
+    """Panel rows with the entity's label, the name used that year, and rounding.
+
+    Cells meet one row per entity, which lists its names by year; a year without one has the
+    name of the nearest, the earlier on a tie.
+    """
+    both = cells.join(entity_names(labels), ENTITY).where("year is not null")
+    at = F.col("year")
+    later = F.size(F.filter("_names", lambda n: n["y"] > at))
+    both = both.withColumn("_lo", F.get("_names", F.size("_names") - later - 1)).withColumn("_hi", F.get("_names", F.size("_names") - later))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    names = F.when(hi.isNull() | (at - lo["y"] <= hi["y"] - at), lo["v"]).otherwise(hi["v"])
+    return both.select(
+        "year", "grp", "sub", names.alias("year_name"), "label", "route",
         F.round("weight", 2).alias("weight"), F.round("ability", 3).alias("ability"),
         "weight_method", F.round("weight_scale", 6).alias("weight_scale"), "ability_method", "input_rows",
     )

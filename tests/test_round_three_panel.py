@@ -38,3 +38,13 @@ def test_fallbacks_write_the_cells_once(spark, monkeypatch):
     assert sum("weight_method" in columns for columns in written) == 1
     assert got["p", 3, "a"] == (5.0, "nearest:1") and got["p", 4, "b"] == (5.0, "department_year")
     assert got["p", 1, "b"] == (5.0, "department_year") and got["n", 1, "a"][1] == "route_year"
+
+
+def test_output_rows_meet_one_row_an_entity(spark):
+    rows = seats(spark).where("grp is not null and route is not null")
+    cells = spark.createDataFrame([("g", s, y, "a", 1.0, 2.0, "", 1.0, "", 1) for s, y in (("p", 1), ("p", 2), ("p", 3), ("p", 4), ("q", 2), (None, 1))],
+        "grp string, sub string, year int, route string, weight double, ability double, weight_method string, weight_scale double, ability_method string, input_rows int")
+    out = panel.output_rows(cells, rows)
+    assert moves(out) <= 2
+    got = {(r.sub, r.year): (r.year_name, r.label) for r in out.collect()}
+    assert got == {("p", 1): ("old", "l4"), ("p", 2): ("old", "l4"), ("p", 3): ("also | new", "l4"), ("p", 4): ("also | new", "l4"), ("q", 2): ("", "l2")}
