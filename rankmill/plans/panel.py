@@ -399,6 +399,7 @@ def build(scored: DataFrame, seats: DataFrame, quotas: DataFrame, capacities: Da
 
 def rank_entities(panel: DataFrame, direct: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rank entities on the completed panel, next to their direct readings."""
-    scores = active_years(cut_lineage(panel), keys, "year", "route", "ability", "weight")
+    read = panel.select(*dict.fromkeys([*keys, "year", "route", "ability", "weight"]))
+    scores = active_years(cut_lineage(read), keys, "year", "route", "ability", "weight")
     both = scores.join(direct, list(keys), "left").withColumn("score", F.round("score", 2))
     return numbered(both, [], [-F.col("score"), *[F.col(k) for k in keys]], "rank")
